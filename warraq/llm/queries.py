@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import repeated_lines, same_look
+from . import repeated_lines, reply_defects, same_look, scan_repair
 from .common import vocabulary
 
 
@@ -45,5 +45,23 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return same_look.canonical(_texts(spark, d), _words(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_canonical": p2_canonical}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Broken and misread words, running lines and page numbers of scanned pages, units and drafts."""
+    return scan_repair.find(table(spark, d, "units"), table(spark, d, "readings"), table(spark, d, "drafts"), _words(spark, d))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous paragraphs of readings and scanned units."""
+    items = scan_repair.unit_items(table(spark, d, "units")).unionByName(scan_repair.reading_items(table(spark, d, "readings")))
+    return scan_repair.paragraphs(items, _words(spark, d)).select("kind", "item_id", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective replies and their defects."""
+    return reply_defects.find(table(spark, d, "exchanges"), _words(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_paragraphs, p4_found)
+}
 SQL: dict[str, str] = {}

@@ -119,15 +119,15 @@ def heavy_hitters(rows: DataFrame, every: int = 100_000) -> DataFrame:
     return rows.select("gid", "cap", "wording").mapInArrow(run, "gid long, wording long, n long").groupBy("gid", "wording").agg(F.sum("n").alias("n"))
 
 
-def repeated(rows: DataFrame, pages: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lines, wordings) of repeated wordings.
+def repeated(rows: DataFrame, pages: DataFrame, share: float = SHARE, least: int = LEAST, key: tuple[str, ...] = ("kind", "source")) -> tuple[DataFrame, DataFrame]:
+    """(lines, wordings) of repeated wordings; ``key`` names the columns that make a source.
 
     ``rows``: what ``line_rows`` gives, read several times (persist it).  ``pages``: kind, source, page of all pages there are.
     ``wordings`` has gid, wording, n (pages that hold it), n_pages.
     """
-    gid = F.xxhash64("kind", "source").alias("gid")
+    gid = F.xxhash64(*key).alias("gid")
     per = pages.where("source is not null").groupBy(gid).agg(F.count_distinct("page").alias("n_pages"))
-    rows = rows.withColumn("gid", F.xxhash64("kind", "source"))
+    rows = rows.withColumn("gid", F.xxhash64(*key))
     lines = rows.groupBy("gid").agg(F.count("*").alias("n_lines"))
     needed = F.greatest(F.lit(float(least)), F.col("n_pages") * share)
     stats = per.join(lines, "gid").withColumn("needed", needed).withColumn("cap", F.ceil(SLACK * F.col("n_lines") / F.col("needed")).cast("long"))

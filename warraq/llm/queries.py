@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import repeated_lines, reply_defects, same_look, scan_repair
+from . import mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting
 from .common import vocabulary
 
 
@@ -61,7 +61,66 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return reply_defects.find(table(spark, d, "exchanges"), _words(spark, d))
 
 
+def _sized_items(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.unit_items(table(spark, d, "units")).unionByName(splitting.draft_items(table(spark, d, "drafts")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Units and drafts that have to be cut."""
+    pieces = splitting.pieces(_sized_items(spark, d), table(spark, d, "split_limits"))
+    return pieces.where("piece_no = 1").select("kind", "item_id")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of units and drafts that are too long."""
+    return splitting.pieces(_sized_items(spark, d), table(spark, d, "split_limits"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or piece of one, for each kind of container."""
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.fill(p6_containers(spark, d), table(spark, d, "containers"))
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that make the mixture, and how often each is used."""
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the mixture that each source reached."""
+    return mixing.shares(p7_selection(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of every document."""
+    return reading_level.levels(table(spark, d, "documents"), table(spark, d, "level_samples"), _words(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose own words stand in sentences of level 4 or 5."""
+    return p8_levels(spark, d).where("hard_words * 2 > words").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_paragraphs, p4_found)
+    f.__name__: f
+    for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_paragraphs, p4_found, p5_found, p5_pieces, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_levels)
+}
+SQL: dict[str, str] = {
+    # the operator counts the words of an item to cut it; which items are too long is plain SQL
+    "p5_found": r"""
+        with items as (
+            select distinct 'unit' as kind, unit_id as item_id, content_type, text from units
+            union
+            select distinct 'draft', draft_id, content_type, array_to_string(texts, chr(10)) from drafts
+        )
+        select i.kind, i.item_id
+        from items i join split_limits l using (content_type)
+        where len(list_filter(regexp_extract_all(text, '[^\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
+                              lambda w: regexp_matches(w, '[\p{L}\p{N}_]'))) > max_words
+    """,
 }
-SQL: dict[str, str] = {}

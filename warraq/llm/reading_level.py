@@ -43,7 +43,7 @@ BROADCAST_ROWS = 100_000
 #: Texts with fewer sentence marks than one in so many words are taken line by line.
 WORDS_PER_MARK = 60
 
-_VOWELS = re.compile("[ً-ْـ]")
+_VOWELS = re.compile("[\u064b-\u0652ـ]")
 _WORD = re.compile(r"[^\W_]")
 _BULLET = re.compile(r"(?:[*•▪◦\-–]|\(?[\d٠-٩]{1,3}[.)\-]|[.\-][\d٠-٩]{1,3})$")
 _END = ".!?؟…;؛"
@@ -121,7 +121,7 @@ def fit(samples: list[tuple[int, str]], vocabulary: list[str]) -> Model:
     parts = [(level, sentences(text.split("\n"), plain)) for level, text in samples if level is not None and text]
     counts: dict[str, np.ndarray] = {}
     totals: dict[bool, np.ndarray] = {False: np.zeros(5), True: np.zeros(5)}
-    script = lambda w: "؀" <= w[:1] <= "ۿ"
+    script = lambda w: "\u0600" <= w[:1] <= "ۿ"
     for level, ss in parts:
         for s in ss:
             for w in s:

@@ -67,7 +67,7 @@ ASKS = {
     "en": re.compile(r"(?:ب|باللغة )الإنجليزية|باللغة الانجليزية|\b(?:reply|answer|respond|write|give the answer|response)\b[^.?!\n]*\bin english\b|\bin english\b(?=[.:?,]|$)", re.I),
     "ar": re.compile(r"(?:ب|باللغة )العربية|\b(?:reply|answer|respond|write|give the answer|response)\b[^.?!\n]*\bin arabic\b|\bin arabic\b(?=[.:?,]|$)", re.I),
 }
-_MARKS = re.compile("[ً-ْـ]")
+_MARKS = re.compile("[\u064b-\u0652ـ]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CITED = re.compile(r"\[\s*\d+(?:\s*[,،]\s*\d+)*\s*\]")
 _FENCE = re.compile(r"```\w*|\*\*|__|^#+\s", re.M)
@@ -106,7 +106,7 @@ class Judge:
     def language(self, text: str) -> str | None:
         """ar, en, other, or None where nothing tells."""
         words = [w for w in words_of(_CITED.sub(" ", text)) if w.isalpha() or "'" in w or "’" in w]
-        arabic = [w for w in words if "؀" <= w[0] <= "ۿ"]
+        arabic = [w for w in words if "\u0600" <= w[0] <= "ۿ"]
         latin = [w for w in words if w[0] < "ɐ"]
         if not arabic and not latin:
             return None if not words else "other"

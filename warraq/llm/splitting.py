@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 # Unicode's white space.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[^{SPACE}]+")
 _INNER = re.compile(r"\w")
 _CLAUSE = re.compile(r"(?:[.\-(\[]?[0-9٠-٩]{1,3}[.)\-\]]{0,2}|[.\-][0-9٠-٩]{1,3}|[•▪*])$")

@@ -41,6 +41,17 @@ SINGLE = {k: v for k, v in FOLDS.items() if len(v) == 1}
 SEVERAL = {k: v for k, v in FOLDS.items() if len(v) != 1}
 
 
+def ranges(codes: list[int]) -> str:
+    """A regex class of sorted code points, by ranges (a class of hundreds of single characters is slow to match)."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out) + "]"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -56,7 +67,7 @@ def fold_presentation_forms(c: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")  # a constant, folded once
     # the eight ligatures of lam and alef are common and replaced one by one; the hundreds of others are looked up, by letter
     common = [k for k in SEVERAL if ord(k) >= 0xFEF5]
-    several = "[" + "".join(k for k in SEVERAL if k not in common) + "]"
+    several = ranges([ord(k) for k in SEVERAL if k not in common])
 
     def lettered(s: Column) -> Column:
         return F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")

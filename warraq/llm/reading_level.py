@@ -51,18 +51,18 @@ _TRIM = ".,;:!?()[]{}«»\"'“”،؛؟|*•▪–—-/>…`"
 
 
 class Plain(dict):
-    """token -> (the plain word by which grades are kept, whether it ends a sentence, whether it counts as a word)."""
+    """token -> (the plain word by which grades are kept, whether it ends a sentence, counts as a word, is a bullet or number)."""
 
     def __init__(self, looks: LookForm):
         super().__init__()
         self.looks = looks
 
-    def __missing__(self, token: str) -> tuple[str, bool, bool]:
+    def __missing__(self, token: str) -> tuple[str, bool, bool, bool]:
         if len(self) > 500_000:
             self.clear()
         form = self.looks[token]
         closed = form.rstrip("])»\"'”")
-        got = (_VOWELS.sub("", form.strip(_TRIM)).casefold(), closed[-1:] in _END if closed else False, bool(_WORD.search(form)))
+        got = (_VOWELS.sub("", form.strip(_TRIM)).casefold(), closed[-1:] in _END if closed else False, bool(_WORD.search(form)), bool(_BULLET.match(form)))
         self[token] = got
         return got
 
@@ -70,8 +70,8 @@ class Plain(dict):
 def sentences(lines: list[str], plain: Plain) -> list[list[str]]:
     """The plain words of each sentence of a text's own lines."""
     split = [ln.split() for ln in lines]
-    marks = sum(plain[t][1] for ts in split for t in ts)
-    by_line = marks * WORDS_PER_MARK < sum(map(len, split))
+    read = [[plain[t] for t in ts] for ts in split]
+    by_line = sum(r[1] for rs in read for r in rs) * WORDS_PER_MARK < sum(map(len, read))
     out: list[list[str]] = []
     now: list[str] = []
 
@@ -81,14 +81,14 @@ def sentences(lines: list[str], plain: Plain) -> list[list[str]]:
             out.append(now)
         now = []
 
-    for tokens in split:
-        if by_line or not tokens or _BULLET.match(plain.looks[tokens[0]]):
+    for rows in read:
+        marked = bool(rows) and rows[0][3]
+        if by_line or marked or not rows:
             close()
-        for i, t in enumerate(tokens):
-            word, ends, counts = plain[t]
+        for word, ends, counts, _ in rows[1:] if marked else rows:
             if counts:
                 now.append(word)
-            if ends and not (i == 0 and _BULLET.match(plain.looks[t])):
+            if ends:
                 close()
     close()
     return out
@@ -98,21 +98,25 @@ class Model:
     """Grades of words and how quantiles of them make a level."""
 
     def __init__(self, grades: dict[str, float], weights: np.ndarray, bounds: list[float]):
-        self.grades, self.weights, self.bounds = grades, weights, bounds
+        self.grades, self.weights, self.bounds = grades, list(map(float, weights)), bounds
 
-    def features(self, words: list[str]) -> np.ndarray | None:
+    def features(self, words: list[str]) -> list[float] | None:
         known = [g for w in words if (g := self.grades.get(w)) is not None]
         if not known:
             return None
         known.sort()
         n = len(known) - 1
-        at = [q * n for q in QUANTILES]
-        return np.array([1.0, *(known[int(a)] + (known[min(int(a) + 1, n)] - known[int(a)]) * (a - int(a)) for a in at)])
+        out = [1.0]
+        for q in QUANTILES:
+            k = int(q * n)
+            low = known[k]
+            out.append(low + (known[k + 1] - low) * (q * n - k) if k < n else low)
+        return out
 
     def level(self, words: list[str]) -> int | None:
         """The level of a sentence, 1 to 5; None without a known word."""
         f = self.features(words)
-        return None if f is None else 1 + bisect_right(self.bounds, float(f @ self.weights))
+        return None if f is None else 1 + bisect_right(self.bounds, sum(a * b for a, b in zip(f, self.weights)))
 
 
 def fit(samples: list[tuple[int, str]], vocabulary: list[str]) -> Model:
@@ -139,8 +143,8 @@ def fit(samples: list[tuple[int, str]], vocabulary: list[str]) -> Model:
     rows = [(f, level) for level, ss in parts for s in ss if (f := model.features(s)) is not None]
     if rows:
         x, y = np.array([f for f, _ in rows]), np.array([lv for _, lv in rows], float)
-        model.weights = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ y)
-        made = x @ model.weights
+        model.weights = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ y).tolist()
+        made = x @ np.array(model.weights)
         for k in range(4):
             # the bound with the fewest sentences on the wrong side, the levels weighted alike
             low, high = np.sort(made[y <= k + 1]), np.sort(made[y > k + 1])

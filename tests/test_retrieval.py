@@ -1,0 +1,94 @@
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from warraq.operators import evaluation as ev
+from warraq.operators import retrieval as rt
+
+
+def ranking(spark, lists):
+    return [spark.createDataFrame([(1, ord(x), i) for i, x in enumerate(items, 1)], "q_id long, item_id long, rank int") for items in lists]
+
+
+def order(df):
+    return [chr(r.item_id) for r in df.orderBy("rank").collect()]
+
+
+def test_fusion_orders_and_ties(spark):
+    assert order(rt.fuse(ranking(spark, ["abc", "bca"]))) == list("bac")
+    assert order(rt.fuse(ranking(spark, ["a", "b", "ca"]))) == list("abc")
+
+
+def test_rerank_head_only(spark):
+    scores = spark.createDataFrame([(1, ord(x), s) for x, s in (("a", 0.1), ("b", 0.9), ("c", 0.1))], "q_id long, item_id long, score double")
+    assert order(rt.rerank(ranking(spark, ["abcde"])[0], scores, depth=3)) == list("bacde")
+
+
+def test_bm25_ties_and_idf(spark):
+    docs = spark.createDataFrame([(0, "x y"), (1, "a b"), (2, "a b"), (3, "a q q q"), (4, ""), (5, None)], "item_id long, text string")
+    asked = spark.createDataFrame([(7, "a b")], "q_id long, text string")
+    words = F.filter(F.split("text", " "), lambda w: F.length(w) > 0)
+    assert [r.item_id for r in rt.bm25(docs, asked, words, words, 3).orderBy("rank").collect()] == [1, 2, 3]
+    assert math.isclose(spark.range(1).select(rt.idf(F.lit(3), F.lit(3))).first()[0], math.log(1 + 0.5 / 3.5))
+
+
+def test_dense_equals_brute_force_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    m = rng.standard_normal((300, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "item_id long, vector array<float>").repartition(5)
+    asked = corpus.where("item_id % 50 = 0 and item_id < 300").select(F.col("item_id").alias("q_id"), "vector")
+    f = m.astype(np.float32).astype(float)
+    want = {(q, i, r + 1) for q in range(0, 300, 50) for r, i in enumerate(np.lexsort((np.arange(300), -np.round(f @ f[q], 6)))[:4])}
+    for size in (512, 2):
+        monkeypatch.setattr(rt, "BLOCK", size)
+        got = rt.dense(corpus, asked, 4).collect()
+        assert {(r.q_id, r.item_id, r["rank"]) for r in got} == want
+
+
+def test_ranks_and_summary(spark):
+    ranks = spark.createDataFrame([("q1", 1, 3, True), ("q1", 2, 4, True)], "qid string, quote_no int, rank int, held boolean")
+    r = ev.per_question(ranks).first()
+    assert (r.recall_1, r.recall_5, r.complete_1, r.complete_5, round(r.rr_10, 6)) == (0.0, 1.0, 0, 1, round(1 / 3, 6))
+    two = spark.createDataFrame([("a", 1, 1, True), ("a", 2, 7, True), ("b", 1, None, False)], "qid string, quote_no int, rank int, held boolean")
+    s = ev.summary(ev.per_question(two)).first()
+    assert (round(s.held, 4), s.recall_5, s.recall_10, s.complete_10, s.mrr_10) == (round(2 / 3, 4), 0.25, 0.5, 0.5, 0.5)
+
+
+def test_locate():
+    assert ev.locate("adc", "xxabcxx") == (2, 5, 1)
+    assert ev.locate("abd", "xxabcxx") == (2, 4, 1)
+    assert ev.locate("ab", "xxabxxab") == (2, 4, 0)
+    assert ev.locate("abc", "xx")[2] == 3
+
+
+def test_word_distance(spark):
+    df = spark.createDataFrame([("a b c", "a x c d"), ("", "a"), ("k i t t e n", "s i t t i n g")], "a string, b string")
+    w = lambda c: F.filter(F.split(c, " "), lambda x: F.length(x) > 0)
+    rows = df.select(ev.word_distance(w(F.col("a")), w(F.col("b"))), ev.word_distance_udf(w(F.col("a")), w(F.col("b")))).collect()
+    assert [tuple(r) for r in rows] == [(2, 2), (1, 1), (3, 3)]
+
+
+def test_kappa_matrix(spark):
+    cells = {("c", "c"): 13, ("p", "c"): 2, ("p", "p"): 10, ("w", "c"): 1, ("w", "w"): 11, ("r", "r"): 3}
+    df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "a string, b string")
+    assert round(ev.kappa(df, "a", "b").first().kappa, 2) == 0.89
+    table = {r.a: r for r in ev.confusion(df, "a", "b", list("cpwr")).collect()}
+    assert table["p"]["c"] == 2 and table["r"]["w"] == 0
+
+
+def test_bag_overlap(spark):
+    a = spark.createDataFrame([(1, w) for w in "x x y".split()], "k int, word string")
+    b = spark.createDataFrame([(1, w) for w in "x y".split()], "k int, word string")
+    assert tuple(ev.bag_overlap(a, b, ["k"]).first()) == (1, 3, 2, 2)
+
+
+def test_nearest_rank_rounds_half_to_even(spark):
+    df = spark.createDataFrame([(1, float(i)) for i in range(1, 6)] + [(1, None)], "k int, v double")
+    assert ev.nearest_rank(df, "v", ["k"], {"p50": 0.5}).first().p50 == 2.0
+
+
+def test_bootstraps_agree(spark):
+    df = spark.createDataFrame([("g", i, float(i % 2)) for i in range(200)], "g string, i int, v double")
+    a, b = ev.bootstrap(df, "v", "g", draws=300).first(), ev.hashed_bootstrap(df, "v", "g", "i", draws=300).first()
+    assert a.mean == 0.5 and abs(a.low - b.low) < 0.04 and abs(a.high - b.high) < 0.04

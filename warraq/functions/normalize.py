@@ -57,6 +57,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """A value for a ``select`` that filters above it name without its being worked out again in each (they stay above)."""
+    return F.explode_outer(F.array(value))
+
+
 def strip_invisible(c: Column) -> Column:
     """Without direction marks, zero-width characters and control characters (tab and line ends stay)."""
     return F.regexp_replace(c, INVISIBLE, "")

@@ -8,6 +8,7 @@ Empty and null texts have no terms: they count as documents but are never found.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, terms: Column, asked: Col
     asked_terms = questions.select("q_id", asked.alias("terms")).select("q_id", F.explode_outer("terms").alias("term")).where("term is not null")
     wanted = asked_terms.groupBy("q_id", "term").agg(F.count("*").alias("times"))
     vocabulary = wanted.select("term").distinct()
-    own = docs.select("item_id", terms.alias("terms"))
+    own = docs.select("item_id", terms.alias("terms")).persist(StorageLevel.DISK_ONLY)  # texts are analyzed once
     sizes = own.select(F.coalesce(F.size("terms"), F.lit(0)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     held = own.select("item_id", F.size("terms").cast("long").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null").join(vocabulary, "term", "left_semi")
     tf = held.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, text, tokens
 from ..operators import answers, calendars, evaluation, gold, layout, quality, retrieval, stores, structure, tables
-from ..session import table
+from ..session import spread, table
 from ..streaming import logs
 from . import sql as S
 
@@ -48,7 +48,7 @@ def _both(name: str, sql: str, *names: str) -> None:
 
 
 def _search(spark: SparkSession, d: str, k: int = 10, **switches: bool) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
     asked = table(spark, d, "documents").where(F.col("doc_id") % ASKS_EVERY == 0).select(F.col("doc_id").alias("q_id"), F.coalesce("title", F.lit("")).alias("title"))
     return retrieval.bm25(docs, asked, tokens.terms(F.col("text"), **switches), tokens.terms(F.col("title"), **switches), k)
 
@@ -298,7 +298,7 @@ def token_counts(spark, d):
     """Tokens of each document under the tokenizers."""
     t = F.col("text")
     size = lambda c: F.size(c).cast("long")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", size(tokens.words(F.lower(t))).alias("tokens"), tokens.word_count(t).cast("long").alias("words"), size(tokens.arabic_tokens(t)).alias("arabic"),
         size(tokens.terms(t)).alias("terms"), size(tokens.marked_words(t)).alias("marked"), F.round(F.length(t) / 2.5, 4).alias("estimate"),
     )
@@ -458,7 +458,7 @@ def page_methods(spark, d):
 )
 def boilerplate_lines(spark, d):
     """Short lines that documents print on many pages."""
-    return structure.boilerplate(table(spark, d, "units").select("doc_id", "page", F.explode("lines").alias("text")))
+    return structure.boilerplate(spread(table(spark, d, "units").select("doc_id", "page", "lines")).select("doc_id", "page", F.explode("lines").alias("text")))
 
 
 @query(

@@ -20,6 +20,15 @@ def session(name: str = "warraq", cores: str = "*", shuffle_partitions: int = 8)
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan in no fewer partitions than there are cores: costly work on small tables isn't left to one task.
+
+    Large tables have more partitions than cores and come back as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table of that name in a folder of tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -38,7 +38,7 @@ def test_calendars_and_pages(spark):
 def test_truth_pieces_and_csv(spark, tmp_path):
     names = spark.createDataFrame([("a_p01.txt",), ("a_p01.csv",), ("b_p02_r1.txt",), ("c_p03.txt",), ("x.md",)], "name string")
     assert {r.name: r.kind for r in readers.truth_pieces(names).collect()} == {"a_p01.txt": "partial", "a_p01.csv": "table", "b_p02_r1.txt": "region", "c_p03.txt": "page"}
-    (tmp_path / "l.csv").write_text("﻿item,label\n1,CORRECT\n", encoding="utf-8")
+    (tmp_path / "l.csv").write_text("\ufeffitem,label\n1,CORRECT\n", encoding="utf-8")
     assert readers.csv_table(spark, str(tmp_path / "l.csv")).columns == ["item", "label"]
 
 
@@ -47,8 +47,8 @@ def test_parser_plug_in(spark, tmp_path):
     (tmp_path / "e.pdf").write_bytes(b"!")
 
     def parse(content):
-        if not content:
-            raise ValueError("empty file")
+        if content == b"!":
+            raise ValueError("not a document")
         return [(i, t, None) for i, t in enumerate(content.decode().split("\f"), 1)]
 
     rows = readers.pages(spark, str(tmp_path), parse).orderBy("doc_id", "page").collect()

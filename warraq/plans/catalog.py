@@ -705,6 +705,116 @@ def sliding_events(spark, d):
     return logs.by_minute(table(spark, d, "events"), "ts", "event_type")
 
 
+# ------------------------------------------------------------------ lines, cells, blocks
+
+
+@query(
+    f"""with l as (select doc_id, line, {S.norm('line')} as p from (select doc_id, unnest(lines) as line from (select distinct unit_id, doc_id, lines from units)))
+    select doc_id, case when p = '' then 'empty' when regexp_matches(p, '^\\d{{1,2}}( \\d{{1,2}})*$') then 'numbers' when regexp_matches(p, '^(?:[.\\-]\\d{{1,2}}|\\d{{1,2}} ?[.\\-)])(?:[^0-9]|$)') then 'clause' when regexp_matches(line, '^[•●▪◦]') then 'bullet' else 'text' end as class, count(*) as n from l group by 1, 2"""
+)
+def line_classes(spark, d):
+    """How many lines of each kind a document's units have."""
+    lines = table(spark, d, "units").dropDuplicates(["unit_id"]).select("doc_id", F.explode("lines").alias("line"))
+    c = F.col("line")
+    kind = F.when(normalize.for_comparison(c) == "", "empty").when(text.bare_numbers(c), "numbers").when(text.clause_number(c).isNotNull(), "clause").when(text.bulleted(c), "bullet").otherwise("text")
+    return lines.groupBy("doc_id", kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+_DAYS = "(?:الأحد|الإثنين|الاثنين|الثلاثاء|الأربعاء|الخميس|الجمعة|السبت)"
+
+
+@query(
+    f"""with c as (select distinct row_id, cell from (select row_id, unnest([title_ar, title_en, day_ar, day_en, date_gregorian, date_hijri]) as cell from calendar_rows) where cell is not null)
+    select row_id, cell, case when regexp_matches(cell, '^\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}(?:-(?:\\d{{1,2}}/)?\\d{{1,2}})? ?م$') then 'gregorian' when regexp_matches(cell, '^\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}(?:-(?:\\d{{1,2}}/)?\\d{{1,2}})? ?هـ?$') then 'hijri'
+    when regexp_matches(cell, '^{_DAYS}(?: ?- ?{_DAYS})?$') then 'days_ar' when regexp_matches(lower(cell), '^(?:sun|mon|tues|wednes|thurs|fri|satur)day(?: ?- ?(?:sun|mon|tues|wednes|thurs|fri|satur)day)?$') then 'days_en'
+    when {S.count('cell', 'arabic_letters')} > {S.count('cell', 'latin_letters')} then 'arabic' when {S.count('cell', 'latin_letters')} > 0 then 'english' else 'other' end as kind from c"""
+)
+def segment_kinds(spark, d):
+    """What each cell of a calendar card is, by its text alone."""
+    cells = F.explode(F.array("title_ar", "title_en", "day_ar", "day_en", "date_gregorian", "date_hijri")).alias("cell")
+    return table(spark, d, "calendar_rows").select("row_id", cells).where("cell is not null").distinct().withColumn("kind", text.segment_kind(F.col("cell")))
+
+
+@query(
+    """with c as (select distinct row_id, date_gregorian as c from calendar_rows), p as (select row_id, c, regexp_extract(c, '(\\d{4}/\\d{1,2}/\\d{1,2}-\\d{1,2})(?:[^\\d/]|$)', 1) as r from c)
+    select row_id, case when r = '' then c else replace(c, r, regexp_extract(r, '^(\\d{4}/\\d{1,2})/', 1) || '/' || lpad(least(split_part(split_part(r, '/', 3), '-', 1)::int, split_part(r, '-', 2)::int)::varchar, 2, '0') || ' - ' || regexp_extract(r, '^(\\d{4}/\\d{1,2})/', 1) || '/' || lpad(greatest(split_part(split_part(r, '/', 3), '-', 1)::int, split_part(r, '-', 2)::int)::varchar, 2, '0')) end as dates from p"""
+)
+def readable_dates(spark, d):
+    """Printed date ranges spelled in full."""
+    return table(spark, d, "calendar_rows").dropDuplicates(["row_id"]).select("row_id", answers.readable_ranges(F.col("date_gregorian")).alias("dates"))
+
+
+@query(
+    """select distinct row_id, array_to_string(list_filter([case when trim(coalesce(title_ar, '')) <> '' then 'title: ' || trim(title_ar) end, case when trim(coalesce(day_en, '')) <> '' then 'day: ' || trim(day_en) end, case when trim(coalesce(date_hijri, '')) <> '' then 'hijri: ' || trim(date_hijri) end], lambda x: x is not null), '، ') as sentence
+    from (select row_id, translate(title_ar, chr(160), chr(160)) as title_ar, day_en, date_hijri from calendar_rows)"""
+)
+def card_sentences(spark, d):
+    """Calendar rows as sentences; empty cells are left out."""
+    return table(spark, d, "calendar_rows").dropDuplicates(["row_id"]).select(
+        "row_id", text.row_sentence(F.array(*map(F.lit, ("title", "day", "hijri"))), F.array("title_ar", "day_en", "date_hijri")).alias("sentence")
+    )
+
+
+_BLOCKS = "select reading_id, page_size, unnest(result.blocks) as b, generate_subscripts(result.blocks, 1) as i from readings where result.blocks is not null"
+
+
+@query(
+    f"""select distinct reading_id, i, b.category as category, round_even(b.box.l * page_size[1], 2) as l, round_even(b.box.t * page_size[2], 2) as t, round_even(b.box.r * page_size[1], 2) as r, round_even(b.box.b * page_size[2], 2) as b,
+    round((b.box.r - b.box.l) * (b.box.b - b.box.t), 6) as area from ({_BLOCKS}) where b.box is not null and page_size is not null"""
+)
+def block_boxes(spark, d):
+    """Layout blocks' boxes in points, and their share of the page."""
+    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).where("page_size is not null").select("reading_id", "page_size", F.posexplode("result.blocks").alias("i", "x")).where("x.box is not null")
+    box = layout.in_points(F.col("x.box"), F.element_at("page_size", 1), F.element_at("page_size", 2))
+    return r.select("reading_id", (F.col("i") + 1).cast("long").alias("i"), "x.category", box.alias("p"), F.round(layout.area(F.col("x.box")), 6).alias("area")).select("reading_id", "i", "category", "p.*", "area")
+
+
+@query(
+    f"""with x as (select distinct reading_id, i, b.category as category, b.text as text, b.box as box from ({_BLOCKS})),
+    f as (select * from x qualify box is null or row_number() over (partition by reading_id, box order by i) = 1),
+    n as (select *, count(*) over (partition by reading_id, category, text) as n, row_number() over (partition by reading_id, category, text order by i) as k from f)
+    select reading_id, i, category from n where n < 5 or k = 1"""
+)
+def distinct_blocks(spark, d):
+    """Layout blocks without repeats."""
+    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).select("reading_id", F.posexplode("result.blocks").alias("i", "x"))
+    b = r.select("reading_id", (F.col("i") + 1).cast("long").alias("pos"), "x.category", "x.text", "x.box")
+    return layout.deduplicated(b, "reading_id").select("reading_id", F.col("pos").alias("i"), "category")
+
+
+@query(
+    """with t as (select distinct reading_id, doc_id, page, result.text as text from readings), u as (select doc_id, page, string_agg(text, chr(10) order by seq, text) as got from (select distinct unit_id, doc_id, page, seq, text from units) group by 1, 2),
+    r as (select distinct reading_id, doc_id, page, run from (select reading_id, doc_id, page, unnest(regexp_extract_all(text, '[0-9]+|[A-Za-z]+')) as run from t) where length(run) > 1 and reverse(run) <> run),
+    j as (select reading_id, coalesce(contains(got, run), false) as intact, coalesce(contains(got, reverse(run)), false) as turned from r left join u using (doc_id, page))
+    select reading_id, count(*) as total, count(*) filter (intact) as intact, count(*) filter (not intact and turned) as reversed, count(*) filter (not intact and not turned) as missing from j group by 1"""
+)
+def surviving_runs(spark, d):
+    """Digit and Latin runs of readings that the units of their page hold."""
+    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).select("reading_id", "doc_id", "page", F.col("result.text").alias("text"))
+    found = r.select("reading_id", "doc_id", "page").join(_pages(spark, d), ["doc_id", "page"]).select("reading_id", "text")
+    return quality.runs_survive(r.select("reading_id", "text"), found, "reading_id")
+
+
+@query("select word, frequency from (select *, lag(frequency) over (order by frequency desc, word) as before from lexicon) where before < frequency")
+def lexicon_disorder(spark, d):
+    """Lexicon rows out of descending order (none)."""
+    numbered = table(spark, d, "lexicon").withColumn("line_no", F.struct((-F.col("frequency")).alias("f"), "word"))
+    return quality.unsorted_rows(numbered).select("word", "frequency")
+
+
+@query()
+def unread_text(spark, d):
+    """Paragraphs of readings that no layout block holds."""
+    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).where("result.blocks is not null")
+    return r.select("reading_id", F.explode(tokens.unread_paragraphs(F.col("result.text"), F.transform("result.blocks", lambda b: b["text"]))).alias("paragraph"))
+
+
+@query()
+def sampled_documents(spark, d):
+    """A hundred documents drawn by a seed."""
+    return gold.seeded(table(spark, d, "documents").select("doc_id"), "doc_id", 100)
+
+
 # ------------------------------------------------------------------ the star schema
 
 _both(

@@ -139,6 +139,20 @@ def test_scan_defects_end_to_end(spark):
     assert text == {1: f"{WORDS[2]} teacher {WORDS[5]} book {WORDS[7]} {WORDS[3]} committee returns {WORDS[4]} papers."}
 
 
+def test_drafts_are_put_right(spark):
+    def lines(p):
+        return ["records office | papers", f"{WORDS[p]} teacher b0ok", f"{WORDS[p + 1]} committee re-", f"turns {WORDS[p + 2]} papers.", f"- {p} -"]
+
+    units = spark.createDataFrame([(p, "d", p, lines(p), " ".join(lines(p)), "ocr") for p in range(1, 7)] + [(20, "d", 2, lines(2), " ".join(lines(2)), "ocr")], "unit_id long, doc_id string, page int, lines array<string>, text string, extraction_method string")
+    readings = spark.createDataFrame([], "reading_id long, doc_id string, page int, text string").select("reading_id", "doc_id", "page", F.struct("text").alias("result"))
+    rows = [(1, "d", 1, [" ".join(lines(1)), "thc book re- turns"]), (2, "d", 2, [" ".join(lines(2))]), (2, "d", 2, [" ".join(lines(2))]), (3, "t", 1, ["thc book"]), (4, "d", 3, []), (5, "d", 3, [None, "thc papers"]), (6, "d", 3, None)]
+    drafts = spark.createDataFrame(rows, "draft_id long, doc_id string, page int, texts array<string>")
+    made = scan_repair.paragraphs(scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings)), WORDS)
+    whole = {p: f"{WORDS[p]} teacher book {WORDS[p + 1]} committee returns {WORDS[p + 2]} papers." for p in (1, 2)}
+    found = sorted(tuple(r) for r in scan_repair.draft_paragraphs(units, readings, drafts, made, WORDS).select("kind", "item_id", "text").collect())
+    assert found == [("draft", 1, whole[1] + "\n\nthe book returns"), ("draft", 2, whole[2]), ("draft", 4, ""), ("draft", 5, "the papers"), ("draft", 6, "")]
+
+
 # ------------------------------------------------------------------ replies
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Continuous paragraphs of readings and scanned units."""
-    items = scan_repair.unit_items(table(spark, d, "units")).unionByName(scan_repair.reading_items(table(spark, d, "readings")))
-    return scan_repair.paragraphs(items, _words(spark, d)).select("kind", "item_id", "text")
+    """Continuous paragraphs of readings, scanned units and their drafts."""
+    units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _words(spark, d)
+    items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
+    made = scan_repair.paragraphs(items, words).persist(StorageLevel.DISK_ONLY)
+    of_drafts = scan_repair.draft_paragraphs(units, readings, table(spark, d, "drafts"), made, words)
+    return made.unionByName(of_drafts).select("kind", "item_id", "text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

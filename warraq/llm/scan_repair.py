@@ -18,8 +18,8 @@ vocabulary, and paragraphs are put together from the labels.
    of the share of pages, or of the number, follows.
 
 Drafts hold the texts of units: an element takes the defects of its unit's lines
-by an equi-join on (document, page, hash of the text); one that no unit matches
-is checked for itself.
+by an equi-join on (document, page, hash of the text), and its paragraphs in
+the same way; one that no unit matches is checked, and put right, for itself.
 
 Nulls: an item without text has no lines; one without a document or page has no
 running lines or page numbers.  Copies of an item count once.
@@ -72,6 +72,9 @@ class Words:
                 for i, j in combinations(range(len(w)), 2):
                     self.two.setdefault(w[:i] + "\0" + w[i + 1 : j] + "\0" + w[j + 1 :], w)
         self.judged: dict[str, int] = {}
+        self.spelt: dict[str, str] = {}
+        for w in words:
+            self.spelt.setdefault(self.plain(self.look[w]), w)
 
     @staticmethod
     def plain(word: str) -> str:
@@ -135,6 +138,15 @@ class Words:
         mixed = 0 < arabic < len(letters) or any(c.isdigit() for c in word) or any(not ("\u0600" <= c <= "ۿ" or c < "ɐ") for c in letters)
         return self.MISREAD if mixed and len(letters) > 1 else self.UNKNOWN
 
+    def righted(self, token: str) -> str:
+        """The canonical form of a token, spelt as the nearest vocabulary word if it is misread."""
+        form = self.look[token]
+        if self.judge(form) != self.MISREAD:
+            return form
+        core = self.trimmed(form)
+        near = self.nearest(self.plain(core))
+        return form.replace(core, self.spelt.get(near, near)) if near else form
+
     def broken(self, raw: str, after: str) -> tuple[bool, bool, bool]:
         """Whether a line's last token (as stored) goes on in the next line's first; and which of both is misread."""
         seen = _UNSEEN_END.sub("", raw)
@@ -390,21 +402,31 @@ def element_defects(elements: DataFrame, vocabulary: list[str]) -> DataFrame:
     return arrow_map(elements.select("item_id", "line_no", "text"), start, "item_id long, line_no int, defect string")
 
 
+def elements(units: DataFrame, readings: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The drafts' elements of scanned documents: all, those with the unit they were made of, and those that no unit accounts for.
+
+    All: item_id, line_no (null in a draft without elements), source, page, text.  Matched: item_id, line_no, unit_id; an
+    element has as many rows as the page has units of its text.  Alone: as all, without null texts.
+    """
+    ocr = units.where(F.col("extraction_method") == "ocr")
+    scanned = ocr.select(F.col("doc_id").cast("string").alias("source")).union(readings.select(F.col("doc_id").cast("string"))).distinct()
+    parts = drafts.select(F.col("draft_id").cast("long").alias("item_id"), F.col("doc_id").cast("string").alias("source"), F.col("page").cast("long").alias("page"), F.posexplode_outer("texts").alias("i", "text"))
+    parts = parts.join(scanned, "source", "left_semi").select("item_id", (F.col("i") + 1).alias("line_no"), "source", "page", "text")
+    held = {"held": F.xxhash64("text"), "size": F.length("text")}
+    of = ocr.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("doc_id").cast("string").alias("source"), F.col("page").cast("long").alias("page"), *(c.alias(k) for k, c in held.items())).dropDuplicates(["unit_id"])
+    key = ["source", "page", *held]
+    keyed = parts.where("text is not null").withColumns(held)
+    matched = keyed.select("item_id", "line_no", *key).join(of, key).select("item_id", "line_no", "unit_id")
+    return parts, matched, keyed.join(of.select(key).distinct(), key, "left_anti").drop(*held)
+
+
 def find(units: DataFrame, readings: DataFrame, drafts: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(kind, item_id, line_no, defect) over readings, scanned units and the drafts made of them."""
-    own = unit_items(units)
-    items = own.unionByName(reading_items(readings))
+    items = unit_items(units).unionByName(reading_items(readings))
     lines = line_defects(labelled(items, vocabulary)).persist(StorageLevel.DISK_ONLY)
-    scanned = units.where(F.col("extraction_method") == "ocr").select(F.col("doc_id").cast("string").alias("source")).union(readings.select(F.col("doc_id").cast("string"))).distinct()
-    parts = drafts.select(F.col("draft_id").cast("long").alias("item_id"), F.col("doc_id").cast("string").alias("source"), F.col("page").cast("long").alias("page"), F.posexplode("texts").alias("i", "text"))
-    parts = parts.join(scanned, "source", "left_semi").where("text is not null").select("item_id", (F.col("i") + 1).alias("line_no"), "source", "page", "text")
-    hashed = parts.select("item_id", "line_no", "source", "page", F.xxhash64("text").alias("held"), F.length("text").alias("size"))
-    of = units.where(F.col("extraction_method") == "ocr").select(F.col("unit_id").cast("long").alias("unit_id"), F.col("doc_id").cast("string").alias("source"), F.col("page").cast("long").alias("page"), F.xxhash64("text").alias("held"), F.length("text").alias("size")).dropDuplicates(["unit_id"])
-    key = ["source", "page", "held", "size"]
-    matched = hashed.join(of, key).select("item_id", "line_no", "unit_id")
+    _, matched, alone = elements(units, readings, drafts)
     by_unit = lines.where(F.col("kind") == "unit").select(F.col("item_id").alias("unit_id"), "defect").distinct()
     from_units = matched.join(by_unit, "unit_id").select("item_id", "line_no", "defect")
-    alone = parts.withColumns({"held": F.xxhash64("text"), "size": F.length("text")}).join(of.select(key).distinct(), key, "left_anti")
     of_drafts = from_units.unionByName(element_defects(alone, vocabulary)).distinct()
     return lines.unionByName(of_drafts.select(F.lit("draft").alias("kind"), "item_id", "line_no", "defect")).distinct()
 
@@ -418,18 +440,7 @@ def paragraphs(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     both = items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"]).join(labels, ["kind", "item_id"], "left")
 
     def start():
-        words = Words(vocabulary)
-        spelt = {}
-        for w in vocabulary:
-            spelt.setdefault(words.plain(words.look[w]), w)
-
-        def right(token: str) -> str:
-            form = words.look[token]
-            if words.judge(form) != Words.MISREAD:
-                return form
-            core = words.trimmed(form)
-            near = words.nearest(words.plain(core))
-            return form.replace(core, spelt.get(near, near)) if near else form
+        right = Words(vocabulary).righted
 
         def join(kept: list[tuple[str, dict]]) -> list[str]:
             out: list[str] = []
@@ -458,3 +469,44 @@ def paragraphs(items: DataFrame, vocabulary: list[str]) -> DataFrame:
         return work
 
     return arrow_map(both, start, "kind string, item_id long, paragraphs array<string>, text string")
+
+
+def repaired_elements(alone: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(item_id, line_no, paragraphs) of draft elements that no unit accounts for, each put right as one paragraph."""
+
+    def start():
+        words = Words(vocabulary)
+
+        def put_right(text: str) -> list[str]:
+            out: list[str] = []
+            glue = False
+            tokens = text.split()
+            for a, b in zip(tokens, [*tokens[1:], None]):
+                form = words.righted(a)
+                if glue:
+                    out[-1] = _BREAK_MARK.sub("", out[-1]) + form
+                else:
+                    out.append(form)
+                glue = b is not None and bool(_BREAK_MARK.search(_UNSEEN_END.sub("", a))) and words.broken(a, b)[0]
+            line = " ".join(filter(None, out))
+            return [line] if line else []
+
+        return lambda c: {"item_id": c["item_id"], "line_no": c["line_no"], "paragraphs": [put_right(t) for t in c["text"]]}
+
+    return arrow_map(alone.select("item_id", "line_no", "text"), start, "item_id long, line_no int, paragraphs array<string>")
+
+
+def draft_paragraphs(units: DataFrame, readings: DataFrame, drafts: DataFrame, made: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(kind, item_id, paragraphs, text) of the drafts of scanned documents; ``made`` has the paragraphs of scanned units.
+
+    An element is the paragraphs of the unit it was made of, or is put right for itself.  A draft without text has none.
+    """
+    parts, matched, alone = elements(units, readings, drafts)
+    own = made.where(F.col("kind") == "unit").select(F.col("item_id").alias("unit_id"), "paragraphs")
+    # units of one text on one page: the first stands for all; copies of a draft count once
+    of_units = matched.groupBy("item_id", "line_no").agg(F.min("unit_id").alias("unit_id")).join(own, "unit_id").select("item_id", "line_no", "paragraphs")
+    of_none = parts.where("text is null").select("item_id", F.coalesce("line_no", F.lit(0)).alias("line_no"), F.array().cast("array<string>").alias("paragraphs"))
+    every = of_units.unionByName(repaired_elements(alone.dropDuplicates(["item_id", "line_no"]), vocabulary)).unionByName(of_none.dropDuplicates(["item_id", "line_no"]))
+    element = F.struct("line_no", "paragraphs")
+    whole = every.groupBy("item_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(element)), lambda x: x["paragraphs"])).alias("paragraphs"))
+    return whole.select(F.lit("draft").alias("kind"), "item_id", "paragraphs", F.array_join("paragraphs", "\n\n").alias("text"))

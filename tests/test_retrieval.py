@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from warraq.operators import evaluation as ev
 from warraq.operators import retrieval as rt
+from warraq.plans.catalog import QUERIES
 
 
 def ranking(spark, lists):
@@ -55,6 +56,16 @@ def test_ranks_and_summary(spark):
     assert (round(s.held, 4), s.recall_5, s.recall_10, s.complete_10, s.mrr_10) == (round(2 / 3, 4), 0.25, 0.5, 0.5, 0.5)
 
 
+def test_whole_elements_are_asked(spark, tmp_path):
+    opening = "one two three four five six"
+    units = [(1, "d", 1, f"{opening} seven"), (2, "d", 1, f"{opening} eight"), (2, "d", 1, f"{opening} eight"), (3, "d", 1, "nine ten"), (4, "d", 2, "far away")]
+    spark.createDataFrame(units, "unit_id long, doc_id string, page int, text string").write.parquet(f"{tmp_path}/units.parquet")
+    drafts = [(7, "d", 1, [f"{opening} seven", "nine ten", "far away"])] * 2 + [(8, "d", 1, [opening])]
+    spark.createDataFrame(drafts, "draft_id long, doc_id string, page int, texts array<string>").write.parquet(f"{tmp_path}/drafts.parquet")
+    rows = sorted(tuple(r) for r in QUERIES["evidence_elements"](spark, str(tmp_path)).collect())
+    assert rows == [(7, 1, 1, 1), (7, 2, 1, 3), (7, 3, 0, None), (8, 1, 2, 1)]
+
+
 def test_locate():
     assert ev.locate("adc", "xxabcxx") == (2, 5, 1)
     assert ev.locate("abd", "xxabcxx") == (2, 4, 1)

@@ -179,12 +179,14 @@ def recall_by_label(spark, d):
 _EW = lambda x: f"' ' || array_to_string(regexp_extract_all({S.norm(x)}, '\\p{{Nd}}+|[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), ' ') || ' '"
 
 
+def _evidence_chunks(spark, d):
+    return table(spark, d, "units").dropDuplicates(["unit_id"]).select(F.col("unit_id").alias("chunk_id"), "doc_id", "page", tokens.evidence_words(F.col("text")).alias("words"))
+
+
 def _evidence(spark, d):
-    units = table(spark, d, "units").dropDuplicates(["unit_id"])
-    chunks = units.select(F.col("unit_id").alias("chunk_id"), "doc_id", "page", tokens.evidence_words(F.col("text")).alias("words"))
     first = F.array_join(F.slice(F.split(F.element_at("texts", 1), " "), 1, 6), " ")
     quotes = table(spark, d, "drafts").where(F.size("texts") > 0).select(F.col("draft_id").alias("qid"), F.lit(1).alias("quote_no"), "doc_id", "page", F.array(tokens.evidence_words(first)).alias("parts"))
-    return evaluation.evidence(quotes, chunks)
+    return evaluation.evidence(quotes, _evidence_chunks(spark, d))
 
 
 @query(
@@ -197,6 +199,19 @@ def evidence_holders(spark, d):
     return _evidence(spark, d).groupBy("qid", "quote_no").agg(F.count("chunk_id").alias("holders"), F.min("chunk_id").alias("first"))
 
 
+@query(
+    f"""with u as (select distinct unit_id, doc_id, page, {_EW('text')} as words from units),
+    t as (select draft_id, doc_id, page, unnest(texts) as text, generate_subscripts(texts, 1) as quote_no from (select distinct draft_id, doc_id, page, texts from drafts)),
+    q as (select draft_id as qid, quote_no, doc_id, page, {_EW('text')} as part from t)
+    select qid, quote_no, count(unit_id) as holders, min(unit_id) as first from q left join u on q.doc_id = u.doc_id and q.page = u.page and contains(words, part) group by 1, 2"""
+)
+def evidence_elements(spark, d):
+    """How many units of its page hold the whole of each element of a draft."""
+    drafts = table(spark, d, "drafts").dropDuplicates(["draft_id"]).select(F.col("draft_id").alias("qid"), "doc_id", "page", F.posexplode("texts").alias("i", "text"))
+    quotes = drafts.select("qid", (F.col("i") + 1).alias("quote_no"), "doc_id", "page", F.array(tokens.evidence_words(F.col("text"))).alias("parts"))
+    return evaluation.evidence(quotes, _evidence_chunks(spark, d)).groupBy("qid", "quote_no").agg(F.count("chunk_id").alias("holders"), F.min("chunk_id").alias("first"))
+
+
 @query(
     """with n as (select purpose, seconds as v, row_number() over (partition by purpose order by seconds) as r, count(*) over (partition by purpose) as n from exchanges where seconds is not null)
     select purpose, max(n) as n, max(case when r = greatest(1, least(n, round_even(n * 0.5, 0)::bigint)) then v end) as p50, max(case when r = greatest(1, least(n, round_even(n * 0.95, 0)::bigint)) then v end) as p95 from n group by 1"""

@@ -103,3 +103,17 @@ def test_bootstraps_agree(spark):
     df = spark.createDataFrame([("g", i, float(i % 2)) for i in range(200)], "g string, i int, v double")
     a, b = ev.bootstrap(df, "v", "g", draws=300).first(), ev.hashed_bootstrap(df, "v", "g", "i", draws=300).first()
     assert a.mean == 0.5 and abs(a.low - b.low) < 0.04 and abs(a.high - b.high) < 0.04
+
+
+def test_hashed_bootstrap_draws_all(spark):
+    rows = [("g", i, float(i % 7)) for i in range(150)] + [("one", 900, 4.0), (None, 901, 1.0), (None, 902, 3.0), ("none", 903, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(3)
+    made = {r.g: r for r in ev.hashed_bootstrap(df, "v", "g", "i").collect()}
+    weights = ev.poisson_weights(np.array([r.h for r in df.where("g = 'g'").orderBy("i").select(F.xxhash64(F.lit(ev.SEED), "i").alias("h")).collect()], np.int64).view(np.uint64), ev.DRAWS).astype(float)
+    values = np.array([i % 7 for i in range(150)], float)
+    means = np.sort(values @ weights / weights.sum(0))
+    assert weights.shape == (150, 10_000) and abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.01
+    g = made["g"]
+    assert g.n == 150 and np.allclose((g["mean"], g.low, g.high), (values.mean(), means[250], means[9749]))
+    assert [tuple(made[k])[1:] for k in ("one", "none")] == [(1, 4.0, 4.0, 4.0), (0, None, None, None)]
+    assert tuple(made[None])[1:] == (2, 2.0, 1.0, 3.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -94,23 +95,79 @@ def bootstrap(df: DataFrame, value: str, by: str, draws: int = DRAWS, seed: int
     return df.select(by, value).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, low double, high double")
 
 
-def hashed_bootstrap(df: DataFrame, value: str, by: str, key: str, draws: int = 1000, seed: int = SEED) -> DataFrame:
-    """The same interval for groups of any size: each value gets a Poisson weight per draw from a hash of (seed, draw, key).
+#: Weights that a task makes at once, and groups whose sums it holds before it sends them on.
+WEIGHTS, GROUPS_HELD = 1 << 18, 64
 
-    Sums over draws are mergeable, so no group is collected and values are read once.
-    """
-    import math
 
-    bounds, total = [], 0.0
+def poisson_weights(keys: np.ndarray, draws: int) -> np.ndarray:
+    """Poisson weights of mean 1, a row per key (64-bit hashes) and a column per draw: the same key has the same weights anywhere."""
+    # splitmix64: the state of draw i is key + (i + 1) * step
+    z = keys.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+    weights, total = np.zeros(u.shape, np.uint8), 0.0
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
-        bounds.append(total)
-    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", key), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(u >= b, 1).otherwise(0) for b in bounds[1:]), F.when(u >= bounds[0], 1).otherwise(0))
-    each = df.where(F.col(value).isNotNull()).select(by, key, F.col(value).alias("v"), draw).withColumn("w", weight)
-    means = each.groupBy(by, "draw").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    return means.groupBy(by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+        weights += u >= min(round(total * 2**32), 2**32 - 1)
+    return weights
+
+
+def hashed_bootstrap(df: DataFrame, value: str, by: str, key: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, n, mean, low, high), as ``bootstrap``, for groups of any size: each value gets a Poisson weight per draw from a hash of (seed, key).
+
+    A value's weights are one array; a task adds them up by group, so a row per task, group and draw is shuffled, not one
+    per value and draw.  Sums are mergeable, so no group is collected and values are read once.  A draw that
+    takes no value of a group (which only groups of a few values have) has no mean.
+    """
+    names = [by, "draw", "s", "w"]
+    kind = dict(df.dtypes)[by]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def sums():
+            for group, (s, w) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(s), kinds[0]), pa.array(np.arange(-1, draws, dtype=np.int32)), pa.array(s), pa.array(w)], names=names)
+            held.clear()
+
+        kinds: list = []
+        for b in batches:
+            kinds[:] = [b.column("by").type]
+            keys = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            values = b.column("v").to_numpy(zero_copy_only=False).astype(float)
+            rows: dict = {}
+            for i, group in enumerate(b.column("by").to_pylist()):
+                rows.setdefault(group, []).append(i)
+            for group, at in rows.items():
+                if group not in held:
+                    if len(held) >= GROUPS_HELD:
+                        yield from sums()
+                    held[group] = np.zeros(draws + 1), np.zeros(draws + 1)
+                s, w = held[group]
+                at = [i for i in at if not np.isnan(values[i])]
+                step = max(1, WEIGHTS // draws)
+                for i in range(0, len(at), step):
+                    v, weights = values[at[i : i + step]], poisson_weights(keys[at[i : i + step]], draws)
+                    # the place before the first draw has the values themselves
+                    s[0] += v.sum()
+                    w[0] += len(v)
+                    s[1:] += v @ weights
+                    w[1:] += weights.sum(0)
+        yield from sums()
+
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = df.select(F.col(by).alias("by"), F.xxhash64(F.lit(seed), F.col(key)).alias("key"), F.col(value).cast("double").alias("v")).repartition(parts, "key")
+    each = own.mapInArrow(run, f"`{by}` {kind}, draw int, s double, w double").groupBy(by, "draw").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    m = F.when(F.col("w") > 0, F.col("s") / F.col("w"))
+    whole = F.col("draw") < 0
+    made = each.groupBy(by).agg(F.max(F.when(whole, F.col("w"))).cast("long").alias("n"), F.max(F.when(whole, m)).alias("mean"), F.array_sort(F.collect_list(F.when(~whole, m))).alias("means"))
+    # integers: 0.975 * 10,000 and the like mustn't fall below the whole number
+    at = lambda i: F.try_element_at("means", F.greatest(i, F.lit(1)).cast("int"))
+    n = F.size("means")
+    return made.select(by, "n", "mean", at(F.floor(n * 25 / 1000) + 1).alias("low"), at(F.floor(n * 975 / 1000)).alias("high"))
 
 
 # ------------------------------------------------------------------ agreement

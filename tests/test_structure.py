@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from warraq.operators import calendars, layout, quality, structure, tables
+from warraq.plans.catalog import QUERIES
 
 
 def test_article_labels():
@@ -94,3 +95,11 @@ def test_routes_and_gate(spark):
     rows = quality.gate(q).collect()
     assert [r.verdict for r in rows] == ["trusted", "untrusted", "no_arabic_text", "untrusted"]
     assert rows[3].rejected_by == ["too_few_words", "cid_placeholders", "token_validity"]
+
+
+def test_article_labels_in_any_encoding(spark, tmp_path):
+    shaped = "\ufe8d\ufedf\ufee4\ufe8e\ufea9\ufe93 الثالثة:"
+    lines = ["المادة الأولى:", "الما\u200bدة الثانية:", shaped, "المَادَّة الرابعة:", "\u202bالمادّة\u202c الخامسة:", "من المادة الأولى", "نص", None]
+    spark.createDataFrame([(1, lines), (1, lines), (2, None)], "unit_id long, lines array<string>").write.parquet(f"{tmp_path}/units.parquet")
+    rows = sorted((r.unit_id, r.i, r.number) for r in QUERIES["article_labels"](spark, str(tmp_path)).collect())
+    assert rows == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 4, 5)]

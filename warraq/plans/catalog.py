@@ -546,7 +546,9 @@ def joined_lines(spark, d):
 @query()
 def article_labels(spark, d):
     """Articles' labels among the lines of units."""
-    lines = table(spark, d, "units").dropDuplicates(["unit_id"]).select("unit_id", F.posexplode("lines").alias("i", "line")).where(F.col("line").contains("المادة"))
+    lines = table(spark, d, "units").dropDuplicates(["unit_id"]).select("unit_id", F.posexplode("lines").alias("i", "line"))
+    # compared as article_label compares: stored lines may have presentation forms, vowel marks or unseen characters
+    lines = lines.where(normalize.for_comparison(F.col("line")).contains(structure.ARTICLE))
     return lines.withColumn("l", structure.article_labels("line")).where("l.label is not null").select("unit_id", "i", "l.label", "l.number", "l.certain")
 
 

@@ -146,11 +146,16 @@ def test_drafts_are_put_right(spark):
     units = spark.createDataFrame([(p, "d", p, lines(p), " ".join(lines(p)), "ocr") for p in range(1, 7)] + [(20, "d", 2, lines(2), " ".join(lines(2)), "ocr")], "unit_id long, doc_id string, page int, lines array<string>, text string, extraction_method string")
     readings = spark.createDataFrame([], "reading_id long, doc_id string, page int, text string").select("reading_id", "doc_id", "page", F.struct("text").alias("result"))
     rows = [(1, "d", 1, [" ".join(lines(1)), "thc book re- turns"]), (2, "d", 2, [" ".join(lines(2))]), (2, "d", 2, [" ".join(lines(2))]), (3, "t", 1, ["thc book"]), (4, "d", 3, []), (5, "d", 3, [None, "thc papers"]), (6, "d", 3, None)]
+    rows += [(7, "d", 9, ["Records office | papers the stu dent reads 9 marked b0ok today. - 9 -"]), (8, "d", 8, ["a free stu- records office | papers 8 dent reads 8 papers"])]
     drafts = spark.createDataFrame(rows, "draft_id long, doc_id string, page int, texts array<string>")
-    made = scan_repair.paragraphs(scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings)), WORDS)
+    items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
+    labels = scan_repair.labelled(items, WORDS)
+    made = scan_repair.paragraphs(items, WORDS, labels)
     whole = {p: f"{WORDS[p]} teacher book {WORDS[p + 1]} committee returns {WORDS[p + 2]} papers." for p in (1, 2)}
-    found = sorted(tuple(r) for r in scan_repair.draft_paragraphs(units, readings, drafts, made, WORDS).select("kind", "item_id", "text").collect())
-    assert found == [("draft", 1, whole[1] + "\n\nthe book returns"), ("draft", 2, whole[2]), ("draft", 4, ""), ("draft", 5, "the papers"), ("draft", 6, "")]
+    found = sorted(tuple(r) for r in scan_repair.draft_paragraphs(units, readings, drafts, made, labels, WORDS).select("kind", "item_id", "text").collect())
+    assert found == [("draft", 1, whole[1] + "\n\nthe book returns"), ("draft", 2, whole[2]), ("draft", 4, ""), ("draft", 5, "the papers"), ("draft", 6, ""), ("draft", 7, "the student reads 9 marked book today."), ("draft", 8, "a free student reads 8 papers")]
+    defects = {tuple(r)[1:] for r in scan_repair.find(units, readings, drafts, WORDS).where("kind = 'draft' and item_id > 6").collect()}
+    assert defects == {(i, 1, x) for i in (7, 8) for x in ("running_line", "page_number", "broken_word")} | {(7, 1, "misread")}
 
 
 # ------------------------------------------------------------------ replies

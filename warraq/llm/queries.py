@@ -55,8 +55,9 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Continuous paragraphs of readings, scanned units and their drafts."""
     units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _words(spark, d)
     items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
-    made = scan_repair.paragraphs(items, words).persist(StorageLevel.DISK_ONLY)
-    of_drafts = scan_repair.draft_paragraphs(units, readings, table(spark, d, "drafts"), made, words)
+    labels = scan_repair.labelled(items, words).persist(StorageLevel.DISK_ONLY)
+    made = scan_repair.paragraphs(items, words, labels).persist(StorageLevel.DISK_ONLY)
+    of_drafts = scan_repair.draft_paragraphs(units, readings, table(spark, d, "drafts"), made, labels, words)
     return made.unionByName(of_drafts).select("kind", "item_id", "text")
 
 

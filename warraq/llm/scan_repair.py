@@ -49,6 +49,7 @@ _NUMBER = re.compile(r"[\W_]*(\d{1,5})(?:\s*/\s*\d{1,5})?[\W_]*")
 _BREAK_MARK = re.compile(r"[-‐‑–¬\u00adـ]+$")
 _UNSEEN_END = re.compile("[\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff]+$")
 _CODE = re.compile(r"[A-Z]{1,5}-?\d[\dA-Z-]*|[A-Z]{1,3}")
+_DASHED = re.compile(r"[-‐‑–—|]\s?\d.*[-‐‑–—|]")
 _ENDS = re.compile(r"[.!?؟:؛][\])»\"']*$")
 _STARTS = re.compile(r"(?:[.\-(\[]?\s?\d{1,3}\s?[.)\-\]]|[•*▪◦\-–]\s|[A-Z]{3}-\d{3}:)")
 # Pairs of letters that engines take for one, or one for them.
@@ -312,7 +313,7 @@ def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     flags = flags.groupBy("kind", "item_id", "line_no").agg(F.max("running").alias("running"), F.max("paged").alias("paged"))
     full = rows.join(flags, ["kind", "item_id", "line_no"], "left").fillna(False, ["running", "paged"])
     # a copy of an item gives the same rows, which a set takes once: texts needn't be shuffled to drop copies
-    line = F.struct("line_no", "number", "ends", "starts", "short", "misread", "broken", "broken_over", "running", "paged")
+    line = F.struct("line_no", "wording", "number", "ends", "starts", "short", "misread", "broken", "broken_over", "running", "paged")
     grouped = full.groupBy("kind", "item_id").agg(F.first("source").alias("source"), F.first("page").alias("page"), F.array_sort(F.collect_set(line)).alias("lines")).persist(StorageLevel.DISK_ONLY)
 
     def counted():
@@ -377,29 +378,106 @@ def reading_items(readings: DataFrame) -> DataFrame:
     return r.select(F.lit("reading").alias("kind"), F.col("reading_id").cast("long").alias("item_id"), F.col("doc_id").cast("string").alias("source"), F.col("page").cast("long").alias("page"), lines.alias("lines"))
 
 
-def element_defects(elements: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(item_id, line_no, defect) of draft elements that no unit accounts for, each checked as one line."""
+def document_noise(labels: DataFrame) -> DataFrame:
+    """(source, wordings, offset): the wordings of a document's running lines, and what its counted pages are ahead of its printed ones."""
+    x = labels.where("source is not null").select("source", "page", F.explode("lines").alias("x"))
+    head = F.col("x.running") & F.col("x.state").isin("head", "foot")
+    number = F.col("x.paged") & (F.col("x.state") == "number")
+    found = x.where(head | number).groupBy("source")
+    return found.agg(F.collect_set(F.when(head, F.col("x.wording"))).alias("wordings"), F.mode(F.when(number, F.col("page") - F.col("x.number")), True).alias("offset"))
+
+
+class Element:
+    """A draft's element whose lines aren't known: which of its tokens are noise.
+
+    A running line is a stretch of tokens with the wording of one of the document's; one of a single word counts at the
+    element's ends only.  A number is the page's if it is the page's and has dashes around it, stands beside a running line or
+    after the last sentence, or is all there is.
+    """
+
+    #: Most tokens of a running line.
+    LONGEST = 40
+
+    def __init__(self, words: Words, wording: Wording, text: str, page: int | None, wordings: list[int], offset: int | None):
+        self.words, self.tokens = words, text.split()
+        self.forms = [words.look[t] for t in self.tokens]
+        n = len(self.tokens)
+        dropped = [False] * n
+        running = set(wordings)
+        parts = [wording[t] for t in self.tokens] if running else []
+        i = 0
+        while running and i < n:
+            stop, joined = 0, ""
+            for j in range(i, min(n, i + self.LONGEST) if parts[i] else i):
+                joined += parts[j]
+                if parts[j] and hash64(joined) in running and (j > i or i == 0 or j == n - 1):
+                    stop = j + 1
+            dropped[i:stop] = [True] * (stop - i if stop else 0)
+            i = max(stop, i + 1)
+        self.running = any(dropped)
+        self.numbered = False
+        heads = list(dropped)
+        for i in range(n if page is not None and offset is not None else 0):
+            for j in (i + 3, i + 2, i + 1):
+                if j > n or any(dropped[i:j]):
+                    continue
+                shown = " ".join(self.forms[i:j]).strip()
+                m = _NUMBER.fullmatch(shown)
+                if not m or int(m.group(1)) != page - offset:
+                    continue
+                beside = i > 0 and heads[i - 1] or j < n and heads[j]
+                if _DASHED.fullmatch(shown) or beside or i == 0 and j == n or j == n and _ENDS.search(self.forms[i - 1]):
+                    dropped[i:j] = [True] * (j - i)
+                    self.numbered = True
+                    break
+        self.kept = [i for i in range(n) if not dropped[i]]
+        self.bad = {i for i, f in enumerate(self.forms) if words.judge(f) == Words.MISREAD}
+        self.glued = set()
+        for a, b in zip(self.kept, self.kept[1:]):
+            is_broken, first, second = words.broken(self.tokens[a], self.tokens[b])
+            if is_broken:
+                self.glued.add(a)
+                # the pieces are judged as one word
+                self.bad -= {a, b}
+                self.bad |= ({a} if first else set()) | ({b} if second else set())
+
+    def defects(self) -> list[str]:
+        found = {"broken_word": self.glued, "misread": self.bad, "page_number": self.numbered, "running_line": self.running}
+        return [k for k, v in found.items() if v]
+
+    def put_right(self) -> str:
+        out, before = [], ""
+        for i in self.kept:
+            before += self.forms[i]
+            if i in self.glued:
+                before = _BREAK_MARK.sub("", _UNSEEN_END.sub("", before))
+            else:
+                out.append(self.words.righted(before))
+                before = ""
+        return " ".join(filter(None, out))
+
+
+def _read_elements(alone: DataFrame, noise: DataFrame, vocabulary: list[str], name: str, kind: str, of) -> DataFrame:
+    """(item_id, line_no, name): ``of`` each element that no unit accounts for."""
 
     def start():
         words = Words(vocabulary)
+        wording = Wording(words.look)
 
         def work(c: dict) -> dict:
-            out: dict[str, list] = {"item_id": [], "line_no": [], "defect": []}
-            for item, no, text in zip(c["item_id"], c["line_no"], c["text"]):
-                tokens = text.split()
-                found = set()
-                if any(words.judge(words.look[t]) == Words.MISREAD for t in tokens):
-                    found.add("misread")
-                if any(_BREAK_MARK.search(a) and words.broken(a, b)[0] for a, b in zip(tokens, tokens[1:])):
-                    found.add("broken_word")
-                for defect in sorted(found):
-                    for k, v in zip(out, (item, no, defect)):
-                        out[k].append(v)
-            return out
+            made = [of(Element(words, wording, t, p, w or [], o)) for t, p, w, o in zip(c["text"], c["page"], c["wordings"], c["offset"])]
+            return {"item_id": c["item_id"], "line_no": c["line_no"], name: made}
 
         return work
 
-    return arrow_map(elements.select("item_id", "line_no", "text"), start, "item_id long, line_no int, defect string")
+    both = alone.join(noise, "source", "left").select("item_id", "line_no", "page", "text", "wordings", "offset")
+    return arrow_map(both, start, f"item_id long, line_no int, {name} {kind}")
+
+
+def element_defects(alone: DataFrame, noise: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(item_id, line_no, defect) of draft elements that no unit accounts for, each checked as one line."""
+    made = _read_elements(alone, noise, vocabulary, "defects", "array<string>", Element.defects)
+    return made.select("item_id", "line_no", F.explode("defects").alias("defect"))
 
 
 def elements(units: DataFrame, readings: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -423,20 +501,22 @@ def elements(units: DataFrame, readings: DataFrame, drafts: DataFrame) -> tuple[
 def find(units: DataFrame, readings: DataFrame, drafts: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(kind, item_id, line_no, defect) over readings, scanned units and the drafts made of them."""
     items = unit_items(units).unionByName(reading_items(readings))
-    lines = line_defects(labelled(items, vocabulary)).persist(StorageLevel.DISK_ONLY)
+    labels = labelled(items, vocabulary).persist(StorageLevel.DISK_ONLY)
+    lines = line_defects(labels)
     _, matched, alone = elements(units, readings, drafts)
     by_unit = lines.where(F.col("kind") == "unit").select(F.col("item_id").alias("unit_id"), "defect").distinct()
     from_units = matched.join(by_unit, "unit_id").select("item_id", "line_no", "defect")
-    of_drafts = from_units.unionByName(element_defects(alone, vocabulary)).distinct()
+    of_drafts = from_units.unionByName(element_defects(alone, document_noise(labels), vocabulary)).distinct()
     return lines.unionByName(of_drafts.select(F.lit("draft").alias("kind"), "item_id", "line_no", "defect")).distinct()
 
 
-def paragraphs(items: DataFrame, vocabulary: list[str]) -> DataFrame:
+def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None = None) -> DataFrame:
     """(kind, item_id, paragraphs, text): running lines and page numbers dropped, broken words joined, misread words put right.
 
     A misread word becomes the vocabulary word nearest to it, in the letter case that the vocabulary has.
+    ``labels`` are the items' if they have been labelled.
     """
-    labels = labelled(items, vocabulary).select("kind", "item_id", F.col("lines").alias("labels"))
+    labels = (labelled(items, vocabulary) if labels is None else labels).select("kind", "item_id", F.col("lines").alias("labels"))
     both = items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"]).join(labels, ["kind", "item_id"], "left")
 
     def start():
@@ -471,33 +551,14 @@ def paragraphs(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     return arrow_map(both, start, "kind string, item_id long, paragraphs array<string>, text string")
 
 
-def repaired_elements(alone: DataFrame, vocabulary: list[str]) -> DataFrame:
+def repaired_elements(alone: DataFrame, noise: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(item_id, line_no, paragraphs) of draft elements that no unit accounts for, each put right as one paragraph."""
-
-    def start():
-        words = Words(vocabulary)
-
-        def put_right(text: str) -> list[str]:
-            out: list[str] = []
-            glue = False
-            tokens = text.split()
-            for a, b in zip(tokens, [*tokens[1:], None]):
-                form = words.righted(a)
-                if glue:
-                    out[-1] = _BREAK_MARK.sub("", out[-1]) + form
-                else:
-                    out.append(form)
-                glue = b is not None and bool(_BREAK_MARK.search(_UNSEEN_END.sub("", a))) and words.broken(a, b)[0]
-            line = " ".join(filter(None, out))
-            return [line] if line else []
-
-        return lambda c: {"item_id": c["item_id"], "line_no": c["line_no"], "paragraphs": [put_right(t) for t in c["text"]]}
-
-    return arrow_map(alone.select("item_id", "line_no", "text"), start, "item_id long, line_no int, paragraphs array<string>")
+    made = _read_elements(alone, noise, vocabulary, "text", "string", Element.put_right)
+    return made.select("item_id", "line_no", F.filter(F.array("text"), lambda t: t != "").alias("paragraphs"))
 
 
-def draft_paragraphs(units: DataFrame, readings: DataFrame, drafts: DataFrame, made: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(kind, item_id, paragraphs, text) of the drafts of scanned documents; ``made`` has the paragraphs of scanned units.
+def draft_paragraphs(units: DataFrame, readings: DataFrame, drafts: DataFrame, made: DataFrame, labels: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(kind, item_id, paragraphs, text) of the drafts of scanned documents; ``made`` has the paragraphs of scanned units, ``labels`` their lines'.
 
     An element is the paragraphs of the unit it was made of, or is put right for itself.  A draft without text has none.
     """
@@ -506,7 +567,7 @@ def draft_paragraphs(units: DataFrame, readings: DataFrame, drafts: DataFrame, m
     # units of one text on one page: the first stands for all; copies of a draft count once
     of_units = matched.groupBy("item_id", "line_no").agg(F.min("unit_id").alias("unit_id")).join(own, "unit_id").select("item_id", "line_no", "paragraphs")
     of_none = parts.where("text is null").select("item_id", F.coalesce("line_no", F.lit(0)).alias("line_no"), F.array().cast("array<string>").alias("paragraphs"))
-    every = of_units.unionByName(repaired_elements(alone.dropDuplicates(["item_id", "line_no"]), vocabulary)).unionByName(of_none.dropDuplicates(["item_id", "line_no"]))
+    every = of_units.unionByName(repaired_elements(alone.dropDuplicates(["item_id", "line_no"]), document_noise(labels), vocabulary)).unionByName(of_none.dropDuplicates(["item_id", "line_no"]))
     element = F.struct("line_no", "paragraphs")
     whole = every.groupBy("item_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(element)), lambda x: x["paragraphs"])).alias("paragraphs"))
     return whole.select(F.lit("draft").alias("kind"), "item_id", "paragraphs", F.array_join("paragraphs", "\n\n").alias("text"))

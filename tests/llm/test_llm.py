@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from warraq.llm import mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting, tokens
+from warraq.llm import common, mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting, tokens
 from warraq.llm.look import Automaton, LookForm, Trie, Wording, by_table
 
 WORDS = "the student selects a free course at records office teacher reads book today committee returns marked papers Starts الطالب يقدم طلب التسجيل في مكتب القبول".split()
@@ -158,6 +158,13 @@ def test_drafts_are_put_right(spark):
     assert defects == {(i, 1, x) for i in (7, 8) for x in ("running_line", "page_number", "broken_word")} | {(7, 1, "misread")}
 
 
+def test_no_word_is_left_out(spark):
+    lexicon = spark.createDataFrame([(w, n) for n, w in enumerate(WORDS)] * 2, "word string, frequency long")
+    assert set(common.whole_vocabulary(lexicon, len(set(WORDS)))) == set(WORDS)
+    with pytest.raises(ValueError, match="more than"):
+        common.whole_vocabulary(lexicon, len(set(WORDS)) - 1)
+
+
 # ------------------------------------------------------------------ replies
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most vocabulary words sent to the workers. Rarer words are then spelt by table, with the same result.
+#: Most vocabulary words sent to the workers. For looks, rarer words are then spelt by table, with the same result.
 VOCABULARY_WORDS = 100_000
 
 
@@ -18,6 +18,14 @@ def vocabulary(lexicon: DataFrame, most: int = VOCABULARY_WORDS) -> list[str]:
     return [r.word for r in rows]
 
 
+def whole_vocabulary(lexicon: DataFrame, most: int = VOCABULARY_WORDS) -> list[str]:
+    """``vocabulary`` for uses where a word left out would be unknown: an error if the list has more than ``most`` words."""
+    words = vocabulary(lexicon, most + 1)
+    if len(words) > most:
+        raise ValueError(f"the lexicon has more than {most} words: those left out would be taken for misread or foreign ones")
+    return words
+
+
 def arrow_map(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """``mapInArrow`` over plain lists: ``start()`` runs once a task and gives the function of a batch.
 

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting
-from .common import vocabulary
+from .common import vocabulary, whole_vocabulary
 
 
 def _words(spark: SparkSession, d: str) -> list[str]:
     return vocabulary(table(spark, d, "lexicon"))
 
 
+def _all_words(spark: SparkSession, d: str) -> list[str]:
+    return whole_vocabulary(table(spark, d, "lexicon"))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.unit_items(table(spark, d, "units")).unionByName(repeated_lines.document_items(table(spark, d, "documents")))
 
@@ -48,12 +52,12 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Broken and misread words, running lines and page numbers of scanned pages, units and drafts."""
-    return scan_repair.find(table(spark, d, "units"), table(spark, d, "readings"), table(spark, d, "drafts"), _words(spark, d))
+    return scan_repair.find(table(spark, d, "units"), table(spark, d, "readings"), table(spark, d, "drafts"), _all_words(spark, d))
 
 
 def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Continuous paragraphs of readings, scanned units and their drafts."""
-    units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _words(spark, d)
+    units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _all_words(spark, d)
     items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
     labels = scan_repair.labelled(items, words).persist(StorageLevel.DISK_ONLY)
     made = scan_repair.paragraphs(items, words, labels).persist(StorageLevel.DISK_ONLY)
@@ -63,7 +67,7 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective replies and their defects."""
-    return reply_defects.find(table(spark, d, "exchanges"), _words(spark, d))
+    return reply_defects.find(table(spark, d, "exchanges"), _all_words(spark, d))
 
 
 def _sized_items(spark: SparkSession, d: str) -> DataFrame:

@@ -8,22 +8,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most vocabulary words sent to the workers. For looks, rarer words are then spelt by table, with the same result.
+#: Most words of a lexicon, a small fixed table that is sent to the workers whole; a longer one raises an error, as none may be left out.
 VOCABULARY_WORDS = 100_000
 
 
 def vocabulary(lexicon: DataFrame, most: int = VOCABULARY_WORDS) -> list[str]:
-    """The words of a frequency list, most frequent first, at most ``most`` of them; the list is sent with the tasks."""
-    rows = lexicon.where("word is not null").groupBy("word").agg(F.max("frequency").alias("frequency")).orderBy(F.desc("frequency"), "word").limit(most).collect()
+    """The words of a frequency list, most frequent first; the list is sent with the tasks.
+
+    A list of more than ``most`` words raises an error: a word left out would be taken for a misread or foreign one, and
+    letters with several readings would be read otherwise.
+    """
+    rows = lexicon.where("word is not null").groupBy("word").agg(F.max("frequency").alias("frequency")).orderBy(F.desc("frequency"), "word").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the lexicon has more than {most} words")
     return [r.word for r in rows]
 
 
-def whole_vocabulary(lexicon: DataFrame, most: int = VOCABULARY_WORDS) -> list[str]:
-    """``vocabulary`` for uses where a word left out would be unknown: an error if the list has more than ``most`` words."""
-    words = vocabulary(lexicon, most + 1)
-    if len(words) > most:
-        raise ValueError(f"the lexicon has more than {most} words: those left out would be taken for misread or foreign ones")
-    return words
+_MADE: dict[tuple, object] = {}
+
+
+def once(make: Callable[[list[str]], object], words: list[str]):
+    """``make(words)``, made once a Python worker and used by all of its tasks (it may hold caches, nothing of a task)."""
+    key = (make, len(words), hash(tuple(words)))
+    if key not in _MADE:
+        if len(_MADE) >= 8:
+            _MADE.clear()
+        _MADE[key] = make(words)
+    return _MADE[key]
 
 
 def arrow_map(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:

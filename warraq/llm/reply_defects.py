@@ -4,10 +4,11 @@ A reply is compared with the question found in its prompt (passages, labels and
 instructions set aside) after both are brought to one look:
 
 * ``copies_question``: the reply's five-word shingles that the question (said
-  once or again) contains, and the longest common runs of words, leave nothing
-  of the reply but words of quoting.
-* ``refusal``: every sentence of the reply aligns (longest common subsequence of
-  words over the template's length, 0.8 or more) with a refusal template or is a
+  once or again) contains, and longest common subsequences of the rest with it,
+  leave nothing of the reply but words of quoting and stray ones: a fifth of its
+  words at most, no figure, and no three in a row.
+* ``refusal``: every sentence or clause of the reply aligns (longest common
+  subsequence, 0.8 or more) with a template of slots in ``refusals``, or with a
   courtesy that goes with one, and at least one is a refusal.
 * ``other_language``: the reply's language (script, then the share of its words
   in the vocabulary of that language) isn't that of the question, or of the
@@ -25,39 +26,20 @@ All work is per row: no shuffle but that which drops copies of an exchange.
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, once
 from .look import LookForm
+from .refusals import Refusals, clauses
 
 SHINGLE, ALIKE = 5, 0.8
+#: Words that a common subsequence must have to count, and words in a row that say something.
+LEAST_COMMON = 3
 #: Words that a complete answer without an end mark may have at most.
 FEW_WORDS = 5
 
-# What refusals say.
-REFUSALS = [
-    "لا أستطيع الإجابة عن هذا السؤال", "لا تتوفر لدي معلومات كافية عن ذلك", "يتعذر علي إعطاء جواب مؤكد",
-    "ليس بإمكاني تقديم هذه المعلومة", "أفضل ألا أجيب عن هذا الطلب", "هذا الموضوع خارج نطاق ما أعرفه",
-    "لم أجد في المقاطع ما يجيب عن سؤالك", "المقاطع المتاحة لا تتطرق إلى هذا الأمر", "لست مخولا بالحديث في هذا الشأن",
-    "لا يمكنني الإجابة عن هذا السؤال", "لا يمكنني المساعدة في هذا الطلب", "لا أعرف الإجابة", "لا أعلم",
-    "I can't share that information", "the material given is silent on this matter", "I am not able to answer this",
-    "this lies outside what I know", "I do not have enough information about it", "I would rather not respond to this request",
-    "it is not my place to comment on this", "no reliable answer can be given here", "I cannot answer this question",
-    "I can't help with that request", "I am unable to answer this question", "I won't answer this", "I don't know",
-    "the passages do not contain the answer", "I could not find the answer in the passages", "I must decline to answer",
-]
-# Courtesies and pointers that go with refusals and answer nothing; a star stands for any words.
-COURTESIES = [
-    "عذرا", "نأسف", "للأسف", "آسف", "شكرا لسؤالك", "بعد مراجعة المقاطع", "فتواصل مع مكتب السجلات", "ويمكنك صياغة السؤال من جديد",
-    "يرجى مراجعة القسم المختص", "المقاطع تتناول * فقط", "مع الأسف", "المعذرة",
-    "sorry", "I am sorry", "I'm sorry", "unfortunately", "as an assistant", "having read the passages", "thank you for asking",
-    "thank you for your question", "thanks for asking", "please contact the records office", "but you may rephrase the question",
-    "ask the department instead", "the passages only cover *", "the passages only deal with *", "the passages are only about *",
-    "the passages cover * only", "the passages deal with * only", "I apologise", "I apologize",
-]
 # Words of quoting that copies of a question bring along.
 QUOTING = set("سؤالك تسأل السؤال سؤال سألت تقول your question you ask asked asks are asking the is was question".split())
 # Labels that announce an answer.
@@ -93,15 +75,34 @@ def question_of(prompt: str) -> str:
     return kept[0] if kept else ""
 
 
+def common_subsequence(a: list[str], b: list[str]) -> list[int]:
+    """The places in ``a`` of a longest common subsequence with ``b``."""
+    sizes = [[0] * (len(b) + 1)]
+    for x in a:
+        before, row = sizes[-1], [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        sizes.append(row)
+    met, i, j = [], len(a), len(b)
+    while i and j:
+        if sizes[i][j] == sizes[i - 1][j]:
+            i -= 1
+        elif sizes[i][j] == sizes[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            met.append(i)
+    return met[::-1]
+
+
 class Judge:
     """The defects of one exchange at a time; built once a task."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], refusals: Refusals | None = None):
         self.look = LookForm(words)
         self.known = {_MARKS.sub("", self.look[w]).casefold() for w in words}
         self.beginnings = {w[:i] for w in self.known for i in range(1, len(w))}
-        self.refusals = [words_of(t) for t in REFUSALS]
-        self.courtesies = [[words_of(p) for p in t.split("*")] for t in COURTESIES]
+        self.refusals = refusals or Refusals()
 
     def language(self, text: str) -> str | None:
         """ar, en, other, or None where nothing tells."""
@@ -120,6 +121,7 @@ class Judge:
         return not left or all(w in LABELS for w in left)
 
     def copies(self, reply: list[str], question: list[str]) -> bool:
+        """Whether a reply says no more than the question: what shingles and common subsequences leave of it is too little to say anything."""
         if not reply or not question or len(reply) < 3 and reply != question:
             return False
         own = set(question) | QUOTING
@@ -131,57 +133,41 @@ class Judge:
         for i in range(len(reply) - SHINGLE + 1):
             if tuple(reply[i : i + SHINGLE]) in held:
                 covered[i : i + SHINGLE] = [True] * SHINGLE
-        # what shingles leave is aligned by the longest common runs, again and again as the question may be repeated
+        # what shingles leave is aligned with the question by longest common subsequence, again and again as the question may be repeated
         rest = [i for i, c in enumerate(covered) if not c]
         while rest:
-            m = SequenceMatcher(None, [reply[i] for i in rest], question, autojunk=False).find_longest_match()
-            if m.size < min(3, len(question)):
+            met = common_subsequence([reply[i] for i in rest], question)
+            if len(met) < min(LEAST_COMMON, len(question)):
                 break
-            for i in rest[m.a : m.a + m.size]:
-                covered[i] = True
-            rest = rest[: m.a] + rest[m.a + m.size :]
-        rest = [reply[i] for i in rest if reply[i] not in QUOTING]
-        said = len(reply) - len(rest)
-        return said >= ALIKE * len(reply) and len(rest) <= 2 and sum(covered) >= min(3, len(question))
-
-    def _aligned(self, sentence: list[str], template: list[str]) -> bool:
-        if len(sentence) < ALIKE * len(template) or sum(w in sentence for w in template) < ALIKE * len(template):
+            for k in met:
+                covered[rest[k]] = True
+            rest = [i for i in rest if not covered[i]]
+        left = [i for i in rest if reply[i] not in QUOTING]
+        if sum(covered) < min(LEAST_COMMON, len(question)) or len(left) > (1 - ALIKE) * len(reply):
             return False
-        sizes = [0] * (len(template) + 1)
-        for w in sentence:
-            before = 0
-            for j, t in enumerate(template):
-                before, sizes[j + 1] = sizes[j + 1], before + 1 if w == t else max(sizes[j + 1], sizes[j])
-        return sizes[-1] >= ALIKE * len(template)
-
-    def _courtesy(self, words: list[str]) -> bool:
-        for parts in self.courtesies:
-            first, last = parts[0], parts[-1]
-            if len(parts) == 1:
-                if self._aligned(words, first) and len(words) <= len(first) + 1:
-                    return True
-            elif len(words) >= len(first) + len(last) and words[: len(first)] == first and (not last or words[-len(last) :] == last):
-                return True
-        return False
-
-    def refuses(self, text: str) -> bool:
-        """Every clause is a refusal or a courtesy, and one is a refusal."""
+        # a figure, or several words in a row, that the question hasn't got say something
+        row = 0
+        for i in range(len(reply)):
+            row = row + 1 if i in left else 0
+            if row >= LEAST_COMMON or row and any(c.isdigit() for c in reply[i]):
+                return False
+        return True
+
+    def refuses(self, text: str, question: str = "") -> bool:
+        """Every sentence, or every clause of it, is a refusal or a courtesy, and one is a refusal."""
         refused = False
+        asked = frozenset(words_of(question))
         for sentence in _BOUNDARY.split(_CITED.sub(" ", text)):
             if not (words := words_of(sentence)):
                 continue
-            whole = any(self._aligned(words, t) and len(words) <= len(t) / ALIKE + 1 for t in self.refusals)
-            if whole:
+            if self.refusals.refusal(words, asked):
                 refused = True
                 continue
-            if self._courtesy(words):
-                continue
-            for clause in re.split(r"[,،;؛:]|\s[-–—]\s", sentence):
-                part = words_of(clause)
-                if not part or self._courtesy(part):
-                    continue
-                if not any(self._aligned(part, t) and len(part) <= len(t) / ALIKE + 1 for t in self.refusals):
+            kinds = [self.refusals.refusal(part, asked) or (None if self.refusals.courtesy(part) else False) for c in clauses(sentence) if (part := words_of(c))]
+            if False in kinds:
+                if not self.refusals.courtesy(words):
                     return False
+            elif True in kinds:
                 refused = True
         return refused
 
@@ -214,7 +200,7 @@ class Judge:
         copied = self.copies(words_of(_CITED.sub(" ", text)), words_of(question))
         if copied:
             found.append("copies_question")
-        if self.refuses(text):
+        if self.refuses(text, question):
             found.append("refusal")
         wanted = next((k for k, p in ASKS.items() if p.search(_MARKS.sub("", question))), None)
         ours = self.language(text)
@@ -229,7 +215,7 @@ def find(exchanges: DataFrame, words: list[str]) -> DataFrame:
     """(exchange_id, defect) of every defective exchange of an arm."""
 
     def start():
-        judge = Judge(words)
+        judge = once(Judge, words)
 
         def work(c: dict) -> dict:
             out: dict[str, list] = {"exchange_id": [], "defect": []}

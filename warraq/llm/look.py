@@ -5,10 +5,13 @@ variants, composed against decomposed accents, presentation forms, letters of
 another script with the same glyph, and the amount of white space.  A different
 letter, letter case, vowel mark, digit shape or punctuation mark is seen.
 
-``LookForm`` turns a token into its canonical spelling.  Words are looked up in
-a trie of the vocabulary by a weighted edit automaton whose look-alike and
-ignorable moves cost nothing and whose other moves are not allowed (a budget of
-zero); tokens that the vocabulary doesn't hold are normalised by table.
+``LookForm`` turns a token into its canonical spelling.  The token, as stored, is
+walked over a trie of the vocabulary by a weighted edit automaton whose
+look-alike and ignorable moves cost nothing and whose other moves are not allowed
+(a budget of zero).  Some letters look like several others (a bare upright stroke
+like capital i and small l) or are letters of their own elsewhere (Armenian and
+Cherokee ones like Latin ones): the vocabulary's word decides how they are read.
+Tokens that the vocabulary doesn't hold are normalised by table.
 
 Null texts have no form (``None``); empty texts have the form ``""``.
 """
@@ -41,6 +44,13 @@ SAME_GLYPH = {
     "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨", "۹": "٩",
 }
 
+# Letters that look like several, or are letters of their own: how they are read by table, and how a word may read them.
+READINGS = {
+    "І": "Il", "Ι": "Il", "Ӏ": "Il", "ǀ": "lI", "ꓲ": "Il", "ⵏ": "lI", "ν": "νv", "ρ": "ρp", "ɡ": "ɡg", "օ": "օo", "ո": "ոn", "ս": "սu", "հ": "հh", "ց": "ցg",
+    "Ꭺ": "ᎪA", "Ᏼ": "ᏴB", "Ꮯ": "ᏟC", "Ꭼ": "ᎬE", "Ꮋ": "ᎻH", "Ꭻ": "ᎫJ", "Ꮶ": "ᏦK", "Ꮮ": "ᏞL", "Ꮇ": "ᎷM", "Ꮲ": "ᏢP", "Ꭱ": "ᎡR", "Ꮪ": "ᏚS", "Ꭲ": "ᎢT", "Ꮩ": "ᏙV", "Ꮃ": "ᎳW", "Ꮓ": "ᏃZ",
+    "ە": "ەه", "ہ": "ہه", "ھ": "ھه", "ۃ": "ۃة",
+}
+
 # Letters whose glyph depends on whether another letter follows: (before a letter, at the end).
 BY_PLACE = {"ی": ("ي", "ى"), "ک": ("ك", "ک")}
 
@@ -54,7 +64,7 @@ def _compatible(code: int) -> str | None:
 
 
 PLAIN = {c: p for c in [*range(0xFB00, 0xFE00), *range(0xFE70, 0xFFEF)] if (p := _compatible(c)) is not None}
-TABLE = {c: "" for c in UNSEEN} | PLAIN | {ord(k): v for k, v in SAME_GLYPH.items()}
+TABLE = {c: "" for c in UNSEEN} | PLAIN | {ord(k): v for k, v in SAME_GLYPH.items()} | {ord(k): v[0] for k, v in READINGS.items()}
 _BY_PLACE = re.compile("[" + "".join(BY_PLACE) + "]")
 
 
@@ -71,79 +81,74 @@ def _placed(text: str) -> str:
 def by_table(token: str) -> str:
     """The form that the table alone gives: unseen characters dropped, variants replaced, accents composed."""
     form = unicodedata.normalize("NFC", token.translate(TABLE))
-    return _placed(form) if _BY_PLACE.search(form) else form
+    return unicodedata.normalize("NFC", _placed(form)) if _BY_PLACE.search(form) else form
 
 
 class Trie:
-    """The vocabulary's words, decomposed, one node per prefix; a word's end holds the word."""
+    """The vocabulary's words, decomposed, one node per prefix; a word's end holds (its rank, the word in the table's form)."""
 
     def __init__(self, words: Iterable[str]):
         self.root: dict = {}
-        for word in words:
+        for rank, word in enumerate(words):
             if not word:
                 continue
-            node = self.root
-            for ch in unicodedata.normalize("NFD", word):
+            node, form = self.root, by_table(word)
+            for ch in unicodedata.normalize("NFD", form):
                 node = node.setdefault(ch, {})
-            node.setdefault("", word)  # the more frequent spelling comes first and stays
+            node.setdefault("", (rank, form))  # the more frequent spelling comes first and stays
 
 
-def moves(token: str) -> list[str]:
-    """Of each character of the token, the decomposed spelling that looks the same; "" where it prints nothing."""
+def moves(token: str) -> str:
+    """The token with every character that looks like one other in its place, decomposed; those of ``READINGS`` stay."""
     out: list[str] = []
     for i, ch in enumerate(token):
         if ord(ch) in UNSEEN:
-            out.append("")
-        elif ch in BY_PLACE:
+            continue
+        if ch in BY_PLACE:
             rest = token[i + 1 :].translate(TABLE)
             after = next((c for c in rest if not unicodedata.combining(c)), "")
             out.append(BY_PLACE[ch][0 if after.isalpha() else 1])
         else:
-            out.append(unicodedata.normalize("NFD", PLAIN.get(ord(ch)) or SAME_GLYPH.get(ch) or ch))
-    return out
+            out.append(ch if ch in READINGS else PLAIN.get(ord(ch)) or SAME_GLYPH.get(ch) or ch)
+    # marks on one letter may be stored in any order: canonical order
+    return unicodedata.normalize("NFD", "".join(out))
 
 
 class Automaton:
     """Weighted edit automaton over a trie: look-alikes and ignorables cost 0, any other edit its weight of 1.
 
     ``match(token)`` gives the vocabulary word reached within the budget, of the
-    least cost and, among these, the most frequent.  With the budget of 0 used
-    for looks only zero-cost moves are followed.
+    least cost, then of the fewest letters read otherwise than by table, then the
+    most frequent.  With the budget of 0 used for looks only zero-cost moves are
+    followed.
     """
 
     def __init__(self, trie: Trie, budget: int = 0):
         self.trie, self.budget = trie, budget
 
     def match(self, token: str) -> str | None:
-        # marks on one letter may be stored in any order: canonical order first
-        units = unicodedata.normalize("NFD", "".join(moves(token)))
-        if not self.budget:
-            node = self.trie.root
-            for ch in units:
-                if (node := node.get(ch)) is None:
-                    return None
-            return node.get("")
-        states: dict[int, tuple[dict, int]] = {id(self.trie.root): (self.trie.root, 0)}
-        for ch in units:
-            after: dict[int, tuple[dict, int]] = {}
-
-            def reach(node: dict, cost: int, into: dict = after) -> None:
-                if cost <= self.budget and (id(node) not in into or into[id(node)][1] > cost):
-                    into[id(node)] = (node, cost)
-
-            for node, cost in states.values():
-                if ch in node:
-                    reach(node[ch], cost)
+        states: dict[int, tuple[dict, int, int]] = {id(self.trie.root): (self.trie.root, 0, 0)}
+        for ch in moves(token):
+            after: dict[int, tuple[dict, int, int]] = {}
+
+            def reach(node: dict, cost: int, read: int, into: dict = after) -> None:
+                if cost <= self.budget and (id(node) not in into or into[id(node)][1:] > (cost, read)):
+                    into[id(node)] = (node, cost, read)
+
+            for node, cost, read in states.values():
+                for other, reading in enumerate(READINGS.get(ch, ch)):
+                    if reading in node:
+                        reach(node[reading], cost, read + (other > 0))
                 if cost < self.budget:
-                    reach(node, cost + 1)
+                    reach(node, cost + 1, read)
                     for edge, child in node.items():
                         if edge and edge != ch:
-                            reach(child, cost + 1)
+                            reach(child, cost + 1, read)
             if not after:
                 return None
             states = after
-        ends = [(cost, node[""]) for node, cost in states.values() if "" in node]
-        return min(ends, key=lambda x: x[0])[1] if ends else None
+        ends = [(cost, read, *node[""]) for node, cost, read in states.values() if "" in node]
+        return min(ends)[3] if ends else None
 
 
 _PIECES = re.compile(r"(\w[\w\u00ad\u0300-\u036f\u061c\u064b-\u065f\u0670\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]*)")
@@ -166,8 +171,9 @@ class LookForm(dict):
         else:
             # words by the automaton, the rest by table; marks may straddle the pieces, so the whole is composed once more
             parts = _PIECES.split(token)
-            parts[1::2] = [self.automaton.match(p) or p for p in parts[1::2]]
-            form = by_table("".join(parts))
+            parts[::2] = map(by_table, parts[::2])
+            parts[1::2] = [self.automaton.match(p) or by_table(p) for p in parts[1::2]]
+            form = unicodedata.normalize("NFC", "".join(parts))
         self[token] = form
         return form
 

@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, once
 from .look import LookForm
 
 
@@ -27,7 +27,7 @@ def forms(items: DataFrame, words: list[str], keep_text: bool = False) -> DataFr
     """Each item's form: kind, doc_id, item_id and either the form itself or 128-bit hashes of text and form."""
 
     def start():
-        look = LookForm(words)
+        look = once(LookForm, words)
 
         def work(c: dict) -> dict:
             out = {k: c[k] for k in ("kind", "doc_id", "item_id")}
@@ -61,6 +61,18 @@ def pairs(items: DataFrame, words: list[str]) -> DataFrame:
     return a.join(b, key).where("id_a < id_b and spelt <> other").select("kind", "id_a", "id_b").distinct()
 
 
+def classes(items: DataFrame, words: list[str]) -> DataFrame:
+    """(kind, doc_id, item_id, class_id, members, spellings): each item of a document that looks like another, with its class.
+
+    ``class_id`` is the class's least id.  A row an item, however large a class is: pairs grow with the square of it.
+    """
+    made = forms(items.where("doc_id is not null and text is not null and item_id is not null"), words).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    key = ["kind", "doc_id", "form"]
+    spelt = made.groupBy(*key, "spelt").agg(F.count("*").alias("n"), F.min("item_id").alias("least"))
+    of = spelt.groupBy(*key).agg(F.min("least").alias("class_id"), F.sum("n").alias("members"), F.count("*").alias("spellings")).where("members > 1")
+    return made.join(of, key).select("kind", "doc_id", "item_id", "class_id", "members", "spellings")
+
+
 def canonical(items: DataFrame, words: list[str]) -> DataFrame:
     """(kind, item_id, form, changed): each item once, in the one consistent form."""
     return forms(items.dropDuplicates(["kind", "item_id"]), words, keep_text=True).select("kind", "item_id", "form", "changed")

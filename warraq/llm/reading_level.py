@@ -12,8 +12,8 @@ The model is fitted on the driver from at most ``SAMPLES`` graded texts and sent
 with the tasks: a grade per distinct word of these, and some twenty numbers.
 Documents are scored where they lie, whole; the wordings that a site repeats (see
 ``repeated_lines``) and the title's line are set aside first.  Their table is
-broadcast only if it was counted at no more than ``BROADCAST_ROWS``; beyond that
-it is joined by shuffle.
+broadcast only if it was counted at no more than ``repeated_lines.BROADCAST_ROWS``;
+beyond that it is joined by shuffle.
 
 Nulls: a null or wordless text has no level and a hard share of 0; a document
 without a source has no site matter; one without a title no title line.
@@ -27,19 +27,17 @@ import re
 from bisect import bisect_right
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, once
 from .look import LookForm, Wording
-from .repeated_lines import document_items, hash64, line_rows, repeated
+from .repeated_lines import document_items, hash64, site_sets
 
 SAMPLES = 10_000
 ACQUIRED = 0.25
 QUANTILES = (0.25, 0.5, 0.75, 0.9)
 HARD = 4
-BROADCAST_ROWS = 100_000
 #: Texts with fewer sentence marks than one in so many words are taken line by line.
 WORDS_PER_MARK = 60
 
@@ -158,15 +156,6 @@ def fit(samples: list[tuple[int, str]], vocabulary: list[str]) -> Model:
     return model
 
 
-def site_wordings(documents: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, bool]:
-    """(gid, site): the hashes of each site's repeated wordings, and whether the table is small enough to broadcast."""
-    items = document_items(documents)
-    rows = line_rows(items, vocabulary).persist(StorageLevel.DISK_ONLY)
-    wordings = repeated(rows, items.select("kind", "source", "page"))[1].select("gid", "wording").persist(StorageLevel.DISK_ONLY)
-    small = wordings.count() <= BROADCAST_ROWS
-    return wordings.groupBy("gid").agg(F.collect_set("wording").alias("site")), small
-
-
 LEVELS = "doc_id long, level int, hard_words long, words long, hard_share double"
 
 
@@ -174,12 +163,12 @@ def levels(documents: DataFrame, samples: DataFrame, vocabulary: list[str]) -> D
     """(doc_id, level, hard_words, words, hard_share): each document once."""
     graded = samples.where("level between 1 and 5 and text is not null").orderBy("sample_id").limit(SAMPLES).select("level", "text").collect()
     model = fit([(r.level, r.text) for r in graded], vocabulary)
-    site, small = site_wordings(documents, vocabulary)
+    site, small = site_sets(document_items(documents), vocabulary)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "text", F.when(F.col("source").isNotNull(), F.xxhash64(F.lit("document"), F.col("source").cast("string"))).alias("gid"))
     docs = docs.join(F.broadcast(site) if small else site, "gid", "left")
 
     def start():
-        looks = LookForm(vocabulary)
+        looks = once(LookForm, vocabulary)
         plain, wording = Plain(looks), Wording(looks)
         known: dict[tuple[str, ...], int | None] = {}
 

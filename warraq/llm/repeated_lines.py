@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, once
 from .look import LookForm, Wording
 
 #: A wording is repeated if it stands on this share of the source's pages, and on at least so many.
@@ -52,7 +52,7 @@ def line_rows(items: DataFrame, words: list[str]) -> DataFrame:
     """One row per line with a letter; ``items`` has kind, source, page, item_id, lines (array of string)."""
 
     def start():
-        wording = Wording(LookForm(words))
+        wording = Wording(once(LookForm, words))
 
         def work(c: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("kind", "source", "page", "item_id", "line_no", "wording")}
@@ -119,11 +119,11 @@ def heavy_hitters(rows: DataFrame, every: int = 100_000) -> DataFrame:
     return rows.select("gid", "cap", "wording").mapInArrow(run, "gid long, wording long, n long").groupBy("gid", "wording").agg(F.sum("n").alias("n"))
 
 
-def repeated(rows: DataFrame, pages: DataFrame, share: float = SHARE, least: int = LEAST, key: tuple[str, ...] = ("kind", "source")) -> tuple[DataFrame, DataFrame]:
-    """(lines, wordings) of repeated wordings; ``key`` names the columns that make a source.
+def repeated(rows: DataFrame, pages: DataFrame, share: float = SHARE, least: int = LEAST, key: tuple[str, ...] = ("kind", "source")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, wordings, proposed) of repeated wordings; ``key`` names the columns that make a source.
 
     ``rows``: what ``line_rows`` gives, read several times (persist it).  ``pages``: kind, source, page of all pages there are.
-    ``wordings`` has gid, wording, n (pages that hold it), n_pages.
+    ``wordings`` has gid, wording, n (pages that hold it), n_pages; ``proposed`` are the rows of all wordings that had to be counted.
     """
     gid = F.xxhash64(*key).alias("gid")
     per = pages.where("source is not null").groupBy(gid).agg(F.count_distinct("page").alias("n_pages"))
@@ -131,13 +131,17 @@ def repeated(rows: DataFrame, pages: DataFrame, share: float = SHARE, least: int
     lines = rows.groupBy("gid").agg(F.count("*").alias("n_lines"))
     needed = F.greatest(F.lit(float(least)), F.col("n_pages") * share)
     stats = per.join(lines, "gid").withColumn("needed", needed).withColumn("cap", F.ceil(SLACK * F.col("n_lines") / F.col("needed")).cast("long"))
-    hits = heavy_hitters(rows.join(stats.select("gid", "cap"), "gid"))
+    # where a summary would hold half of all lines it saves nothing: their wordings are counted as they are
+    plain = F.col("cap") * 2 >= F.col("n_lines")
+    hits = heavy_hitters(rows.join(stats.where(~plain).select("gid", "cap"), "gid"))
     candidates = hits.join(stats, "gid").where(F.col("n") + F.col("n_lines") / (F.col("cap") + 1) >= F.col("needed")).select("gid", "wording")
+    counts = rows.join(stats.where(plain).select("gid", "needed"), "gid").groupBy("gid", "wording").agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
+    candidates = candidates.unionByName(counts.where("n >= needed").select("gid", "wording"))
     lines = rows.join(candidates, ["gid", "wording"], "left_semi")
     counted = lines.groupBy("gid", "wording").agg(F.count_distinct("page").alias("n"))
     wordings = counted.join(per, "gid").where((F.col("n") >= least) & (F.col("n") >= F.col("n_pages") * F.lit(share)))
     found = lines.join(wordings.select("gid", "wording"), ["gid", "wording"], "left_semi")
-    return found.select("kind", "item_id", "line_no").distinct(), wordings
+    return found.select("kind", "item_id", "line_no").distinct(), wordings, lines
 
 
 def unit_items(units: DataFrame) -> DataFrame:
@@ -158,11 +162,39 @@ def find(items: DataFrame, words: list[str]) -> DataFrame:
     return repeated(rows, items.select("kind", "source", "page"))[0]
 
 
-def without(items: DataFrame, found: DataFrame) -> DataFrame:
-    """(kind, item_id, lines, removed): each item once, without the lines found, and how many went."""
-    gone = found.groupBy("kind", "item_id").agg(F.collect_set("line_no").alias("gone"))
-    one = items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"])
-    gone_or_none: Column = F.coalesce("gone", F.array().cast("array<int>"))
-    return one.join(gone, ["kind", "item_id"], "left").select(
-        "kind", "item_id", F.filter("lines", lambda _, i: ~F.array_contains(gone_or_none, (i + 1).cast("int"))).alias("lines"), F.size(gone_or_none).alias("removed")
-    )
+#: Most confirmed wordings that are broadcast; more are joined by shuffle, with the same result.
+BROADCAST_ROWS = 100_000
+
+
+def site_sets(items: DataFrame, words: list[str]) -> tuple[DataFrame, bool]:
+    """(gid, site): the hashes of each source's confirmed wordings, and whether the table is small enough to broadcast.
+
+    A wording stands on a tenth of its source's pages, so a set has at most ten times a page's lines.
+    """
+    rows = line_rows(items, words).persist(StorageLevel.DISK_ONLY)
+    wordings = repeated(rows, items.select("kind", "source", "page"))[1].select("gid", "wording").persist(StorageLevel.DISK_ONLY)
+    return wordings.groupBy("gid").agg(F.collect_set("wording").alias("site")), wordings.count() <= BROADCAST_ROWS
+
+
+def without(items: DataFrame, words: list[str]) -> DataFrame:
+    """(kind, item_id, lines, removed): each item once, without its source's repeated lines, and how many went.
+
+    The confirmed wordings go to the texts as broadcast sets; texts are shuffled once, to drop copies.
+    """
+    sets, small = site_sets(items, words)
+    own = items.select("kind", "item_id", "lines", F.when(F.col("source").isNotNull(), F.xxhash64("kind", "source")).alias("gid"))
+    own = own.join(F.broadcast(sets) if small else sets, "gid", "left").select("kind", "item_id", "lines", "site")
+
+    def start():
+        wording = Wording(once(LookForm, words))
+
+        def kept(lines: list[str | None], site: set[int]) -> list[str | None]:
+            return [x for x in lines if not (x and _LETTER.search(w := wording.line(x)) and hash64(w) in site)]
+
+        def work(c: dict) -> dict:
+            made = [x if x is None or not site else kept(x, set(site)) for x, site in zip(c["lines"], c["site"])]
+            return {"kind": c["kind"], "item_id": c["item_id"], "lines": made, "removed": [0 if a is None else len(a) - len(b) for a, b in zip(c["lines"], made)]}
+
+        return work
+
+    return arrow_map(own, start, "kind string, item_id long, lines array<string>, removed int").dropDuplicates(["kind", "item_id"])

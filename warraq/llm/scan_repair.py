@@ -5,17 +5,22 @@ by a hidden Markov model as head, body, break (the last line of a paragraph),
 foot or page number, from layout features; words are checked against the
 vocabulary, and paragraphs are put together from the labels.
 
-1. One pass over the texts gives a compact row per line: its wording's hash, a
-   lone number if it has nothing else, layout features, and whether it holds a
-   misread word or ends in a broken one.  Texts aren't moved.
-2. The wordings that stand on a quarter of a document's pages come from the
-   mergeable summaries of ``repeated_lines``; the offset between printed and
-   counted page numbers is the document's most frequent one.
-3. Rows are grouped by item (a page, so bounded) and labelled.  The model's
-   parameters are counts over all lines: a first labelling by the features
-   alone, summed by Spark to a table of fixed size, gives start, transition and
-   emission probabilities; Viterbi's algorithm gives the labels.  An exact check
-   of the share of pages, or of the number, follows.
+1. One pass over the texts gives a compact row per line: its wording's hash (as
+   printed, that is with misread words put right), a lone number if it has
+   nothing else, its layout features in one code, and whether it holds a misread
+   word or ends in one that goes on one, two or three lines further.  Texts
+   aren't moved.
+2. Lines alike on neighbouring pages are found among the wordings that the
+   mergeable summaries of ``repeated_lines`` propose: of a stretch of ``STRETCH``
+   pages of the document, how many have the wording.
+3. Codes are grouped by item (a page, so bounded) and labelled.  The model starts
+   from a prior of what heads, bodies, breaks, feet and numbers look like and is
+   fitted by ``ROUNDS`` of expectation and maximization over all lines: tasks add
+   up expected counts, Spark sums them to a table of fixed size.  Viterbi's
+   algorithm gives the labels.
+4. The label decides; exact counts only veto: a head or foot must stand on a
+   quarter of the document's pages, a number must be the page's.  A broken word
+   goes on in the next line that is neither.
 
 Drafts hold the texts of units: an element takes the defects of its unit's lines
 by an equi-join on (document, page, hash of the text), and its paragraphs in
@@ -31,17 +36,24 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, once
 from .look import LookForm, Wording
 from .repeated_lines import hash64, repeated
 
 #: A running line stands on this share of the document's pages, and on two at least.
 RUNNING_SHARE, RUNNING_LEAST = 0.25, 2
 STATES = ("head", "body", "break", "foot", "number")
+#: Pages of a stretch in which a line's likes are looked for, and rounds in which the model is fitted.
+STRETCH, ROUNDS = 16, 3
+#: The prior counts as much as this share of all lines.
+PRIOR = 0.5
+#: Lines that a broken word may pass over, and one more.
+REACH = 3
 
 _VOWELS = re.compile("[\u064b-\u0652ـ]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -174,45 +186,59 @@ class Words:
         return not apart and (head not in self.known or tail not in self.known), False, False
 
 
-LINES = (
-    "kind string, item_id long, source string, page long, line_no int, wording long, number int, ends boolean, starts boolean, "
-    "short boolean, misread boolean, broken boolean, broken_over boolean"
-)
+LINES = "kind string, item_id long, source string, page long, line_no int, wording long, number int, code int, starts boolean, misread boolean, broken int"
+_RULES = re.compile(r"[|·•—]|\s[-–]\s|^[-–]")
+
+
+def layout(texts: list[str], forms: list[str]) -> list[int]:
+    """The code of each filled line's layout, all features of ``FEATURES`` but ``alike`` (0)."""
+    n = len(forms)
+    usual = float(np.median([len(t) for t in texts])) if n else 0.0
+    out = []
+    for i, (text, form) in enumerate(zip(texts, forms)):
+        long_ = len(text) / usual if usual else 1.0
+        figures = sum(c.isdigit() for c in form)
+        share = figures / max(1, len(form) - form.count(" "))
+        values = (
+            min(i, 3), min(n - 1 - i, 3), 0 if long_ < 0.35 else 1 if long_ < 0.7 else 2 if long_ < 1.15 else 3,
+            4 if not _LETTER.search(form) else 0 if not figures else 1 if share < 0.25 else 2 if share < 0.6 else 3,
+            0 if not _ENDS.search(form) else 2 if form.rstrip("])»\"'")[-1] in "?؟!" else 1, 1 if _STARTS.match(form) else 2 if form[:1].islower() else 0, bool(_RULES.search(form)), text[:1].isspace(),
+            0 if not i else 1 if _ENDS.search(forms[i - 1]) else 3 if _BREAK_MARK.search(forms[i - 1]) else 2,
+        )
+        out.append(int(sum(v * p for v, p in zip(values, PLACES))))
+    return out
 
 
 def read_lines(words: Words, wording: Wording, lines: list[str | None]) -> list[tuple]:
-    """Per line (no, wording, number, ends, starts, short, misread, broken, broken_over) of an item."""
-    texts = [x or "" for x in lines]
-    tokens = [t.split() for t in texts]
+    """Per filled line (no, wording, number, code, starts, misread, broken) of an item; ``broken``: bit k for going on k + 1 filled lines later."""
+    numbered = [(no, x) for no, x in enumerate(lines, 1) if x]
+    tokens = [x.split() for _, x in numbered]
     forms = [[words.look[t] for t in ts] for ts in tokens]
     filled = [i for i, f in enumerate(forms) if any(f)]
-    usual = float(np.median([len(texts[i]) for i in filled])) if filled else 0.0
+    numbered, tokens, forms = ([x[i] for i in filled] for x in (numbered, tokens, forms))
     bad = [{k for k, f in enumerate(fs) if words.judge(f) == Words.MISREAD} for fs in forms]
-    broken, over = [False] * len(texts), [False] * len(texts)
-    for n, i in enumerate(filled):
-        for step, to in ((1, broken), (2, over)):
-            if n + step < len(filled):
-                j = filled[n + step]
-                is_broken, first, second = words.broken(tokens[i][-1], tokens[j][0])
-                if is_broken and not (step == 2 and broken[i]):
-                    to[i] = True
+    printed = [wording.line(" ".join(words.righted(t) if k in b else t for k, t in enumerate(ts)) if b else x) for (_, x), ts, b in zip(numbered, tokens, bad)]
+    broken = [0] * len(forms)
+    for i in range(len(forms)):
+        for step in range(1, REACH + 1):
+            if i + step < len(forms):
+                is_broken, first, second = words.broken(tokens[i][-1], tokens[i + step][0])
+                if is_broken:
+                    broken[i] |= 1 << step - 1
                     if step == 1:
                         # the pieces are judged as one word
                         bad[i].discard(len(tokens[i]) - 1)
-                        bad[j].discard(0)
+                        bad[i + 1].discard(0)
                         bad[i] |= {len(tokens[i]) - 1} if first else set()
-                        bad[j] |= {0} if second else set()
+                        bad[i + 1] |= {0} if second else set()
+    shown = [" ".join(filter(None, f)) for f in forms]
+    codes = layout([x for _, x in numbered], shown)
     out = []
-    for i, text in enumerate(texts):
-        form = " ".join(filter(None, forms[i]))
-        lettered = bool(_LETTER.search(form))
-        number = _NUMBER.fullmatch(form) if form and not lettered else None
-        out.append(
-            (
-                i + 1, hash64(w) if lettered and _LETTER.search(w := wording.line(text)) else None, int(number.group(1)) if number else None,
-                bool(_ENDS.search(form)), bool(_STARTS.match(form)), len(text) < 0.7 * usual, bool(bad[i]), broken[i], over[i],
-            )
-        )
+    for i, (no, _) in enumerate(numbered):
+        lettered = bool(_LETTER.search(shown[i]))
+        number = None if lettered else _NUMBER.fullmatch(shown[i])
+        w = printed[i]
+        out.append((no, hash64(w) if lettered and _LETTER.search(w) else None, int(number.group(1)) if number else None, codes[i], bool(_STARTS.match(shown[i])), bool(bad[i]), broken[i]))
     return out
 
 
@@ -221,7 +247,7 @@ def line_rows(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     names = [c.split()[0] for c in LINES.split(", ")]
 
     def start():
-        words = Words(vocabulary)
+        words = once(Words, vocabulary)
         wording = Wording(words.look)
 
         def work(c: dict) -> dict:
@@ -239,130 +265,250 @@ def line_rows(items: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- the labels
 
-#: Features of a line and how many values each has.
-FEATURES = {"running": 2, "numbered": 3, "ends": 2, "starts": 2, "short": 2, "place": 3}
-
-
-def seeds(f: np.ndarray) -> np.ndarray:
-    """First labels of an item's lines from the features alone (columns as in FEATURES)."""
-    running, numbered, ends, starts, short, place = f.T
-    n = len(f)
-    after = np.append(starts[1:], 1)
-    label = np.where((ends == 1) & ((short == 1) | (after == 1)), 2, 1)
-    half = np.arange(n) < n / 2
-    label = np.where(running == 1, np.where(half, 0, 3), label)
-    return np.where(numbered == 2, 4, label)
-
-
-def counts_of(f: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Counts of starts, transitions and feature values by state, in one row of fixed length."""
-    k = len(STATES)
-    start, move = np.zeros(k), np.zeros((k, k))
-    start[label[0]] += 1
-    np.add.at(move, (label[:-1], label[1:]), 1)
-    seen = []
-    for j, size in enumerate(FEATURES.values()):
-        m = np.zeros((k, size))
-        np.add.at(m, (label, f[:, j]), 1)
-        seen.append(m.ravel())
-    return np.concatenate([start, move.ravel(), *seen])
+# The prior. Of each feature, how likely its values are in each state, and what follows what.
+FEATURES = {
+    # lines from the top: first, second, third, later
+    "top": {"head": [50, 20, 10, 20], "body": [10, 12, 13, 65], "break": [5, 10, 15, 70], "foot": [4, 6, 10, 80], "number": [25, 10, 5, 60]},
+    # lines from the bottom: last, last but one, last but two, earlier
+    "bottom": {"head": [5, 5, 10, 80], "body": [8, 12, 13, 67], "break": [30, 15, 10, 45], "foot": [40, 25, 10, 25], "number": [55, 20, 10, 15]},
+    # length against the item's usual line: under 0.35, under 0.7, under 1.15, longer
+    "length": {"head": [35, 35, 20, 10], "body": [2, 8, 60, 30], "break": [25, 30, 30, 15], "foot": [35, 35, 20, 10], "number": [97, 2, 0.5, 0.5]},
+    # figures: none, under a quarter of the characters, under 0.6, more, no letter at all
+    "figures": {"head": [60, 30, 7, 2, 1], "body": [65, 30, 3, 1, 1], "break": [65, 30, 3, 1, 1], "foot": [40, 40, 15, 3, 2], "number": [0.5, 0.5, 1, 1, 97]},
+    # an end mark: none, one of statements, one of questions and calls
+    "ends": {"head": [90, 3, 7], "body": [85, 14, 1], "break": [20, 78, 2], "foot": [90, 3, 7], "number": [95, 4, 1]},
+    # first: anything else, a clause number or bullet, a small letter
+    "starts": {"head": [95, 3, 2], "body": [60, 12, 28], "break": [60, 12, 28], "foot": [95, 3, 2], "number": [80, 18, 2]},
+    # rules, dots or dashes between parts: no, yes
+    "rules": {"head": [60, 40], "body": [96, 4], "break": [96, 4], "foot": [70, 30], "number": [70, 30]},
+    # indented: no, yes
+    "indent": {"head": [80, 20], "body": [90, 10], "break": [95, 5], "foot": [80, 20], "number": [60, 40]},
+    # the line before: none, ends, doesn't, ends in a broken word
+    "before": {"head": [60, 20, 15, 5], "body": [10, 25, 55, 10], "break": [5, 20, 65, 10], "foot": [5, 60, 30, 5], "number": [20, 45, 30, 5]},
+    # alike on pages: none, on several of the document, on a quarter of those nearby
+    "alike": {"head": [5, 15, 80], "body": [97, 2, 1], "break": [97, 2, 1], "foot": [5, 15, 80], "number": [98, 1, 1]},
+}
+# The prior of the first line's state, and of the state after each.
+FIRST = {"head": 35, "body": 45, "break": 10, "foot": 2, "number": 8}
+AFTER = {
+    "head": [30, 60, 5, 2, 3], "body": [2, 70, 20, 6, 2], "break": [3, 70, 12, 10, 5], "foot": [5, 25, 5, 40, 25], "number": [30, 30, 5, 30, 5],
+}
+SIZES = [len(v["head"]) for v in FEATURES.values()]
+#: What each feature's value counts in a line's code (mixed radix, the first feature lowest).
+PLACES = [int(np.prod(SIZES[:i])) for i in range(len(SIZES))]
+CODES = int(np.prod(SIZES))
+
+
+def _shares(m: np.ndarray) -> np.ndarray:
+    return m / m.sum(-1, keepdims=True)
+
+
+def prior() -> np.ndarray:
+    """The prior as counts of one line: starts, transitions and values of the features by state, in one row."""
+    first, after = _shares(np.array([FIRST[s] for s in STATES], float)), _shares(np.array([AFTER[s] for s in STATES], float))
+    seen = [_shares(np.array([v[s] for s in STATES], float)) for v in FEATURES.values()]
+    return np.concatenate([first, after.ravel() / len(STATES), *(m.ravel() / len(STATES) for m in seen)])
 
 
 class Model:
-    """A hidden Markov model whose emissions are the product of the features' probabilities."""
+    """A hidden Markov model whose emissions are the product of the features' probabilities, from counts in ``prior``'s order."""
 
-    def __init__(self, counts: np.ndarray, smooth: float = 0.5):
+    def __init__(self, counts: np.ndarray):
         k = len(STATES)
-        log = lambda m: np.log((m + smooth) / (m + smooth).sum(-1, keepdims=True))
-        self.start, self.move = log(counts[:k]), log(counts[k : k + k * k].reshape(k, k))
-        at, self.seen = k + k * k, []
-        for size in FEATURES.values():
-            self.seen.append(log(counts[at : at + k * size].reshape(k, size)))
+        counts = counts + 1e-9
+        self.start, self.move = _shares(counts[:k]), _shares(counts[k : k + k * k].reshape(k, k))
+        at, digits = k + k * k, np.arange(CODES)
+        self.emit = np.ones((CODES, k))
+        for size, place in zip(SIZES, PLACES):
+            self.emit *= _shares(counts[at : at + k * size].reshape(k, size)).T[digits // place % size]
             at += k * size
 
-    def label(self, f: np.ndarray) -> np.ndarray:
-        """The most likely labels (Viterbi)."""
-        emit = sum(s[:, f[:, j]].T for j, s in enumerate(self.seen))
-        best, back = self.start + emit[0], []
-        for e in emit[1:]:
-            step = best[:, None] + self.move
-            back.append(step.argmax(0))
-            best = step.max(0) + e
-        at = [int(best.argmax())]
-        for b in reversed(back):
-            at.append(int(b[at[-1]]))
-        return np.array(at[::-1])
-
-
-def _features(lines: list[dict]) -> np.ndarray:
-    n = len(lines)
-    return np.array([[x["running"], 0 if x["number"] is None else 2 if x["paged"] else 1, x["ends"], x["starts"], x["short"], 0 if i < 2 else 2 if i >= n - 2 else 1] for i, x in enumerate(lines)], dtype=np.int64)
+    @staticmethod
+    def padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Items' codes in one array, and their lengths."""
+        sizes = np.array([len(x) for x in items])
+        codes = np.zeros((len(items), sizes.max()), np.int64)
+        codes[np.arange(sizes.max())[None, :] < sizes[:, None]] = np.concatenate(items)
+        return codes, sizes
+
+    def expected(self, items: list[np.ndarray]) -> np.ndarray:
+        """The expected counts of items (forward and backward sums), in ``prior``'s order."""
+        codes, sizes = self.padded(items)
+        n, longest, k = *codes.shape, len(STATES)
+        emit = self.emit[codes]
+        emit /= emit.sum(2, keepdims=True)
+        there = np.arange(longest)[None, :] < sizes[:, None]
+        forward, backward, scale = np.zeros((longest, n, k)), np.ones((longest, n, k)), np.ones((longest, n))
+        for t in range(longest):
+            at = (self.start if t == 0 else forward[t - 1] @ self.move) * emit[:, t]
+            scale[t] = np.where(there[:, t], at.sum(1), 1.0)
+            forward[t] = at / scale[t][:, None]
+        for t in range(longest - 2, -1, -1):
+            at = (backward[t + 1] * emit[:, t + 1]) @ self.move.T / scale[t + 1][:, None]
+            backward[t] = np.where(there[:, t + 1, None], at, 1.0)
+        state = forward * backward
+        state /= state.sum(2, keepdims=True)
+        move = np.zeros((k, k))
+        for t in range(longest - 1):
+            on = there[:, t + 1]
+            move += forward[t][on].T @ (backward[t + 1][on] * emit[on, t + 1] / scale[t + 1][on, None])
+        move *= self.move
+        flat, weight = codes[there], state.transpose(1, 0, 2)[there]
+        seen = []
+        for size, place in zip(SIZES, PLACES):
+            value = flat // place % size
+            seen.append(np.array([np.bincount(value, weight[:, j], size) for j in range(k)]).ravel())
+        return np.concatenate([state[0].sum(0), move.ravel(), *seen])
+
+    def label(self, items: list[np.ndarray]) -> list[np.ndarray]:
+        """The most likely states of each item's lines (Viterbi)."""
+        codes, sizes = self.padded(items)
+        n, longest = codes.shape
+        emit, move = np.log(self.emit + 1e-300)[codes], np.log(self.move + 1e-300)
+        best, back = np.log(self.start + 1e-300) + emit[:, 0], np.zeros((longest, n, len(STATES)), np.int8)
+        ends = np.where(sizes == 1, best.argmax(1), 0)
+        for t in range(1, longest):
+            step = best[:, :, None] + move[None]
+            back[t] = step.argmax(1)
+            best = step.max(1) + emit[:, t]
+            ends = np.where(sizes == t + 1, best.argmax(1), ends)
+        states = np.zeros((n, longest), np.int8)
+        at = ends
+        for t in range(longest - 1, -1, -1):
+            at = np.where(sizes - 1 == t, ends, at)
+            states[:, t] = at
+            at = back[t][np.arange(n), at]
+        return [s[:size] for s, size in zip(states, sizes)]
+
+
+#: Lines that are labelled at once.
+AT_ONCE = 20_000
+
+
+def _in_turns(items: list[np.ndarray]):
+    """Places of items (shortest first) of about ``AT_ONCE`` padded lines together."""
+    order = sorted(range(len(items)), key=lambda i: len(items[i]))
+    turn: list[int] = []
+    for i in order:
+        if not len(items[i]):
+            continue
+        if turn and (len(turn) + 1) * len(items[i]) > AT_ONCE:
+            yield turn
+            turn = []
+        turn.append(i)
+    if turn:
+        yield turn
+
+
+def _codes(column) -> list[np.ndarray]:
+    """The arrays of a column of lists."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def fitted(codes: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The model's counts after expectation and maximization over all items' codes (a column of arrays)."""
+    counts = prior()
+    for _ in range(rounds):
+
+        def run(batches, now=counts):
+            import pyarrow as pa
+
+            model, total = Model(now), np.zeros(len(now))
+            for b in batches:
+                items = _codes(b.column(0))
+                for turn in _in_turns(items):
+                    total += model.expected([items[i] for i in turn])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "n"])
+
+        sums = codes.mapInArrow(run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()  # a fixed number of rows
+        seen = np.zeros(len(counts))
+        for r in sums:
+            seen[r.i] = r.n
+        lines = seen[len(STATES) * (1 + len(STATES)) :][: len(STATES) * SIZES[0]].sum()
+        if not lines:
+            break
+        counts = seen + prior() * PRIOR * lines
+    return counts
 
 
 def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(kind, item_id, source, page, lines): each line with its features, flags and state."""
+    """(kind, item_id, source, page, lines): each filled line with its features, flags and state, and whether it is noise."""
     rows = line_rows(items, vocabulary).persist(StorageLevel.DISK_ONLY)
-    pages = items.select("source", "page").where("page is not null")
+    pages = items.select("source", "page").where("page is not null and source is not null")
     lettered = rows.where("wording is not null and source is not null").select("kind", "source", "page", "item_id", "line_no", "wording")
-    running = repeated(lettered, pages, RUNNING_SHARE, RUNNING_LEAST, key=("source",))[0].withColumn("running", F.lit(True))
+    near, running = alike(lettered, pages)
     numbers = rows.where("number is not null and source is not null and page is not null").select("kind", "item_id", "line_no", "source", "page", (F.col("page") - F.col("number")).alias("off"))
     offsets = numbers.groupBy("source", "off").agg(F.count_distinct("page").alias("n"))
     usual = offsets.groupBy("source").agg(F.max_by("off", F.struct("n", -F.abs("off"))).alias("usual"), F.max("n").alias("n"))
-    paged = numbers.join(usual, "source").where("(n > 1 and off = usual) or (n = 1 and off between 0 and 5)").select("kind", "item_id", "line_no", F.lit(True).alias("paged"))
-    flags = running.withColumn("paged", F.lit(False)).unionByName(paged.withColumn("running", F.lit(False)))
-    flags = flags.groupBy("kind", "item_id", "line_no").agg(F.max("running").alias("running"), F.max("paged").alias("paged"))
+    paged = numbers.join(usual, "source").where("(n > 1 and off = usual) or (n = 1 and off between 0 and 5)").select("kind", "item_id", "line_no", F.lit(0).alias("alike"), F.lit(False).alias("running"), F.lit(True).alias("paged"))
+    likes = near.select("kind", "item_id", "line_no", "alike", F.lit(False).alias("running"), F.lit(False).alias("paged"))
+    flags = likes.unionByName(running.select("kind", "item_id", "line_no", F.lit(0).alias("alike"), F.lit(True).alias("running"), F.lit(False).alias("paged"))).unionByName(paged)
+    flags = flags.groupBy("kind", "item_id", "line_no").agg(F.max("alike").alias("alike"), F.max("running").alias("running"), F.max("paged").alias("paged"))
     full = rows.join(flags, ["kind", "item_id", "line_no"], "left").fillna(False, ["running", "paged"])
+    full = full.withColumn("code", F.col("code") + F.coalesce("alike", F.lit(0)) * PLACES[-1])
     # a copy of an item gives the same rows, which a set takes once: texts needn't be shuffled to drop copies
-    line = F.struct("line_no", "wording", "number", "ends", "starts", "short", "misread", "broken", "broken_over", "running", "paged")
-    grouped = full.groupBy("kind", "item_id").agg(F.first("source").alias("source"), F.first("page").alias("page"), F.array_sort(F.collect_set(line)).alias("lines")).persist(StorageLevel.DISK_ONLY)
+    line = F.struct("line_no", "wording", "number", "code", "starts", "misread", "broken", "running", "paged")
+    grouped = full.groupBy("kind", "item_id").agg(F.first("source").alias("source"), F.first("page").alias("page"), F.array_sort(F.collect_set(line)).alias("lines"))
+    grouped = grouped.withColumn("codes", F.transform("lines", lambda x: x["code"])).persist(StorageLevel.DISK_ONLY)
+    counts = fitted(grouped.select("codes"))
 
-    def counted():
-        def work(c: dict) -> dict:
-            total = 0
-            for lines in c["lines"]:
-                f = _features(lines)
-                total = total + counts_of(f, seeds(f))
-            return {"i": list(range(len(total))), "n": list(map(float, total))}
+    @F.pandas_udf("array<tinyint>")
+    def states(codes: pd.Series) -> pd.Series:
+        model, own = Model(counts), [np.asarray(c, np.int64) for c in codes]
+        made: list = [np.zeros(0, np.int8)] * len(own)
+        for turn in _in_turns(own):
+            for i, s in zip(turn, model.label([own[i] for i in turn])):
+                made[i] = s
+        return pd.Series(made, dtype=object)
 
-        return work
+    own = grouped.select("kind", "item_id", "source", "page", "lines", states("codes").alias("states"))
+    head = lambda s: (s == STATES.index("head")) | (s == STATES.index("foot"))
+    number = lambda s: s == STATES.index("number")
 
-    sums = arrow_map(grouped.select("lines"), counted, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(STATES) * (1 + len(STATES) + sum(FEATURES.values())))
-    for r in sums:
-        counts[r.i] = r.n
+    def with_state(x, i):
+        s = F.element_at("states", i + 1)
+        return x.withField("state", F.element_at(F.array(*map(F.lit, STATES)), s.cast("int") + 1)).withField("head", head(s) & x["running"]).withField("counted", number(s) & x["paged"])
 
-    def decoded():
-        model = Model(counts)
+    return own.select("kind", "item_id", "source", "page", F.transform("lines", with_state).alias("lines"))
 
-        def work(c: dict) -> dict:
-            out = []
-            for lines in c["lines"]:
-                for x, s in zip(lines, model.label(_features(lines))):
-                    x["state"] = STATES[s]
-                out.append(lines)
-            return c | {"lines": out}
 
-        return work
+def alike(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (kind, item_id, line_no, alike) whose wording stands on other pages too, and those that stand on a quarter of all pages.
 
-    inner = grouped.schema["lines"].dataType.elementType.simpleString()[:-1].removeprefix("struct<") + ",state:string"
-    return arrow_map(grouped, decoded, f"kind string, item_id long, source string, page long, lines array<struct<{inner}>>")
+    Only wordings that the summaries propose are looked at.  A stretch of a document's pages is a key of its own, so a
+    document with a third of all rows is spread.
+    """
+    running, _, proposed = repeated(lines, pages, RUNNING_SHARE, RUNNING_LEAST, key=("source",))
+    stretch = F.floor(F.col("page") / STRETCH).alias("stretch")
+    own = proposed.where("page is not null").select("kind", "item_id", "line_no", "source", "wording", "page", stretch)
+    there = own.groupBy("source", "wording", "stretch").agg(F.count_distinct("page").alias("n"))
+    several = there.groupBy("source", "wording").agg(F.sum("n").alias("all")).where("all > 1").select("source", "wording")
+    all_ = pages.groupBy("source", stretch).agg(F.count_distinct("page").alias("n_pages"))
+    dense = (F.col("n") > 1) & (F.col("n") >= RUNNING_SHARE * F.col("n_pages"))
+    near = there.join(several, ["source", "wording"], "left_semi").join(all_, ["source", "stretch"]).select("source", "wording", "stretch", F.when(dense, 2).otherwise(1).alias("alike"))
+    return own.join(near, ["source", "wording", "stretch"]).select("kind", "item_id", "line_no", "alike"), running
+
+
+def goes_on(lines: Column, i: Column) -> Column:
+    """Whether the last word of line ``i`` (from 0) goes on in the next line that is no noise."""
+    out = F.lit(False)
+    for step in range(REACH, 0, -1):
+        after = F.try_element_at(lines, (i + 1 + step).cast("int"))
+        noise = F.coalesce(after["head"] | after["counted"], F.lit(False))
+        here = F.element_at(lines, (i + 1).cast("int"))["broken"].bitwiseAND(F.lit(1 << step - 1)) > 0
+        out = F.when(noise, out).otherwise(here)
+    return out
 
 
 def line_defects(labels: DataFrame) -> DataFrame:
     """(kind, item_id, line_no, defect) of labelled items."""
-    x = labels.select("kind", "item_id", F.posexplode("lines").alias("i", "x"), "lines")
-    # a word broken before a running line goes on in the line after it
-    after = F.try_element_at("lines", F.col("i") + 2)
-    passed = F.col("x.broken") | (F.col("x.broken_over") & after["state"].isin("head", "foot", "number"))
-    defects = F.array_compact(
-        F.array(
-            F.when(passed, "broken_word"),
-            F.when(F.col("x.misread"), "misread"),
-            F.when(F.col("x.running") & F.col("x.state").isin("head", "foot"), "running_line"),
-            F.when(F.col("x.paged") & (F.col("x.state") == "number"), "page_number"),
-        )
-    )
-    return x.select("kind", "item_id", F.col("x.line_no").alias("line_no"), F.explode(defects).alias("defect"))
+
+    def of(x: Column, i: Column) -> Column:
+        found = (F.when(goes_on(F.col("lines"), i), "broken_word"), F.when(x["misread"], "misread"), F.when(x["head"], "running_line"), F.when(x["counted"], "page_number"))
+        return F.transform(F.array_compact(F.array(*found)), lambda d: F.struct(x["line_no"].alias("line_no"), d.alias("defect")))
+
+    return labels.select("kind", "item_id", F.explode(F.flatten(F.transform("lines", of))).alias("x")).select("kind", "item_id", "x.line_no", "x.defect")
 
 
 def unit_items(units: DataFrame) -> DataFrame:
@@ -381,10 +527,8 @@ def reading_items(readings: DataFrame) -> DataFrame:
 def document_noise(labels: DataFrame) -> DataFrame:
     """(source, wordings, offset): the wordings of a document's running lines, and what its counted pages are ahead of its printed ones."""
     x = labels.where("source is not null").select("source", "page", F.explode("lines").alias("x"))
-    head = F.col("x.running") & F.col("x.state").isin("head", "foot")
-    number = F.col("x.paged") & (F.col("x.state") == "number")
-    found = x.where(head | number).groupBy("source")
-    return found.agg(F.collect_set(F.when(head, F.col("x.wording"))).alias("wordings"), F.mode(F.when(number, F.col("page") - F.col("x.number")), True).alias("offset"))
+    found = x.where("x.head or x.counted").groupBy("source")
+    return found.agg(F.collect_set(F.when(F.col("x.head"), F.col("x.wording"))).alias("wordings"), F.mode(F.when(F.col("x.counted"), F.col("page") - F.col("x.number")), True).alias("offset"))
 
 
 class Element:
@@ -461,7 +605,7 @@ def _read_elements(alone: DataFrame, noise: DataFrame, vocabulary: list[str], na
     """(item_id, line_no, name): ``of`` each element that no unit accounts for."""
 
     def start():
-        words = Words(vocabulary)
+        words = once(Words, vocabulary)
         wording = Wording(words.look)
 
         def work(c: dict) -> dict:
@@ -516,11 +660,14 @@ def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None
     A misread word becomes the vocabulary word nearest to it, in the letter case that the vocabulary has.
     ``labels`` are the items' if they have been labelled.
     """
-    labels = (labelled(items, vocabulary) if labels is None else labels).select("kind", "item_id", F.col("lines").alias("labels"))
+    labels = labelled(items, vocabulary) if labels is None else labels
+    # of a line only what joining needs goes to Python
+    kept = F.transform("lines", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["starts"].alias("starts"), x["state"].alias("state"), (x["head"] | x["counted"]).alias("noise"), goes_on(F.col("lines"), i).alias("goes_on")))
+    labels = labels.select("kind", "item_id", F.filter(kept, lambda x: ~x["noise"]).alias("labels"))
     both = items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"]).join(labels, ["kind", "item_id"], "left")
 
     def start():
-        right = Words(vocabulary).righted
+        right = once(Words, vocabulary).righted
 
         def join(kept: list[tuple[str, dict]]) -> list[str]:
             out: list[str] = []
@@ -536,14 +683,14 @@ def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None
                     out[-1] = _BREAK_MARK.sub("", out[-1]) + first
                 line = " ".join(filter(None, tokens))
                 out[-1] += (" " if out[-1] and line else "") + line
-                glue = x["broken"] or x["broken_over"]
+                glue = x["goes_on"]
                 open_ = x["state"] != "break" or glue
             return out
 
         def work(c: dict) -> dict:
             made = []
             for lines, labels in zip(c["lines"], c["labels"]):
-                made.append(join([(lines[x["line_no"] - 1] or "", x) for x in labels or [] if x["state"] in ("body", "break")]))
+                made.append(join([(lines[x["line_no"] - 1] or "", x) for x in labels or []]))
             return {"kind": c["kind"], "item_id": c["item_id"], "paragraphs": made, "text": ["\n\n".join(m) for m in made]}
 
         return work

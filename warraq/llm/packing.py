@@ -6,8 +6,10 @@ range-sorted by (kind, key, doc_id), so a task holds a stretch of the curve, and
 neighbours are packed together: of a window of neighbours the largest comes
 first into the fullest container that takes it (best fit decreasing).  Containers
 filled to ``CLOSED`` are done; the rest of the window's documents go on into the
-next window.  What a stretch leaves at its end is packed again with what the
-stretches beside it leave, so unused space doesn't grow with the number of tasks.
+next window, for ``CARRIED`` windows at most.  What a stretch then leaves, or
+leaves at its end, is packed again with what the stretches beside it leave, so
+unused space doesn't grow with the number of tasks; in that round containers are
+closed as they stand after as many windows.
 
 A document longer than the capacity is cut; its full pieces fill containers of
 their own and only its last piece is packed.  Between two items of a container
@@ -31,8 +33,8 @@ from .tokens import TOKENIZER, sized
 
 #: Documents of a window, and the share of its capacity at which a container is closed within the stretch.
 WINDOW, CLOSED = 4096, 0.995
-#: Stretches whose ends are packed together.
-JOINED = 32
+#: Stretches whose ends are packed together, and windows whose documents a task holds at most.
+JOINED, CARRIED = 32, 4
 
 PLACED = "container_kind string, container_id string, doc_id long, piece_no int, n_tokens long"
 
@@ -103,10 +105,9 @@ def _pack(rows: DataFrame, last: bool) -> DataFrame:
                 if (fresh := fresh + 1) >= WINDOW:
                     pack(False)
                     fresh = 0
-                    if len(held) > 4 * WINDOW:  # nothing closes any more: these are as full as they get
-                        kept, held = held, []
-                        for used, items in best_fit(kept, capacity, separator):
-                            give(items, f"{kind}:{items[0][1]}:{items[0][2]}")
+                    if len(held) > CARRIED * WINDOW:  # what fills no container here goes on to the next round, or is as full as it gets
+                        pack(True)
+                        held = []
             if len(out) >= 20_000:
                 yield flush()
         if now:

@@ -76,8 +76,9 @@ def sized(documents: DataFrame, path: str = TOKENIZER, curve: bool = True, keep:
         ranks = documents.sparkSession.sparkContext.broadcast(f.read())  # one public tokenizer's file, about a megabyte
 
     def start():
-        encode = encoder(ranks.value).encode_to_numpy
-        table = projection(1 << 17) if curve else None
+        tokenizer = encoder(ranks.value)
+        encode = tokenizer.encode_to_numpy
+        table = projection(tokenizer.n_vocab) if curve else None
 
         def work(c: dict) -> dict:
             sizes, keys = [], []

@@ -14,9 +14,10 @@ after level, and the flows along the same tape; an item's use belongs to the flo
 in which it begins.  Places on the tape come from sums over ``BUCKETS`` of the
 seed's hash and a running sum within a bucket, so no pattern is sorted in one task.
 
-``total`` is the size aimed at; by default the tokens that the listed sources
-hold, each item once.  A source that is too small or empty falls short, which
-``shares`` reports against its target; nothing else is stretched for it.
+``total`` is the size aimed at; by default the largest at which every listed
+source that has documents gets its share.  A source without documents gets none,
+and with a ``total`` above the default others may fall short too: nothing else is
+stretched for them, and ``shares`` reports what was reached.
 
 The patterns on the driver are sets of listed sources: at most ``PATTERNS``, else
 an error says so.  Null texts, and documents without tokens, take no part.
@@ -24,8 +25,6 @@ an error says so.  Null texts, and documents without tokens, take no part.
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,58 +34,109 @@ from .tokens import TOKENIZER, sized
 BUCKETS, PATTERNS, SEED = 4096, 20_000, 17
 
 
-def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], s: int, t: int) -> list[int]:
-    """The flow on each edge (from, to, capacity, cost) of a maximum flow of least cost (successive shortest paths)."""
-    to, cap, cost, out = [], [], [], [[] for _ in range(n)]
-    for a, b, c, w in edges:
-        for x, y, k, v in ((a, b, c, w), (b, a, 0, -w)):
-            out[x].append(len(to))
-            to.append(y)
-            cap.append(k)
-            cost.append(v)
-    while True:
-        far, via, queued = [None] * n, [-1] * n, [False] * n
-        far[s] = 0
-        queue = deque([s])
-        while queue:
-            x = queue.popleft()
-            queued[x] = False
-            for e in out[x]:
-                y = to[e]
-                if cap[e] > 0 and (far[y] is None or far[x] + cost[e] < far[y]):
-                    far[y], via[y] = far[x] + cost[e], e
-                    if not queued[y]:
-                        queued[y] = True
-                        queue.append(y)
-        if far[t] is None:
-            break
-        path, x = [], t
-        while x != s:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
-    return [cap[2 * i + 1] for i in range(len(edges))]
+class Flow:
+    """Tokens from patterns to sources, up to the sources' quotas: a flow network of which only what patterns give has a cost.
+
+    As only the edges into patterns cost, a path's cost is the level that it starts with: maximum flows level by level, each
+    on what the last one left, are a maximum flow of least cost.  Every level is blocked by shortest paths (Dinic).
+    """
+
+    def __init__(self, patterns: list[tuple[tuple[str, ...], int]], sources: list[str], quotas: list[int], limits: list[int]):
+        at = {s: i for i, s in enumerate(sources)}
+        self.members = [[at[s] for s in p] for p, _ in patterns]
+        self.most = [[tokens * limits[j] for j in m] for (_, tokens), m in zip(patterns, self.members)]
+        self.sent = [[0] * len(m) for m in self.members]
+        self.given = [0] * len(patterns)  # what a pattern may still give at this level
+        self.wanted = list(quotas)
+        self.holders: list[list[tuple[int, int]]] = [[] for _ in sources]
+        for p, m in enumerate(self.members):
+            for k, j in enumerate(m):
+                self.holders[j].append((p, k))
+
+    def level(self, capacities: list[int]) -> None:
+        """Let every pattern give up to its capacity more, and send as much as can be sent."""
+        self.given = list(capacities)
+        while self._grade():
+            self.next_source = [0] * len(self.members)
+            self.next_pattern = [0] * len(self.wanted)
+            for p in range(len(self.members)):
+                while self.given[p] and (n := self._push(p, self.given[p])):
+                    self.given[p] -= n
+
+    def _grade(self) -> bool:
+        """Distances from the patterns that can give: over free edges to sources, and back over edges that carry something."""
+        self.far_p = [0 if g else -1 for g in self.given]
+        self.far_s = [-1] * len(self.wanted)
+        now, step, reached = [p for p, g in enumerate(self.given) if g], 0, False
+        while now and not reached:
+            found = []
+            for p in now:
+                for k, j in enumerate(self.members[p]):
+                    if self.far_s[j] < 0 and self.sent[p][k] < self.most[p][k]:
+                        self.far_s[j] = step + 1
+                        found.append(j)
+                        reached = reached or self.wanted[j] > 0
+            now, step = [], step + 2
+            for j in found:
+                for p, k in self.holders[j]:
+                    if self.far_p[p] < 0 and self.sent[p][k]:
+                        self.far_p[p] = step
+                        now.append(p)
+        return reached
+
+    def _push(self, p: int, n: int) -> int:
+        m = self.members[p]
+        while self.next_source[p] < len(m):
+            k = self.next_source[p]
+            j = m[k]
+            if self.far_s[j] == self.far_p[p] + 1 and (free := min(n, self.most[p][k] - self.sent[p][k])) > 0:
+                if pushed := min(free, self.wanted[j]):
+                    self.wanted[j] -= pushed
+                    self.sent[p][k] += pushed
+                    return pushed
+                while self.next_pattern[j] < len(self.holders[j]):
+                    q, i = self.holders[j][self.next_pattern[j]]
+                    if self.far_p[q] == self.far_s[j] + 1 and self.sent[q][i] and (pushed := self._push(q, min(free, self.sent[q][i]))):
+                        self.sent[q][i] -= pushed
+                        self.sent[p][k] += pushed
+                        return pushed
+                    self.next_pattern[j] += 1
+            self.next_source[p] += 1
+        return 0
+
+
+def _network(patterns: list, targets: list[tuple[str, float, int]], total: int) -> tuple[Flow, list[int]]:
+    limits = [max(0, r) for _, _, r in targets]
+    flow = Flow(patterns, [s for s, _, _ in targets], [round(share * total) for _, share, _ in targets], limits)
+    return flow, [max(limits[j] for j in m) for m in flow.members]
 
 
 def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str, float, int]], total: int) -> list[tuple[tuple[str, ...], str, int]]:
     """(pattern, source, tokens) of the best flow; ``targets``: (source, share, max_repeats)."""
-    repeats = {s: max(0, r) for s, _, r in targets}
-    source = {s: 1 + i for i, (s, _, _) in enumerate(targets)}
-    first = 1 + len(targets)
-    end = first + len(patterns)
-    edges = [(source[s], end, round(share * total), 0) for s, share, _ in targets]
-    asked = []
-    for k, (pattern, tokens) in enumerate(patterns):
-        for level in range(max(repeats[s] for s in pattern)):
-            edges.append((0, first + k, tokens, level))
-        for s in pattern:
-            asked.append((len(edges), pattern, s))
-            edges.append((first + k, source[s], tokens * repeats[s], 0))
-    flow = min_cost_flow(end + 1, edges, 0, end)
-    return [(p, s, flow[e]) for e, p, s in asked if flow[e] > 0]
+    flow, most = _network(patterns, targets, total)
+    for level in range(max(most, default=0)):
+        flow.level([tokens if level < m else 0 for (_, tokens), m in zip(patterns, most)])
+    return [(p, s, n) for (p, _), sent in zip(patterns, flow.sent) for s, n in zip(p, sent) if n]
+
+
+def reachable(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str, float, int]]) -> int:
+    """The largest total, to a ten-thousandth, at which every source that has documents gets its share."""
+    held = {s for p, _ in patterns for s in p}
+    own = [t for t in targets if t[0] in held and t[1] > 0 and t[2] > 0]
+    names = {s for s, _, _ in own}
+    kept = [(q, n) for p, n in patterns if (q := tuple(s for s in p if s in names))]
+
+    def holds(total: int) -> bool:
+        flow, most = _network(kept, own, total)
+        flow.level([n * m for (_, n), m in zip(kept, most)])
+        return not any(flow.wanted)
+
+    # no source can give more than its documents as often as they may be used
+    low, high = 0, min((int(sum(n for p, n in kept if s in p) * r / share) + 1 for s, share, r in own), default=0)
+    while high - low > max(1, high // 10_000):
+        middle = (low + high) // 2
+        low, high = (middle, high) if holds(middle) else (low, middle)
+    return low
 
 
 def listed(targets: DataFrame) -> DataFrame:
@@ -105,27 +155,27 @@ def select(documents: DataFrame, targets: DataFrame, total: int | None = None, s
     sizes = sized(own.withColumn("same", F.sha2("text", 256)), path, curve=False, keep=("source", "same")).where("n_tokens > 0")
     # one document stands for each text in each of its sources
     members = sizes.groupBy("same", "source").agg(F.min("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens")).persist(StorageLevel.DISK_ONLY)
-    items = members.groupBy("same").agg(F.array_join(F.array_sort(F.collect_set("source")), "\n").alias("pattern"), F.first("n_tokens").alias("n_tokens"))
+    items = members.groupBy("same").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.first("n_tokens").alias("n_tokens"))
     items = items.withColumn("draw", F.xxhash64(F.lit(seed), "same")).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS))).persist(StorageLevel.DISK_ONLY)
     by_bucket = items.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("tokens")).persist(StorageLevel.DISK_ONLY)
     sums = by_bucket.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
-    patterns = sorted((tuple(r.pattern.split("\n")), r.tokens) for r in sums)
+    patterns = sorted((tuple(r.pattern), r.tokens) for r in sums)
     if not patterns:
         return empty
-    total = total if total is not None else sum(t for _, t in patterns)
+    total = total if total is not None else reachable(patterns, rows)
     flows = route(patterns, rows, total)
     at: dict[tuple[str, ...], int] = {}
     intervals = []
     for p, s, n in flows:
         a = at.get(p, 0)
-        intervals.append(("\n".join(p), s, a, a + n))
+        intervals.append((p, s, a, a + n))
         at[p] = a + n
     if not intervals:
         return empty
     tokens = dict(patterns)
-    tape = spark.createDataFrame([(*i, tokens[tuple(i[0].split("\n"))]) for i in intervals], "pattern string, source string, a long, b long, length long")
+    tape = spark.createDataFrame([(list(p), s, a, b, tokens[p]) for p, s, a, b in intervals], "pattern array<string>, source string, a long, b long, length long")
     before = by_bucket.select("pattern", "bucket", (F.sum("tokens").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("tokens")).alias("before"))
     within = Window.partitionBy("pattern", "bucket").orderBy("draw", "same").rowsBetween(Window.unboundedPreceding, -1)
     placed = items.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, ["pattern", "bucket"])
@@ -137,8 +187,12 @@ def select(documents: DataFrame, targets: DataFrame, total: int | None = None, s
 
 
 def shares(selected: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, documents, tokens, share, most_uses): what each listed source reached."""
+    """(source, target_share, documents, tokens, share, of_aim, most_uses): what each listed source reached.
+
+    ``share`` is of all tokens selected, ``of_aim`` of what these would be had every source without documents got its share too.
+    """
     per = selected.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("uses").alias("most_uses"))
     got = listed(targets).join(per, "source", "left").fillna(0, ["documents", "tokens", "most_uses"])
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # a row per listed source
-    return got.select("source", "target_share", "documents", "tokens", F.when(total > 0, F.round(F.col("tokens") / total, 6)).alias("share"), "most_uses")
+    listed_rows = Window.partitionBy(F.lit(0))  # a row per listed source
+    total, met = F.sum("tokens").over(listed_rows), F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(listed_rows)
+    return got.select("source", "target_share", "documents", "tokens", F.when(total > 0, F.round(F.col("tokens") / total, 6)).alias("share"), F.when(total > 0, F.round(F.col("tokens") / total * met, 6)).alias("of_aim"), "most_uses")

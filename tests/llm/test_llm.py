@@ -49,6 +49,21 @@ def test_budget_of_the_automaton():
     assert a.match("studemt") == "student" and a.match("student") == "student" and a.match("stemt") is None
 
 
+def test_the_vocabulary_reads_letters_that_look_like_several():
+    look, bare = LookForm(["final", "It", "office", "course", "عليها"]), LookForm()
+    for stored, word in (("finaӀ", "final"), ("Іt", "It"), ("cօսrse", "course"), ("عليہا", "عليها"), ("оffісе", "office")):
+        assert look.text(stored) == word == look.text(word), stored
+    # the table alone reads an upright stroke as capital i and leaves letters of their own; so do words that the vocabulary hasn't got
+    assert bare.text("finaӀ") == "finaI" and bare.text("cօսrse") == "cօսrse" and look.text("finӀ") == "finI"
+    assert sum(look.text(w) != bare.text(w) for w in ("finaӀ", "cօսrse", "عليہا")) == 3
+
+
+def test_classes_of_the_same_look(spark):
+    rows = [("unit", "d", i, "the book" if i % 2 else "thе book") for i in range(1, 8)] + [("unit", "d", 20, "other"), ("unit", "e", 21, "the book"), ("unit", "d", 1, "the book"), ("unit", None, 30, "x"), ("unit", "d", 31, None)]
+    got = same_look.classes(spark.createDataFrame(rows, "kind string, doc_id string, item_id long, text string"), WORDS).collect()
+    assert {(r.item_id, r.class_id, r.members, r.spellings) for r in got} == {(i, 1, 7, 2) for i in range(1, 8)}
+
+
 def test_pairs_of_the_same_look(spark):
     rows = [("unit", "d", 1, "the book"), ("unit", "d", 2, "thе  book"), ("unit", "d", 2, "thе  book"), ("unit", "d", 3, "the book"), ("unit", "e", 4, "ｔhe book"), ("unit", "d", 5, None), ("unit", None, 6, "the book"), ("unit", "d", 7, ""), ("unit", "d", 8, "The book")]
     df = spark.createDataFrame(rows, "kind string, doc_id string, item_id long, text string")
@@ -89,7 +104,7 @@ def test_repeated_lines_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(items, "kind string, source string, page long, item_id long, lines array<string>").repartition(7)
     want = brute_repeated(items)
     assert want and {tuple(r) for r in repeated_lines.find(df, WORDS).collect()} == want
-    clean = {r.item_id: r for r in repeated_lines.without(df, repeated_lines.find(df, WORDS)).collect()}
+    clean = {r.item_id: r for r in repeated_lines.without(df, WORDS).collect()}
     assert len(clean) == 900 and sum(r.removed for r in clean.values()) == len(want)
 
 
@@ -158,11 +173,55 @@ def test_drafts_are_put_right(spark):
     assert defects == {(i, 1, x) for i in (7, 8) for x in ("running_line", "page_number", "broken_word")} | {(7, 1, "misread")}
 
 
+def test_labels_decide(spark, monkeypatch):
+    units = [(p, "d", p, [f"{WORDS[p]} teacher reads", "Records office | papers"] if p % 2 else ["Records office | papers", f"the {WORDS[p]} returns marked papers.", f"- {p} -"], "ocr") for p in range(1, 9)]
+    items = scan_repair.unit_items(spark.createDataFrame(units, "unit_id long, doc_id string, page int, lines array<string>, extraction_method string"))
+    of = lambda: {tuple(r)[1:] for r in scan_repair.line_defects(scan_repair.labelled(items, WORDS)).collect()}
+    found = of()
+    assert {(i, 1 if i % 2 == 0 else 2, "running_line") for i in range(1, 9)} | {(i, 3, "page_number") for i in range(2, 9, 2)} <= found
+    # a model that takes heads and feet for body text: the same counts, but no line is a running one
+    blind = scan_repair.prior()
+    blind[: len(scan_repair.STATES)] = blind[len(scan_repair.STATES) : len(scan_repair.STATES) * 6] = 0
+    blind[1] = 1
+    blind[len(scan_repair.STATES) :][1 : 25 : 5] = 1
+    monkeypatch.setattr(scan_repair, "fitted", lambda codes: blind)
+    assert not {x for x in of() if x[2] in ("running_line", "page_number")}
+
+
+def test_model_of_lines_against_brute_force():
+    rng = np.random.default_rng(3)
+    items = [rng.integers(0, scan_repair.CODES, n) for n in (1, 2, 4, 4, 3)]
+    model, k = scan_repair.Model(scan_repair.prior()), len(scan_repair.STATES)
+    import itertools
+
+    total = np.zeros(len(scan_repair.prior()))
+    for x, label in zip(items, model.label(items)):
+        paths = {}
+        for s in itertools.product(range(k), repeat=len(x)):
+            p = model.start[s[0]] * model.emit[x[0], s[0]]
+            for t in range(1, len(x)):
+                p *= model.move[s[t - 1], s[t]] * model.emit[x[t], s[t]]
+            paths[s] = p
+        assert paths[tuple(label)] >= max(paths.values()) * (1 - 1e-9)
+        weight = sum(paths.values())
+        for s, p in paths.items():
+            p /= weight
+            total[s[0]] += p
+            for t in range(1, len(x)):
+                total[k + s[t - 1] * k + s[t]] += p
+            for t in range(len(x)):
+                at = k + k * k
+                for size, place in zip(scan_repair.SIZES, scan_repair.PLACES):
+                    total[at + s[t] * size + x[t] // place % size] += p
+                    at += k * size
+    assert np.allclose(model.expected(items), total)
+
+
 def test_no_word_is_left_out(spark):
     lexicon = spark.createDataFrame([(w, n) for n, w in enumerate(WORDS)] * 2, "word string, frequency long")
-    assert set(common.whole_vocabulary(lexicon, len(set(WORDS)))) == set(WORDS)
+    assert set(common.vocabulary(lexicon, len(set(WORDS)))) == set(WORDS)
     with pytest.raises(ValueError, match="more than"):
-        common.whole_vocabulary(lexicon, len(set(WORDS)) - 1)
+        common.vocabulary(lexicon, len(set(WORDS)) - 1)
 
 
 # ------------------------------------------------------------------ replies
@@ -191,6 +250,36 @@ def test_reply_defects(spark):
     assert [tuple(r) for r in reply_defects.find(df, WORDS).collect()] == [(1, "empty")]
 
 
+# wordings written for this test, none a template's
+HELD_OUT = """I'm afraid I can't assist with that.|The documents provided do not mention this.|I'm sorry, but I have no information on that topic.|Unfortunately, none of the sources address this point.
+That is something I cannot discuss.|We are not in a position to confirm this.|There is no information about this in the excerpts.|I have not found anything on this in the text.|My apologies, I don't have the details you are asking for.
+This question goes beyond my knowledge.|I must refrain from answering.|Nothing in the context answers your question.|It is not possible to answer this from the given documents.|I would prefer not to say.
+Regrettably, this request is outside my area of expertise; kindly ask the registrar.|I am not authorised to give advice about that.|The excerpts say nothing about it.|The answer is not available in the sources.|No answer was found.
+I couldn't locate this in the material.|You may wish to consult the registrar, as I cannot determine this.|The text lacks this information.|That isn't covered by the passages.|I have no idea.|Sorry, that is beyond what I can answer.|We do not have that information at present.
+The context provided contains no answer to this.|I'm unable to find that in the references.|Apologies, but I can't provide an answer.|I lack the information needed to answer.
+ليس لدي جواب عن ذلك.|لا أملك معلومات حول هذا الموضوع.|النصوص المرفقة لا تذكر شيئاً عن ذلك.|أعتذر، لا يمكنني مساعدتك في هذا الطلب.|للأسف لم أعثر على إجابة في الوثائق.|هذا السؤال يتجاوز حدود معرفتي.|لا تتضمن المصادر جواباً عن سؤالك.
+لا يوجد في النص ما يجيب عن السؤال.|أمتنع عن التعليق على هذا الأمر.|يصعب علي تحديد ذلك، يرجى مراجعة القسم.|لم تتطرق الوثائق إلى هذه المسألة.|ليس من صلاحيتي إعطاء هذه المعلومات.|المستندات تخلو من أي إشارة إلى ذلك.|لا تتوافر عندي تفاصيل عن هذا.|لم أتمكن من إيجاد الجواب.|لا أدري.""".replace("\n", "|").split("|")
+ANSWERS = """The student may not transfer after week 3.|No, late forms are not accepted.|I cannot find a fee, but the term lasts 16 weeks.|The passages set the limit at 18 hours.|Students are not allowed to register without approval.
+You cannot appeal after the deadline.|There is no fee for the service.|The committee cannot change the grade.|A grade of 60 is not enough.|Only the dean can approve this.|Please submit the form at the records office.|The request is refused without a signature.
+The library does not lend reference books.|Nothing is due before registration.|The exam is outside the main hall.|Contact the records office within 5 days.|لا يقبل الطلب بعد الموعد.|لا يحق للطالب التأجيل أكثر من فصلين.|لا يمكن للطالب تسجيل أكثر من 18 ساعة.
+ليس على الطالب رسوم.|لا توجد رسوم للخدمة.|لم تحدد المقاطع الرسوم، أما المدة فهي 3 أيام.|لا تقبل الوثائق غير المصدقة.|لا يسمح بالدخول بعد بدء الاختبار.""".replace("\n", "|").split("|")
+
+
+def test_refusals_worded_otherwise():
+    judge = reply_defects.Judge(WORDS)
+    missed = [x for x in HELD_OUT if not judge.refuses(x)]
+    assert len(missed) <= 0.1 * len(HELD_OUT), missed
+    assert not [x for x in ANSWERS if judge.refuses(x)]
+
+
+def test_copies_by_common_subsequence():
+    judge, q = reply_defects.Judge([]), "where is the form for internal transfer kept by the records office of the marine institute in summer".split()
+    assert judge.copies(q, q) and judge.copies(q + q, q)
+    assert judge.copies([w for i, w in enumerate(q) if i % 4 != 1], q)  # no run of three words is left
+    assert judge.copies([*q[:5], "please", *q[5:11], "indeed", *q[11:], "then"], q)
+    assert not judge.copies([*q, "the", "dean", "keeps", "it"], q) and not judge.copies([*q, "room", "12"], q) and not judge.copies([], q) and not judge.copies(q, [])
+
+
 def test_question_layouts():
     for prompt in ("Passages:\n[1] a b.\n\nQuestion: Who?", "### Question\nWho?\n### Passages\n[1] x\n### Answer in the language of the question", "Who?\n\nUse only the passages below.\n1) a", '<passages>\n<p n="1">a</p>\n</passages>\n<question>Who?</question>', "Who?"):
         assert reply_defects.question_of(prompt) == "Who?"
@@ -261,12 +350,24 @@ def test_packing(spark, path):
     assert packing.pack(df.limit(0), kinds, path).count() == 0
 
 
+def test_documents_that_fill_no_container(spark, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW", 8)
+    rows = [("k", i, 1, 60, i, 100, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "container_kind string, doc_id long, piece_no int, n_tokens long, key long, capacity long, separator long").coalesce(1)
+    assert packing._pack(df, last=False).where("container_id is null").count() == 300
+    assert packing._pack(df, last=True).select("container_id").distinct().count() == 300
+
+
 def test_min_cost_flow_prefers_first_uses():
     flows = mixing.route([(("a",), 100), (("a", "b"), 50), (("b",), 10)], [("a", 0.5, 1), ("b", 0.5, 3)], 200)
     by = Counter()
     for p, s, n in flows:
         by[s] += n
     assert by == {"a": 100, "b": 100}
+    # the least cost: b's quota comes from first uses of what a doesn't need
+    used = mixing.route([(("a", "b"), 100), (("b",), 100)], [("a", 0.5, 2), ("b", 0.5, 2)], 200)
+    assert sorted(used) == [(("a", "b"), "a", 100), (("b",), "b", 100)]
+    assert mixing.reachable([(("a",), 100), (("b",), 10)], [("a", 0.5, 1), ("b", 0.4, 3), ("c", 0.1, 9)]) in range(74, 77) and mixing.reachable([], [("a", 1.0, 1)]) == 0
     assert mixing.route([(("a",), 10)], [("a", 0.5, 2), ("b", 0.5, 1)], 100) == [(("a",), "a", 20)]
 
 
@@ -285,6 +386,9 @@ def test_mixing(spark, path):
     again = mixing.select(df.repartition(9), targets, total=4000, path=path)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in got}
     assert mixing.select(df.limit(0), targets, path=path).count() == 0
+    odd = mixing.shares(mixing.select(df.withColumn("source", F.concat(F.lit("x\ny"), "source")), targets.withColumn("source", F.concat(F.lit("x\ny"), "source")), path=path), targets.withColumn("source", F.concat(F.lit("x\ny"), "source")))
+    for r in odd.collect():
+        assert r.source == "x\nyempty" and r.tokens == 0 or abs(r.of_aim - r.target_share) < 0.02, r
 
 
 # ------------------------------------------------------------------ reading level

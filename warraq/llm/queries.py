@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting
-from .common import vocabulary, whole_vocabulary
+from .common import vocabulary
 
 
 def _words(spark: SparkSession, d: str) -> list[str]:
     return vocabulary(table(spark, d, "lexicon"))
 
 
-def _all_words(spark: SparkSession, d: str) -> list[str]:
-    return whole_vocabulary(table(spark, d, "lexicon"))
-
-
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.unit_items(table(spark, d, "units")).unionByName(repeated_lines.document_items(table(spark, d, "documents")))
 
@@ -32,8 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     """Units and documents without their repeated lines."""
-    items = _items(spark, d)
-    return repeated_lines.without(items, repeated_lines.find(items, _words(spark, d))).select("kind", "item_id", F.array_join("lines", "\n").alias("text"), "removed")
+    return repeated_lines.without(_items(spark, d), _words(spark, d)).select("kind", "item_id", F.array_join("lines", "\n").alias("text"), "removed")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +40,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look.pairs(_texts(spark, d), _words(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of one document that look alike, by class."""
+    return same_look.classes(_texts(spark, d), _words(spark, d))
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every unit text and calendar title in the one consistent form."""
     return same_look.canonical(_texts(spark, d), _words(spark, d))
@@ -52,12 +52,12 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Broken and misread words, running lines and page numbers of scanned pages, units and drafts."""
-    return scan_repair.find(table(spark, d, "units"), table(spark, d, "readings"), table(spark, d, "drafts"), _all_words(spark, d))
+    return scan_repair.find(table(spark, d, "units"), table(spark, d, "readings"), table(spark, d, "drafts"), _words(spark, d))
 
 
 def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Continuous paragraphs of readings, scanned units and their drafts."""
-    units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _all_words(spark, d)
+    units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _words(spark, d)
     items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
     labels = scan_repair.labelled(items, words).persist(StorageLevel.DISK_ONLY)
     made = scan_repair.paragraphs(items, words, labels).persist(StorageLevel.DISK_ONLY)
@@ -67,7 +67,7 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective replies and their defects."""
-    return reply_defects.find(table(spark, d, "exchanges"), _all_words(spark, d))
+    return reply_defects.find(table(spark, d, "exchanges"), _words(spark, d))
 
 
 def _sized_items(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +85,12 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_sized_items(spark, d), table(spark, d, "split_limits"))
 
 
+def p5_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of every item that was cut, counted over its pieces without what they repeat."""
+    p = p5_pieces(spark, d)
+    return p.groupBy("kind", "item_id").agg(F.sum(F.col("n_words") - F.col("overlap")).cast("long").alias("words"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or piece of one, for each kind of container."""
     return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
@@ -95,6 +101,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(spark, d), table(spark, d, "containers"))
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each kind: documents placed, containers over their capacity, and documents cut without need."""
+    placed, kinds = p6_containers(spark, d), table(spark, d, "containers")
+    per = placed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    docs = per.join(kinds, "container_kind").groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if((F.col("n") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)).alias("cut"))
+    used = placed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items")).join(kinds, "container_kind")
+    over = used.groupBy("container_kind").agg(F.count_if(F.col("n") + (F.col("items") - 1) * F.col("separator_tokens") > F.col("capacity_tokens")).alias("overfull"))
+    return docs.join(over, "container_kind").select("container_kind", "documents", "overfull", "cut")
+
+
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     """The documents that make the mixture, and how often each is used."""
     return mixing.select(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -105,6 +121,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_selection(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each listed source: whether it takes part, and whether it has its share and no document was used too often."""
+    got = p7_shares(spark, d).join(mixing.listed(table(spark, d, "mix_targets")).select("source", "max_repeats"), "source")
+    fits = (F.col("most_uses") <= F.col("max_repeats")) & ((F.col("tokens") == 0) | (F.abs(F.col("of_aim") - F.col("target_share")) < 0.005))
+    return got.select("source", (F.col("tokens") > 0).alias("used"), F.coalesce(fits, F.lit(True)).alias("kept"))
+
+
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     """The reading level of every document."""
     return reading_level.levels(table(spark, d, "documents"), table(spark, d, "level_samples"), _words(spark, d))
@@ -117,19 +140,30 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_paragraphs, p4_found, p5_found, p5_pieces, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_levels)
+    for f in (p1_found, p1_clean, p2_found, p2_classes, p2_canonical, p3_found, p3_paragraphs, p4_found, p5_found, p5_pieces, p5_words, p6_containers, p6_fill, p6_whole, p7_selection, p7_shares, p7_kept, p8_found, p8_levels)
 }
-SQL: dict[str, str] = {
-    # the operator counts the words of an item to cut it; which items are too long is plain SQL
-    "p5_found": r"""
+_WORDS = r"""
         with items as (
             select distinct 'unit' as kind, unit_id as item_id, content_type, text from units
             union
             select distinct 'draft', draft_id, content_type, array_to_string(texts, chr(10)) from drafts
+        ), sized as (
+            select i.kind, i.item_id, max_words,
+                   len(list_filter(regexp_extract_all(text, '[^\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
+                                   lambda w: regexp_matches(w, '[\p{L}\p{N}_]'))) as words
+            from items i join split_limits l using (content_type)
         )
-        select i.kind, i.item_id
-        from items i join split_limits l using (content_type)
-        where len(list_filter(regexp_extract_all(text, '[^\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
-                              lambda w: regexp_matches(w, '[\p{L}\p{N}_]'))) > max_words
+"""
+SQL: dict[str, str] = {
+    # the operator counts the words of an item to cut it; which items are too long is plain SQL
+    "p5_found": _WORDS + "select kind, item_id from sized where words > max_words",
+    # a round trip: pieces without what they repeat have the item's words
+    "p5_words": _WORDS + "select kind, item_id, words from sized where words > max_words",
+    # what must hold of any packing
+    "p6_whole": """
+        select container_kind, (select count(distinct doc_id) from documents where length(text) > 0) as documents, 0 as overfull, 0 as cut
+        from containers where capacity_tokens > 0
     """,
+    # what must hold of a mixture
+    "p7_kept": "select source, exists (select 1 from documents d where d.source = t.source and length(text) > 0) as used, true as kept from mix_targets t",
 }

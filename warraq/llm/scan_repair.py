@@ -36,7 +36,7 @@ import re
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +186,11 @@ class Words:
         return not apart and (head not in self.known or tail not in self.known), False, False
 
 
-LINES = "kind string, item_id long, source string, page long, line_no int, wording long, number int, code int, starts boolean, misread boolean, broken int"
+LINES = "kind string, item_id long, source string, page long, line_no int, wording long, number int, code int, bits int"
+# Bits of a line: what it is found to have, then a bit a line further for where its last word goes on.
+RUNNING, PAGED, MISREAD, STARTS, BROKEN = 1, 2, 4, 8, 16
+# Bits of a decision, above the state.
+STATE, HEAD, COUNTED, GOES_ON = 7, 8, 16, 32
 _RULES = re.compile(r"[|·•—]|\s[-–]\s|^[-–]")
 
 
@@ -210,7 +214,7 @@ def layout(texts: list[str], forms: list[str]) -> list[int]:
 
 
 def read_lines(words: Words, wording: Wording, lines: list[str | None]) -> list[tuple]:
-    """Per filled line (no, wording, number, code, starts, misread, broken) of an item; ``broken``: bit k for going on k + 1 filled lines later."""
+    """Per filled line (no, wording, number, code, bits) of an item."""
     numbered = [(no, x) for no, x in enumerate(lines, 1) if x]
     tokens = [x.split() for _, x in numbered]
     forms = [[words.look[t] for t in ts] for ts in tokens]
@@ -224,7 +228,7 @@ def read_lines(words: Words, wording: Wording, lines: list[str | None]) -> list[
             if i + step < len(forms):
                 is_broken, first, second = words.broken(tokens[i][-1], tokens[i + step][0])
                 if is_broken:
-                    broken[i] |= 1 << step - 1
+                    broken[i] |= BROKEN << step - 1
                     if step == 1:
                         # the pieces are judged as one word
                         bad[i].discard(len(tokens[i]) - 1)
@@ -238,7 +242,7 @@ def read_lines(words: Words, wording: Wording, lines: list[str | None]) -> list[
         lettered = bool(_LETTER.search(shown[i]))
         number = None if lettered else _NUMBER.fullmatch(shown[i])
         w = printed[i]
-        out.append((no, hash64(w) if lettered and _LETTER.search(w) else None, int(number.group(1)) if number else None, codes[i], bool(_STARTS.match(shown[i])), bool(bad[i]), broken[i]))
+        out.append((no, hash64(w) if lettered and _LETTER.search(w) else None, int(number.group(1)) if number else None, codes[i], broken[i] | (STARTS if _STARTS.match(shown[i]) else 0) | (MISREAD if bad[i] else 0)))
     return out
 
 
@@ -412,8 +416,6 @@ def fitted(codes: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     for _ in range(rounds):
 
         def run(batches, now=counts):
-            import pyarrow as pa
-
             model, total = Model(now), np.zeros(len(now))
             for b in batches:
                 items = _codes(b.column(0))
@@ -433,7 +435,7 @@ def fitted(codes: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(kind, item_id, source, page, lines): each filled line with its features, flags and state, and whether it is noise."""
+    """(kind, item_id, source, page, lines, decided): the filled lines of each item, and what is decided of each."""
     rows = line_rows(items, vocabulary).persist(StorageLevel.DISK_ONLY)
     pages = items.select("source", "page").where("page is not null and source is not null")
     lettered = rows.where("wording is not null and source is not null").select("kind", "source", "page", "item_id", "line_no", "wording")
@@ -447,68 +449,69 @@ def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     flags = flags.groupBy("kind", "item_id", "line_no").agg(F.max("alike").alias("alike"), F.max("running").alias("running"), F.max("paged").alias("paged"))
     full = rows.join(flags, ["kind", "item_id", "line_no"], "left").fillna(False, ["running", "paged"])
     full = full.withColumn("code", F.col("code") + F.coalesce("alike", F.lit(0)) * PLACES[-1])
+    full = full.withColumn("bits", F.col("bits") + F.when(F.col("running"), RUNNING).otherwise(0) + F.when(F.col("paged"), PAGED).otherwise(0))
     # a copy of an item gives the same rows, which a set takes once: texts needn't be shuffled to drop copies
-    line = F.struct("line_no", "wording", "number", "code", "starts", "misread", "broken", "running", "paged")
+    line = F.struct("line_no", "wording", "number", "code", "bits")
     grouped = full.groupBy("kind", "item_id").agg(F.first("source").alias("source"), F.first("page").alias("page"), F.array_sort(F.collect_set(line)).alias("lines"))
-    grouped = grouped.withColumn("codes", F.transform("lines", lambda x: x["code"])).persist(StorageLevel.DISK_ONLY)
-    counts = fitted(grouped.select("codes"))
+    grouped = grouped.persist(StorageLevel.DISK_ONLY)
+    counts = fitted(grouped.select("lines.code"))
 
-    @F.pandas_udf("array<tinyint>")
-    def states(codes: pd.Series) -> pd.Series:
-        model, own = Model(counts), [np.asarray(c, np.int64) for c in codes]
+    def decide(codes: pa.Array, bits: pa.Array) -> pa.Array:
+        own = _codes(codes)
         made: list = [np.zeros(0, np.int8)] * len(own)
+        model = Model(counts)
         for turn in _in_turns(own):
             for i, s in zip(turn, model.label([own[i] for i in turn])):
                 made[i] = s
-        return pd.Series(made, dtype=object)
+        sizes = np.array([len(x) for x in own])
+        out = decisions(np.concatenate(made), bits.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(own)), sizes)) if len(own) else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out, pa.int32()))
 
-    own = grouped.select("kind", "item_id", "source", "page", "lines", states("codes").alias("states"))
-    head = lambda s: (s == STATES.index("head")) | (s == STATES.index("foot"))
-    number = lambda s: s == STATES.index("number")
+    return grouped.withColumn("decided", F.arrow_udf(decide, "array<int>")("lines.code", "lines.bits"))
 
-    def with_state(x, i):
-        s = F.element_at("states", i + 1)
-        return x.withField("state", F.element_at(F.array(*map(F.lit, STATES)), s.cast("int") + 1)).withField("head", head(s) & x["running"]).withField("counted", number(s) & x["paged"])
 
-    return own.select("kind", "item_id", "source", "page", F.transform("lines", with_state).alias("lines"))
+def decisions(states: np.ndarray, bits: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Of lines in order, with their items: the state, whether the exact counts leave a head, foot or number, and whether the last word goes on."""
+    head = ((states == STATES.index("head")) | (states == STATES.index("foot"))) & (bits & RUNNING > 0)
+    counted = (states == STATES.index("number")) & (bits & PAGED > 0)
+    noise, goes_on = head | counted, np.zeros(len(states), bool)
+    for step in range(REACH, 0, -1):
+        # past a line that is noise a word goes on in the next
+        after = np.zeros(len(states), bool)
+        after[:-step] = noise[step:] & (item[step:] == item[:-step])
+        goes_on = np.where(after, goes_on, bits & (BROKEN << step - 1) > 0)
+    return (states + HEAD * head + COUNTED * counted + GOES_ON * goes_on).astype(np.int32)
 
 
 def alike(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (kind, item_id, line_no, alike) whose wording stands on other pages too, and those that stand on a quarter of all pages.
 
-    Only wordings that the summaries propose are looked at.  A stretch of a document's pages is a key of its own, so a
+    Only wordings that the summaries propose, which all stand more than once, are looked at.  A stretch of a document's pages is a key of its own, so a
     document with a third of all rows is spread.
     """
     running, _, proposed = repeated(lines, pages, RUNNING_SHARE, RUNNING_LEAST, key=("source",))
     stretch = F.floor(F.col("page") / STRETCH).alias("stretch")
     own = proposed.where("page is not null").select("kind", "item_id", "line_no", "source", "wording", "page", stretch)
     there = own.groupBy("source", "wording", "stretch").agg(F.count_distinct("page").alias("n"))
-    several = there.groupBy("source", "wording").agg(F.sum("n").alias("all")).where("all > 1").select("source", "wording")
     all_ = pages.groupBy("source", stretch).agg(F.count_distinct("page").alias("n_pages"))
     dense = (F.col("n") > 1) & (F.col("n") >= RUNNING_SHARE * F.col("n_pages"))
-    near = there.join(several, ["source", "wording"], "left_semi").join(all_, ["source", "stretch"]).select("source", "wording", "stretch", F.when(dense, 2).otherwise(1).alias("alike"))
+    near = there.join(all_, ["source", "stretch"]).select("source", "wording", "stretch", F.when(dense, 2).otherwise(1).alias("alike"))
     return own.join(near, ["source", "wording", "stretch"]).select("kind", "item_id", "line_no", "alike"), running
 
 
-def goes_on(lines: Column, i: Column) -> Column:
-    """Whether the last word of line ``i`` (from 0) goes on in the next line that is no noise."""
-    out = F.lit(False)
-    for step in range(REACH, 0, -1):
-        after = F.try_element_at(lines, (i + 1 + step).cast("int"))
-        noise = F.coalesce(after["head"] | after["counted"], F.lit(False))
-        here = F.element_at(lines, (i + 1).cast("int"))["broken"].bitwiseAND(F.lit(1 << step - 1)) > 0
-        out = F.when(noise, out).otherwise(here)
-    return out
+def has(bits: Column, bit: int) -> Column:
+    return bits.bitwiseAND(F.lit(bit)) > 0
 
 
 def line_defects(labels: DataFrame) -> DataFrame:
     """(kind, item_id, line_no, defect) of labelled items."""
 
-    def of(x: Column, i: Column) -> Column:
-        found = (F.when(goes_on(F.col("lines"), i), "broken_word"), F.when(x["misread"], "misread"), F.when(x["head"], "running_line"), F.when(x["counted"], "page_number"))
-        return F.transform(F.array_compact(F.array(*found)), lambda d: F.struct(x["line_no"].alias("line_no"), d.alias("defect")))
+    def of(x: Column, d: Column) -> Column:
+        found = (F.when(has(d, GOES_ON), "broken_word"), F.when(has(x["bits"], MISREAD), "misread"), F.when(has(d, HEAD), "running_line"), F.when(has(d, COUNTED), "page_number"))
+        return F.struct(x["line_no"].alias("line_no"), F.array_compact(F.array(*found)).alias("defects"))
 
-    return labels.select("kind", "item_id", F.explode(F.flatten(F.transform("lines", of))).alias("x")).select("kind", "item_id", "x.line_no", "x.defect")
+    lines = labels.select("kind", "item_id", F.explode(F.zip_with("lines", "decided", of)).alias("x"))
+    return lines.select("kind", "item_id", "x.line_no", F.explode("x.defects").alias("defect"))
 
 
 def unit_items(units: DataFrame) -> DataFrame:
@@ -526,9 +529,10 @@ def reading_items(readings: DataFrame) -> DataFrame:
 
 def document_noise(labels: DataFrame) -> DataFrame:
     """(source, wordings, offset): the wordings of a document's running lines, and what its counted pages are ahead of its printed ones."""
-    x = labels.where("source is not null").select("source", "page", F.explode("lines").alias("x"))
-    found = x.where("x.head or x.counted").groupBy("source")
-    return found.agg(F.collect_set(F.when(F.col("x.head"), F.col("x.wording"))).alias("wordings"), F.mode(F.when(F.col("x.counted"), F.col("page") - F.col("x.number")), True).alias("offset"))
+    x = labels.where("source is not null").select("source", "page", F.explode(F.arrays_zip("lines", "decided")).alias("x"))
+    d = F.col("x.decided")
+    found = x.where(has(d, HEAD | COUNTED)).groupBy("source")
+    return found.agg(F.collect_set(F.when(has(d, HEAD), F.col("x.lines.wording"))).alias("wordings"), F.mode(F.when(has(d, COUNTED), F.col("page") - F.col("x.lines.number")), True).alias("offset"))
 
 
 class Element:
@@ -661,36 +665,34 @@ def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None
     ``labels`` are the items' if they have been labelled.
     """
     labels = labelled(items, vocabulary) if labels is None else labels
-    # of a line only what joining needs goes to Python
-    kept = F.transform("lines", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["starts"].alias("starts"), x["state"].alias("state"), (x["head"] | x["counted"]).alias("noise"), goes_on(F.col("lines"), i).alias("goes_on")))
-    labels = labels.select("kind", "item_id", F.filter(kept, lambda x: ~x["noise"]).alias("labels"))
+    labels = labels.select("kind", "item_id", F.col("lines.line_no").alias("nos"), F.col("lines.bits").alias("bits"), "decided")
     both = items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"]).join(labels, ["kind", "item_id"], "left")
 
     def start():
         right = once(Words, vocabulary).righted
 
-        def join(kept: list[tuple[str, dict]]) -> list[str]:
+        def join(kept: list[tuple[str, int, int]]) -> list[str]:
             out: list[str] = []
             open_, glue = False, False
-            for text, x in kept:
+            for text, bits, decided in kept:
                 tokens = [right(t) for t in text.split()]
                 if not any(tokens):
                     continue
-                if not open_ or (x["starts"] and not glue):
+                if not open_ or (bits & STARTS and not glue):
                     out.append("")
                 if glue and out[-1]:
                     first = tokens.pop(0)
                     out[-1] = _BREAK_MARK.sub("", out[-1]) + first
                 line = " ".join(filter(None, tokens))
                 out[-1] += (" " if out[-1] and line else "") + line
-                glue = x["goes_on"]
-                open_ = x["state"] != "break" or glue
+                glue = bool(decided & GOES_ON)
+                open_ = decided & STATE != STATES.index("break") or glue
             return out
 
         def work(c: dict) -> dict:
             made = []
-            for lines, labels in zip(c["lines"], c["labels"]):
-                made.append(join([(lines[x["line_no"] - 1] or "", x) for x in labels or []]))
+            for lines, *labels in zip(c["lines"], c["nos"], c["bits"], c["decided"]):
+                made.append(join([(lines[no - 1] or "", b, d) for no, b, d in zip(*(x or [] for x in labels)) if not d & (HEAD | COUNTED)]))
             return {"kind": c["kind"], "item_id": c["item_id"], "paragraphs": made, "text": ["\n\n".join(m) for m in made]}
 
         return work

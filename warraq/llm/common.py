@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,6 +29,25 @@ def vocabulary(lexicon: DataFrame, most: int = VOCABULARY_WORDS) -> list[str]:
     return [r.word for r in rows]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder that ``spark.checkpoint.dir`` names: read from there, without the plan that made them.
+
+    Where the setting is missing, as in tests, a folder of this machine takes its place.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="warraq-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 _MADE: dict[tuple, object] = {}
 
 

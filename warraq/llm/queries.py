@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 from . import mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting
-from .common import vocabulary
+from .common import vocabulary, written
 
 
 def _words(spark: SparkSession, d: str) -> list[str]:
@@ -59,8 +58,8 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Continuous paragraphs of readings, scanned units and their drafts."""
     units, readings, words = table(spark, d, "units"), table(spark, d, "readings"), _words(spark, d)
     items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
-    labels = scan_repair.labelled(items, words).persist(StorageLevel.DISK_ONLY)
-    made = scan_repair.paragraphs(items, words, labels).persist(StorageLevel.DISK_ONLY)
+    labels = written(scan_repair.labelled(items, words))
+    made = written(scan_repair.paragraphs(items, words, labels))
     of_drafts = scan_repair.draft_paragraphs(units, readings, table(spark, d, "drafts"), made, labels, words)
     return made.unionByName(of_drafts).select("kind", "item_id", "text")
 

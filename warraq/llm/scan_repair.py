@@ -37,11 +37,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, once
+from .common import arrow_map, once, written
 from .look import LookForm, Wording
 from .repeated_lines import hash64, repeated
 
@@ -436,7 +435,7 @@ def fitted(codes: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
 def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(kind, item_id, source, page, lines, decided): the filled lines of each item, and what is decided of each."""
-    rows = line_rows(items, vocabulary).persist(StorageLevel.DISK_ONLY)
+    rows = written(line_rows(items, vocabulary))  # read many times: its own plan would be part of each reader's
     pages = items.select("source", "page").where("page is not null and source is not null")
     lettered = rows.where("wording is not null and source is not null").select("kind", "source", "page", "item_id", "line_no", "wording")
     near, running = alike(lettered, pages)
@@ -453,7 +452,7 @@ def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     # a copy of an item gives the same rows, which a set takes once: texts needn't be shuffled to drop copies
     line = F.struct("line_no", "wording", "number", "code", "bits")
     grouped = full.groupBy("kind", "item_id").agg(F.first("source").alias("source"), F.first("page").alias("page"), F.array_sort(F.collect_set(line)).alias("lines"))
-    grouped = grouped.persist(StorageLevel.DISK_ONLY)
+    grouped = written(grouped)
     counts = fitted(grouped.select("lines.code"))
 
     def decide(codes: pa.Array, bits: pa.Array) -> pa.Array:
@@ -649,7 +648,7 @@ def elements(units: DataFrame, readings: DataFrame, drafts: DataFrame) -> tuple[
 def find(units: DataFrame, readings: DataFrame, drafts: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(kind, item_id, line_no, defect) over readings, scanned units and the drafts made of them."""
     items = unit_items(units).unionByName(reading_items(readings))
-    labels = labelled(items, vocabulary).persist(StorageLevel.DISK_ONLY)
+    labels = written(labelled(items, vocabulary))
     lines = line_defects(labels)
     _, matched, alone = elements(units, readings, drafts)
     by_unit = lines.where(F.col("kind") == "unit").select(F.col("item_id").alias("unit_id"), "defect").distinct()

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +66,23 @@ def compared(results: DataFrame, baseline: DataFrame, value: str = "recall_5") -
 def nearest_rank(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """Percentiles by nearest rank, p·n rounded half to even, at least the first and at most the last value.
 
-    Values are ranked by a window within the group (spilling, not collected into one array); null values have no rank.
+    Equal values are counted first; these counts are laid out by range, so a group of any size lies over many tasks, and a
+    value's ranks follow from sums over the ranges before it (a row a range and group).  Null values have no rank.
     """
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
-    w = Window.partitionBy(*by)
-    at = ranked.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("v")))
-    aggs = [F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("n") * p).cast("long"))), F.col("v"))).alias(k) for k, p in shares.items()]
-    return at.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    laid = counts.repartitionByRange(*by, "v").withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    key = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    ranges = laid.groupBy("range", *by).agg(F.sum("c").alias("held"))
+    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select(F.col("range").alias("_range"), *(F.col(b).alias(f"_{b}") for b in by), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy(*by)).alias("n"))
+    within = Window.partitionBy("range", *by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = laid.withColumn("upto", F.sum("c").over(within))
+    on = F.col("range") == F.col("_range")
+    for k in key:
+        on = on & k
+    at = at.join(before, on).withColumn("last", F.col("before") + F.col("upto"))
+    hit = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("n") * p).cast("long"))).between(F.col("last") - F.col("c") + 1, F.col("last"))
+    return at.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(hit(p), F.col("v"))).alias(k) for k, p in shares.items()))
 
 
 def bootstrap(df: DataFrame, value: str, by: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
@@ -170,6 +181,18 @@ def hashed_bootstrap(df: DataFrame, value: str, by: str, key: str, draws: int =
     return made.select(by, "n", "mean", at(F.floor(n * 25 / 1000) + 1).alias("low"), at(F.floor(n * 975 / 1000)).alias("high"))
 
 
+def paired_interval(ours: DataFrame, theirs: DataFrame, key: str, value: str, draws: int = DRAWS) -> DataFrame:
+    """(n, mean, low, high): the mean difference of two runs' values, question by question, with its bootstrap interval.
+
+    No row unless every question of ours is one of theirs.
+    """
+    both = ours.select(key, F.col(value).cast("double").alias("a")).join(theirs.select(key, F.col(value).cast("double").alias("b")), key, "left")
+    whole = both.agg(F.bool_and(F.col("b").isNotNull()).alias("whole"))
+    d = both.where("b is not null").select(key, (F.col("a") - F.col("b")).alias("d"), F.lit("all").alias("g"))
+    made = hashed_bootstrap(d, "d", "g", key, draws).select("n", "mean", "low", "high")
+    return made.join(F.broadcast(whole.where("whole")), how="left_semi")
+
+
 # ------------------------------------------------------------------ agreement
 
 
@@ -206,18 +229,26 @@ def bag_overlap(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 
 def locate(pattern: str, text: str) -> tuple[int, int, int]:
-    """(start, end, edits) of the part of ``text`` nearest to ``pattern``; the first to end among the best."""
-    cost, begin = np.arange(len(text) + 1) * 0, np.arange(len(text) + 1)
+    """(start, end, edits) of the part of ``text`` nearest to ``pattern``; the first to end among the best.
+
+    A row of the alignment at a time: a changed or kept character comes before one left out of the pattern's match, and both
+    before one missing from the text.
+    """
+    n = len(text)
+    letters, place = np.array([ord(c) for c in text], np.int64), np.arange(n + 1)
+    edits, start = np.zeros(n + 1, np.int64), place
     for i, p in enumerate(pattern, 1):
-        new, at = np.empty_like(cost), np.empty_like(begin)
-        new[0], at[0] = i, 0
-        for j, t in enumerate(text, 1):
-            best = min((cost[j - 1] + (p != t), 0), (new[j - 1] + 1, 1), (cost[j] + 1, 2))
-            new[j] = best[0]
-            at[j] = (begin[j - 1], at[j - 1], begin[j])[best[1]]
-        cost, begin = new, at
-    end = int(cost.argmin())
-    return int(begin[end]), end, int(cost[end])
+        beside = np.append(i, edits[:-1] + (letters != ord(p)))  # the first place has no text to stand beside
+        above = np.append(i, edits[1:] + 1)
+        # runs of extra text: the least of (value - place) so far
+        row = np.minimum.accumulate(np.minimum(beside, above) - place) + place
+        along = np.append(False, (row[:-1] + 1 == row[1:]) & (beside[1:] != row[1:]))
+        fresh = np.where(beside == row, np.append(0, start[:-1]), start)
+        fresh[0] = 0
+        start = fresh[np.maximum.accumulate(np.where(along, 0, place))]
+        edits = row
+    end = int(edits.argmin())
+    return int(start[end]), end, int(edits[end])
 
 
 def _located(pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
@@ -230,36 +261,31 @@ def located(pattern: Column | str, text: Column | str) -> Column:
     return F.pandas_udf(_located, "struct<start:int,end:int,edits:int>")(pattern, text)
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word arrays: a pair's words become private characters, and the built-in does the rest.
-
-    Private planes hold 65,000 distinct words a pair; a pair with more raises an error (``word_distance_udf`` takes any).
-    """
-    all_words = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xF0000) + F.array_position(all_words, w)), 8, "0")), "UTF-32")
-    spelled = lambda x: F.array_join(F.transform(x, code), "")
-    return F.when(F.size(all_words) > 65_000, F.raise_error(F.lit("too many words in a pair")).cast("int")).otherwise(F.levenshtein(spelled(a), spelled(b)))
-
-
-def _word_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def distance(x, y) -> int:
         ids: dict[str, int] = {}
         p, q = (np.array([ids.setdefault(w, len(ids)) for w in s]) for s in (x, y))
-        row = np.arange(len(q) + 1)
+        place = np.arange(len(q) + 1)
+        row = place
         for i, w in enumerate(p, 1):
-            low = np.minimum(row[1:] + 1, row[:-1] + (q != w))
-            new = np.concatenate([[i], low])
+            new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (q != w)))
             # insertions run along the row: a running minimum of (value - place)
-            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            row = np.minimum.accumulate(new - place) + place
         return int(row[-1])
 
     return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-def word_distance_udf(a: Column | str, b: Column | str) -> Column:
-    """Levenshtein distance of word sequences of any length."""
-    return F.pandas_udf(_word_distance_udf, "int")(a, b)
+def word_distance(a: Column | str, b: Column | str) -> Column:
+    """Levenshtein distance of two arrays of words, of any length."""
+    return F.pandas_udf(_word_distance, "int")(a, b)
+
+
+def successive(readings: DataFrame, at: str, *page: str) -> DataFrame:
+    """(page..., ls, other): the lines of each reading of a page and of the one after it, by ``at``."""
+    own = readings.select(*page, at, F.split("result.text", "\n").alias("ls"))
+    return own.withColumn("other", F.lead("ls").over(Window.partitionBy(*page).orderBy(at))).where(F.col("ls").isNotNull() & F.col("other").isNotNull()).select(*page, "ls", "other")
 
 
 def error_rates(pairs: DataFrame, by: list[str]) -> DataFrame:

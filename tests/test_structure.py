@@ -1,17 +1,25 @@
 from pyspark.sql import functions as F
 
-from warraq.operators import calendars, layout, quality, structure, tables
+from warraq.operators import calendars, labels, layout, quality, structure, tables
 from warraq.plans.catalog import QUERIES
 
 
 def test_article_labels():
-    assert structure.article_label("المادة الحادية عشرة").number == 11
-    assert structure.article_label("المادة الثانية والعشرون:").number == 22
-    assert structure.article_label("المادة السادس والأربعون:").number == 46
-    assert structure.article_label("وفق المادة (العاشرة)") is None
-    assert structure.accepted(structure.Label("", 6, "", False), 0) == (False, 0)
-    assert structure.accepted(structure.Label("", 6, "", False), 5) == (True, 6)
-    assert structure.accepted(structure.Label("", 3, "", True), 72) == (True, 3)
+    assert labels.article_label("المادة الحادية عشرة").number == 11
+    assert labels.article_label("المادة الثانية والعشرون:").number == 22
+    assert labels.article_label("المادة السادس والأربعون:").number == 46
+    assert labels.article_label("وفق المادة (العاشرة)") is None
+    assert labels.article_label("نص المادة الثانية: يعلن") is None and labels.article_label("نص المادة الثانية:").certain
+    assert labels.article_label("المادة") is None and labels.article_label("") is None
+    assert labels.article_label("المادة الأولى والعشرون والثالثة والرابعة:") is None  # three ordinals at most
+
+
+def test_labels_are_taken_in_order_over_pages(spark):
+    rows = [("d", 1, 1, 6, False), ("d", 2, 1, 5, True), ("d", 9, 1, 6, False), ("d", 9, 2, 20, False), ("e", 1, 1, 1, False), ("e", 1, 2, 4, False), ("e", 1, 3, 8, False)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, seq int, number int, certain boolean")
+    got = {(r.doc_id, r.page, r.seq): r.accepted for r in labels.counted(df).collect()}
+    assert got == {("d", 1, 1): False, ("d", 2, 1): True, ("d", 9, 1): True, ("d", 9, 2): False, ("e", 1, 1): True, ("e", 1, 2): True, ("e", 1, 3): False}
+    assert labels.counted(df.limit(0)).count() == 0
 
 
 def test_windows_cover_and_overlap():
@@ -56,8 +64,9 @@ def test_grids():
 
 def test_layout(spark):
     box = lambda l, t, r, b: {"l": l, "t": t, "r": r, "b": b}  # noqa: E731, E741
-    two = [{"category": "Text", "text": "عنوان", "box": box(0, 0, 1, 0.1)}, {"category": "Text", "text": "left", "box": box(0, 0.2, 0.4, 0.9)}, {"category": "Text", "text": "right", "box": box(0.6, 0.2, 1, 0.9)}]
+    two = [{"category": "Text", "text": "عنوان", "box": box(0, 0, 1, 0.1)}, {"category": "Text", "text": "العمود الأيسر", "box": box(0, 0.2, 0.4, 0.9)}, {"category": "Text", "text": "العمود الأيمن", "box": box(0.6, 0.2, 1, 0.9)}]
     assert layout.reading_order(two) == [0, 2, 1]
+    assert layout.reading_order([b | {"text": "left to right"} for b in two]) == [0, 1, 2] and layout.reading_order([]) == []
     assert layout.reading_order([{"category": "Text", "text": "x", "box": None}]) == [0]
     assert layout.line_rows([(0, 0, 1, 10), (2, 1, 3, 9), (0, 20, 1, 30)]) == [[1, 0], [2]]
     assert layout.layout_blocks('[{"category": "Text", "text": "a"}, {"category": "Ti') == ([{"category": "Text", "text": "a"}], "recovered")
@@ -100,6 +109,6 @@ def test_routes_and_gate(spark):
 def test_article_labels_in_any_encoding(spark, tmp_path):
     shaped = "\ufe8d\ufedf\ufee4\ufe8e\ufea9\ufe93 الثالثة:"
     lines = ["المادة الأولى:", "الما\u200bدة الثانية:", shaped, "المَادَّة الرابعة:", "\u202bالمادّة\u202c الخامسة:", "من المادة الأولى", "نص", None]
-    spark.createDataFrame([(1, lines), (1, lines), (2, None)], "unit_id long, lines array<string>").write.parquet(f"{tmp_path}/units.parquet")
-    rows = sorted((r.unit_id, r.i, r.number) for r in QUERIES["article_labels"](spark, str(tmp_path)).collect())
+    spark.createDataFrame([(1, "d", 1, 1, lines), (1, "d", 1, 1, lines), (2, "d", 1, 2, None)], "unit_id long, doc_id string, page int, seq int, lines array<string>").write.parquet(f"{tmp_path}/units.parquet")
+    rows = sorted((r.unit_id, r.i, r.number) for r in QUERIES["unit_articles"](spark, str(tmp_path)).collect())
     assert rows == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 4, 5)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,13 +195,29 @@ def estimated_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 2.5).cast("int")
 
 
+# Markdown's markup, in the order in which it goes, and what stays of it.
+MARKUP = [
+    (r"(?i)<br\s*/?>", "\n"), (r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>", ""), (r"(?m)^[ \t]*#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"\*\*|__", ""),
+    (r"\*(?=\S)(.+?)(?<=\S)\*", r"\1"), (r"\$([^$\n]+)\$", r"\1"),
+]
+_MARKUP = [(re.compile(p), to) for p, to in MARKUP]
+#: An escaped mark is text: while markup goes it stands in a private plane.
+_ESCAPED, _PLANE = re.compile(r"\\([!-/:-@\[-`{-~])"), 0xF0000
+_BACK = {_PLANE + c: chr(c) for c in range(0x21, 0x7F)}
+
+
+def markdown_plain(markdown: str) -> str:
+    """What a Markdown text prints: markup off, escaped marks kept, entities read."""
+    held = _ESCAPED.sub(lambda m: chr(_PLANE + ord(m.group(1))), markdown)
+    for pattern, to in _MARKUP:
+        held = pattern.sub(to, held)
+    return html.unescape(held.translate(_BACK)).strip()
+
+
+def _markdown(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else markdown_plain(t))
+
+
 def markdown_text(c: Column) -> Column:
-    """Markdown as plain text: escapes, breaks, tags, headings, bullets and emphasis off, entities read."""
-    steps = (
-        (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", ""), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"),
-        (r"(?<![\w*])\*([^*\n]+)\*(?![\w*])", "$1"), (r"\\([\\`*_{}\[\]()#+.!|-])", "$1"), (r"\$([^$\n]+)\$", "$1"),
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    )
-    for pattern, to in steps:
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
+    """``markdown_plain`` over a column; a text without markup stays in the JVM."""
+    return F.when(c.rlike(r"[\\<*_$&]|(?m)^[ \t]*(?:#{1,6}|[-+])[ \t]"), F.pandas_udf(_markdown, "string")(c)).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))

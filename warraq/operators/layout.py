@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REPEATS = 5
 SLOTS = {"Page-header", "Page-footer"}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fraction_box(l: Column, t: Column, r: Column, b: Column, width: Column, height: Column) -> Column:  # noqa: E741
@@ -35,6 +35,20 @@ def printed_scale(width: Column, height: Column) -> Column:
     return F.when(edge < 144, 841.89 / edge).otherwise(1.0)
 
 
+def model_size(width: Column, height: Column, limit: int = 11_289_600, least: int = 3136, step: int = 28) -> Column:
+    """struct(width, height): the size that a vision model sees of an image: sides in steps, within a limit and a least number of pixels."""
+    steps = lambda c: F.greatest(F.lit(step), c.cast("int") * step)
+    size = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
+    shrunk = lambda w, h: size(steps(F.floor(w / F.sqrt(w * h / limit) / step)), steps(F.floor(h / F.sqrt(w * h / limit) / step)))
+    w, h = width.cast("double"), height.cast("double")
+    near = size(steps(F.bround(w / step)), steps(F.bround(h / step)))
+    pixels = lambda x: x["width"].cast("long") * x["height"]
+    grow = F.sqrt(F.lit(float(least)) / (w * h))
+    grown = size(F.ceil(w * grow / step) * step, F.ceil(h * grow / step) * step)
+    grown = F.when(pixels(grown) > limit, shrunk(grown["width"].cast("double"), grown["height"].cast("double"))).otherwise(grown)
+    return F.when(pixels(near) > limit, shrunk(w, h)).when(pixels(near) < least, grown).otherwise(near)
+
+
 def deduplicated(blocks: DataFrame, *page: str) -> DataFrame:
     """Blocks without repeats: the first of each box, and of each (category, text) that stands there ``REPEATS`` times or more.
 
@@ -51,53 +65,73 @@ def line_rows(boxes: list[tuple[float, float, float, float]]) -> list[list[int]]
 
     A box joins the last row if its middle lies within the height of that row's tallest box and the other way round.
     """
-    middle = lambda x: (x[1] + x[3]) / 2
+    left, top, right, bottom = np.array(boxes, float).reshape(-1, 4).T
+    middle, height = (top + bottom) / 2, bottom - top
+    within = lambda a, b: top[b] <= middle[a] <= bottom[b]
     rows: list[list[int]] = []
-    for i in sorted(range(len(boxes)), key=lambda k: middle(boxes[k])):
-        if rows:
-            tallest = boxes[max(rows[-1], key=lambda k: boxes[k][3] - boxes[k][1])]
-            box = boxes[i]
-            if tallest[1] <= middle(box) <= tallest[3] and box[1] <= middle(tallest) <= box[3] or tallest[1] <= middle(box) <= tallest[3] and box[3] - box[1] < tallest[3] - tallest[1]:
-                rows[-1].append(i)
-                continue
-        rows.append([i])
-    return [sorted(r, key=lambda k: -boxes[k][2]) for r in rows]
+    for i in map(int, np.argsort(middle, kind="stable")):
+        tallest = rows[-1][int(np.argmax(height[rows[-1]]))] if rows else i
+        if rows and within(i, tallest) and within(tallest, i):
+            rows[-1].append(i)
+        else:
+            rows.append([i])
+    return [sorted(r, key=lambda k: -right[k]) for r in rows]
+
+
+#: Letters that tell a page's script.
+_ARABIC, _LATIN = re.compile("[\u0621-\u064a]"), re.compile("[A-Za-z]")
+
+
+def _mostly_arabic(texts: list[str]) -> bool:
+    whole = "".join(texts)
+    return len(_ARABIC.findall(whole)) > len(_LATIN.findall(whole))
+
+
+def _cut(boxes: np.ndarray) -> tuple[int, bool] | None:
+    """Where boxes, in the order they were read, are best parted in two, and whether the first part lies left of the second.
+
+    Of all places where everything before lies wholly above everything after, or, with heights that overlap, wholly beside
+    it, the one with the widest gap; rows before columns, then the first.
+    """
+    low, high = np.minimum.accumulate(boxes[:, :2]), np.maximum.accumulate(boxes[:, 2:])
+    next_low, next_high = np.minimum.accumulate(boxes[::-1, :2])[::-1], np.maximum.accumulate(boxes[::-1, 2:])[::-1]
+    (l, t), (r, b) = low[:-1].T, high[:-1].T  # noqa: E741
+    (nl, nt), (nr, nb) = next_low[1:].T, next_high[1:].T
+    beside = (t < nb) & (nt < b)
+    gaps = np.stack([nt - b, np.where(beside, nl - r, -1.0), np.where(beside, l - nr, -1.0)], axis=1)
+    if not (gaps >= 0).any():
+        return None
+    widest = gaps.max()
+    rows = np.flatnonzero(gaps[:, 0] == widest)
+    if len(rows):
+        return int(rows[0]) + 1, False
+    at, side = np.argwhere(gaps == widest)[0]
+    return int(at) + 1, bool(side == 1)
 
 
 def reading_order(blocks: list[dict]) -> list[int]:
-    """The order in which a right-to-left page's blocks are read: cut at the widest gap again and again.
+    """The order to read a layout engine's blocks in; indices of the blocks.
 
-    blocks: dicts of category, text, box (dict l t r b or None). Heads and feet keep their places, as do all if a box is missing.
+    blocks: dicts of category, text, box (dict l t r b or None), in the engine's order.  That order is parted again and again
+    where it moves on to another part of the page; two parts with text that were read left first are swapped.  Heads and
+    feet keep their places.  A page that isn't mostly Arabic, or on which another block has no box, stays as it is.
     """
-    if any(b["box"] is None for b in blocks):
+    free = [i for i, b in enumerate(blocks) if b["category"] not in SLOTS]
+    if any(blocks[i]["box"] is None for i in free) or not _mostly_arabic([b["text"] or "" for b in blocks]):
         return list(range(len(blocks)))
-    movable = [i for i, b in enumerate(blocks) if b["category"] not in SLOTS]
-
-    def gap(part: list[int], low: str, high: str) -> tuple[float, list[int], list[int]]:
-        """The widest empty stretch between blocks along one axis, and the blocks before and after it."""
-        at = sorted(part, key=lambda i: blocks[i]["box"][low])
-        best, reach = (0.0, [], []), blocks[at[0]]["box"][high]
-        for k in range(1, len(at)):
-            start = blocks[at[k]]["box"][low]
-            if start - reach > best[0]:
-                best = (start - reach, at[:k], at[k:])
-            reach = max(reach, blocks[at[k]]["box"][high])
-        return best
+    boxes = {i: [float(blocks[i]["box"][k]) for k in "ltrb"] for i in free}
 
     def arranged(part: list[int]) -> list[int]:
-        if len(part) < 2:
+        cut = _cut(np.array([boxes[i] for i in part])) if len(part) > 1 else None
+        if cut is None:
             return part
-        down, across = gap(part, "t", "b"), gap(part, "l", "r")
-        if down[0] <= 0 and across[0] <= 0:
-            return sorted(part)
-        if across[0] > down[0]:
-            left, right = sorted(across[1]), sorted(across[2])
-            words = [any(_LETTER.search(blocks[i]["text"] or "") for i in side) for side in (left, right)]
-            first, second = (right, left) if all(words) or min(right) < min(left) else (left, right)
-            return arranged(first) + arranged(second)
-        return arranged(sorted(down[1])) + arranged(sorted(down[2]))
-
-    order = iter(arranged(movable))
+        at, left_first = cut
+        halves = [part[:at], part[at:]]
+        if left_first and all(any(blocks[i]["text"] for i in half) for half in halves):
+            halves.reverse()
+        return [i for half in halves for i in arranged(half)]
+
+    order = iter(arranged(free))
     return [i if b["category"] in SLOTS else next(order) for i, b in enumerate(blocks)]
 
 

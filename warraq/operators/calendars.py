@@ -59,11 +59,14 @@ def semesters(starts: DataFrame) -> DataFrame:
     return starts.withColumn("end", end).where(F.col("end").isNotNull())
 
 
+# How a card gives a semester's first day.
+SEMESTER_START = r"بداية الفصل[^:]*:[^0-9]*(20\d\d)/(\d{1,2})/(\d{1,2})"
+
+
 def semester_start(c: Column) -> Column:
     """The Gregorian date that a card gives for a semester's first day, or null."""
-    shape = r"بداية الفصل[^:]*:[^0-9]*(20\d\d)/(\d{1,2})/(\d{1,2})"
-    y, m, d = (F.regexp_extract(c, shape, i) for i in (1, 2, 3))
-    return F.when(c.rlike(shape), F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))))
+    y, m, d = (F.regexp_extract(c, SEMESTER_START, i) for i in (1, 2, 3))
+    return F.when(c.rlike(SEMESTER_START), F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))))
 
 
 def week(day: Column, start: Column, end: Column) -> Column:
@@ -78,17 +81,79 @@ def weeks(spans: DataFrame) -> DataFrame:
 
 
 def hijri_dates(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """(day, y, m, d): the Umm al-Qura dates of a span of days, a dimension made once on the driver (a row a day)."""
+    """(day, y, m, d): the Umm al-Qura dates of a span of days.
+
+    The calendar's months are asked of the JVM's chronology, one call a month; their days are made by Spark.
+    """
     import datetime as dt
 
-    jvm = spark.sparkContext._jvm
-    day, end, rows = dt.date.fromisoformat(first), dt.date.fromisoformat(last), []
-    pattern = jvm.java.time.format.DateTimeFormatter.ofPattern("yyyy-MM-dd")
-    while day <= end:
-        h = getattr(jvm.java.time.chrono.HijrahDate, "from")(jvm.java.time.LocalDate.of(day.year, day.month, day.day))
-        rows.append((day, *map(int, h.format(pattern).split("-"))))
-        day += dt.timedelta(days=1)
-    return spark.createDataFrame(rows, "day date, y int, m int, d int")
+    date = spark.sparkContext._jvm.java.time.chrono.HijrahDate
+    a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+    # a year of either calendar is at most 3 % longer than the other's, so the guess needs a margin of months only
+    guess = lambda day: int((day.toordinal() - dt.date(622, 7, 19).toordinal()) / 29.530588)
+    months = [(n // 12 + 1, n % 12 + 1) for n in range(guess(a) - 2, guess(b) + 4)]
+    starts = [(y, m, date.of(y, m, 1).toEpochDay()) for y, m in months]
+    rows = [(y, m, s, e) for (y, m, s), (_, _, e) in zip(starts, starts[1:])]
+    day = F.date_from_unix_date((F.col("s") + F.col("i")).cast("int"))
+    spans = spark.createDataFrame(rows, "y int, m int, s long, e long").select("y", "m", "s", F.posexplode(F.sequence(F.col("s"), F.col("e") - 1)).alias("i", "x"))
+    return spans.select(day.alias("day"), "y", "m", (F.col("i") + 1).alias("d")).where(F.col("day").between(F.lit(a), F.lit(b)))
+
+
+def spelled_hijri(y: Column, m: Column, d: Column, months: tuple[str, ...]) -> Column:
+    """A date of the other calendar spelled out: day, month's name, year."""
+    return F.concat_ws(" ", d.cast("string"), F.element_at(F.array(*map(F.lit, months)), m), y.cast("string"))
+
+
+def today(clock: Column | None = None, zone: str = "UTC+3") -> Column:
+    """The date in the calendar's zone; a clock (a timestamp in UTC) may be given."""
+    return F.to_date(F.from_utc_timestamp(F.current_timestamp() if clock is None else clock, zone))
+
+
+# How a card's heading names its semester.
+SEMESTER = r"(الفصل\s+(?:الدراسي\s+)?(?:الأول|الثاني|الثالث|الصيفي))|((?i)(?:first|second|third|summer)\s+semester)"
+
+
+def semester_heading(c: Column) -> Column:
+    """The semester that a text above a card names, in either language, or null."""
+    found = F.regexp_extract(c, SEMESTER, 0)
+    return F.when(found != "", F.regexp_replace(found, r"\s+", " "))
+
+
+def calendar_source(spans: DataFrame, day: Column, note: str = "") -> DataFrame:
+    """(text): a source that tells a model the time: a header, today's line, a line per semester and the weeks of the running one.
+
+    spans: name, start, end (a handful).
+    """
+    own = spans.withColumn("_day", day).withColumn("_week", week(F.col("_day"), F.col("start"), F.col("end")))
+    line = F.concat(F.col("name"), F.lit(": "), F.col("start").cast("string"), F.lit(" - "), F.date_sub("end", 1).cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), line.alias("line"))))
+    running = F.max(F.when(F.col("_week").isNotNull(), F.concat(F.col("name"), F.lit(", week "), F.col("_week").cast("string"))))
+    made = own.agg(F.max("_day").alias("day"), listed.alias("lines"), running.alias("now"))
+    head = F.concat_ws("\n", F.lit("Calendar"), F.when(F.lit(note) != "", F.lit(note)), F.concat(F.lit("Today: "), F.col("day").cast("string"), F.coalesce(F.concat(F.lit(" ("), F.col("now"), F.lit(")")), F.lit(""))))
+    return made.select(F.concat_ws("\n", head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def segments(chars: DataFrame, *line: str, gap: float = GAP) -> DataFrame:
+    """(line..., segment, text, l, r): a line's characters (pos, ch, l, r) parted where one lies more than ``gap`` from all before it.
+
+    A fold over each line in the order of its characters, in the JVM; spaces belong to no segment's ends.
+    """
+    row = F.struct("pos", "ch", F.col("l").cast("double").alias("l"), F.col("r").cast("double").alias("r"))
+    grouped = chars.groupBy(*line).agg(F.array_sort(F.collect_list(row)).alias("chars"))
+    empty = F.array().cast("array<struct<text:string,l:double,r:double>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        apart = last.isNull() | (x["l"] - last["r"] > gap) | (last["l"] - x["r"] > gap)
+        grown = F.struct(F.concat(last["text"], x["ch"]).alias("text"), F.least(last["l"], x["l"]).alias("l"), F.greatest(last["r"], x["r"]).alias("r"))
+        fresh = F.struct(x["ch"].alias("text"), x["l"].alias("l"), x["r"].alias("r"))
+        blank = F.trim(x["ch"]) == ""
+        spaced = F.struct(F.concat(last["text"], x["ch"]).alias("text"), last["l"].alias("l"), last["r"].alias("r"))
+        init = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(blank & last.isNull(), acc).when(blank, F.concat(init, F.array(spaced))).when(apart, F.concat(acc, F.array(fresh))).otherwise(F.concat(init, F.array(grown)))
+
+    made = grouped.select(*line, F.posexplode(F.aggregate("chars", empty, step)).alias("i", "x"))
+    return made.select(*line, (F.col("i") + 1).alias("segment"), F.trim("x.text").alias("text"), "x.l", "x.r")
 
 
 def hour(ts: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +46,17 @@ def cutoffs(frequencies: DataFrame, at: list[int]) -> DataFrame:
 
 
 def unsorted_rows(lines: DataFrame, at: str = "line_no") -> DataFrame:
-    """Rows of a frequency list that break its descending order (none in a sound one)."""
-    before = F.lag("frequency").over(Window.orderBy(at))
-    return lines.withColumn("before", before).where(F.col("before") < F.col("frequency"))
+    """Rows of a frequency list that break its descending order (none in a sound one).
+
+    Rows are laid out by range of their place; a range's first row is compared with the last of the range before it, which
+    comes from a table of a row a range, so no task holds the whole list.
+    """
+    laid = lines.repartitionByRange(at).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    lasts = laid.groupBy("_range").agg(F.max_by("frequency", at).alias("_last"))
+    edge = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_edge"))  # a row a range
+    within = F.lag("frequency").over(Window.partitionBy("_range").orderBy(at))
+    both = laid.withColumn("_within", within).join(edge, "_range").withColumn("before", F.coalesce("_within", "_edge"))
+    return both.where(F.col("before") < F.col("frequency")).drop("_range", "_within", "_edge")
 
 
 def page_quality(pages: DataFrame, known: DataFrame, *key: str) -> DataFrame:
@@ -86,9 +95,9 @@ GATE = [
 ]
 
 
-def gate(quality: DataFrame) -> DataFrame:
-    """Adds verdict (trusted, untrusted, no_arabic_text) and rejected_by, all rules that failed."""
-    failed = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in GATE)))
+def gate(quality: DataFrame, rules: list[tuple[str, str]] = GATE) -> DataFrame:
+    """Adds verdict (trusted, untrusted, no_arabic_text) and rejected_by, all rules (name, what fails) that failed."""
+    failed = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in rules)))
     verdict = F.when(F.array_contains("rejected_by", "no_arabic_words"), "no_arabic_text").when(F.size("rejected_by") > 0, "untrusted").otherwise("trusted")
     return quality.withColumn("rejected_by", failed).withColumn("verdict", verdict)
 

@@ -115,3 +115,65 @@ def grounded_terms(answer: Column, sources: Column) -> Column:
     own = F.array_distinct(F.regexp_extract_all(for_comparison(F.regexp_replace(answer, r"\[[^\]]*\]", " ")), F.lit(r"([\p{L}\p{N}_]+)"), 1))
     held = F.regexp_extract_all(for_comparison(F.array_join(sources, " ")), F.lit(r"([\p{L}\p{N}_]+)"), 1)
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, held)) / F.size(own))
+
+
+def run_measures(runs: DataFrame, gold: DataFrame, holders: DataFrame) -> DataFrame:
+    """Runs (qid, answer, sources) with what their citations and numbers come to: cited, cited_unknown, cited_ids, precision, recall, numeric_exact.
+
+    gold: qid, answer_numeric; holders: qid, quote_no, chunk_ids (the chunks that hold the quote).
+    """
+    held = holders.groupBy("qid").agg(F.collect_list("chunk_ids").alias("holders"))
+    both = runs.join(gold.select("qid", "answer_numeric"), "qid").join(held, "qid", "left").withColumn("c", cited(F.coalesce("answer", F.lit("")), F.col("sources")))
+    both = both.withColumn("cited_ids", cited_sources(F.col("c.known"), F.col("sources")))
+    measured = F.when(F.col("holders").isNotNull() & (F.size("cited_ids") > 0), citation_measures(F.col("cited_ids"), F.col("holders")))
+    exact = F.when(F.col("answer_numeric").isNotNull(), text.states_number(F.coalesce("answer", F.lit("")), F.col("answer_numeric")))
+    return both.select(*runs.columns, F.col("c.known").alias("cited"), F.col("c.unknown").alias("cited_unknown"), "cited_ids", measured["precision"].alias("precision"), measured["recall"].alias("recall"), exact.alias("numeric_exact"))
+
+
+def hit_share(hits: Column, of: Column) -> Column:
+    """"hits/total" of the rows ``of`` holds for, "-" without any."""
+    of, hits = F.coalesce(of, F.lit(False)), F.coalesce(hits, F.lit(False))
+    return F.when(F.count_if(of) > 0, F.concat_ws("/", F.count_if(of & hits).cast("string"), F.count_if(of).cast("string"))).otherwise("-")
+
+
+def arm_summary(records: DataFrame, by: str = "arm") -> DataFrame:
+    """What arms come to, a row each.
+
+    records: by, behaviour, declined, gap_named, cited, cited_unknown, precision, recall, numeric_exact, attempts, tokens_in,
+    tokens_out, seconds.  Questions to be answered are those whose behaviour is neither refusal nor naming a gap.
+    """
+    c = F.col
+    answerable = ~c("behaviour").isin("refuse", "answer_and_name_gap")
+    flow = c(by) == "flow"
+    return records.groupBy(by).agg(
+        hit_share(~c("declined"), answerable).alias("answered"),
+        hit_share((F.size("cited") > 0) & (F.size("cited_unknown") == 0), answerable & ~c("declined") & (c(by) != "A")).alias("cited"),
+        F.round(F.avg(F.when(answerable, c("precision"))), 4).alias("precision"), F.round(F.avg(F.when(answerable, c("recall"))), 4).alias("recall"),
+        hit_share(c("numeric_exact"), answerable & c("numeric_exact").isNotNull()).alias("numbers"),
+        hit_share(c("declined"), c("behaviour") == "refuse").alias("refused"),
+        hit_share(~c("declined") & c("gap_named"), c("behaviour") == "answer_and_name_gap").alias("gap_named"),
+        hit_share(c("declined"), answerable).alias("declined_wrongly"), hit_share(c("gap_named"), answerable).alias("gap_on_answerable"),
+        hit_share(c("attempts") > 1, flow).alias("retried"), hit_share(c("attempts") == 0, flow).alias("refused_unasked"),
+        F.round(F.avg("tokens_in"), 4).alias("tokens_in"), F.round(F.avg("tokens_out"), 4).alias("tokens_out"), F.median("seconds").alias("p50"),
+    )
+
+
+def quality_table(judged: DataFrame, by: str = "run") -> DataFrame:
+    """(by, n, accuracy, correct_or_partial, wrong_outside): what judges said of runs (by, judge, behaviour); shares as hits/total."""
+    c, every = F.col, F.lit(True)
+    return judged.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg((c("judge") == "correct").cast("int")), 6).alias("accuracy"), hit_share(c("judge").isin("correct", "partial"), every).alias("correct_or_partial"), hit_share(c("judge") == "wrong", c("behaviour") == "refuse").alias("wrong_outside"))
+
+
+def cost_table(runs: DataFrame, by: str = "run") -> DataFrame:
+    """(by, p50, p95, tokens_in, tokens_out): times by nearest rank, and tokens a question."""
+    from .evaluation import nearest_rank
+
+    sums = runs.groupBy(by).agg(F.round(F.avg("tokens_in"), 4).alias("tokens_in"), F.round(F.avg("tokens_out"), 4).alias("tokens_out"))
+    return nearest_rank(runs, "seconds", [by], {"p50": 0.5, "p95": 0.95}).drop("n").join(sums, by)
+
+
+def type_table(judged: DataFrame, labels: list[str], by: str = "run", kind: str = "type") -> DataFrame:
+    """(by, kind, n, a column per label, accuracy): judges' labels of each kind of question."""
+    counts = judged.groupBy(by, kind).pivot("judge", labels).count().fillna(0, labels)
+    n = sum((F.col(x) for x in labels), F.lit(0))
+    return counts.withColumn("n", n).withColumn("accuracy", F.round(F.col(labels[0]) / F.col("n"), 6))

@@ -43,3 +43,27 @@ def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
 def write_keyed(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append rows to a store, fanned out by the first two digits of the key."""
     rows.withColumn("fan", F.substring("key", 1, 2)).write.mode(mode).partitionBy("fan").parquet(path)
+
+
+def described(rows: DataFrame, **meta: str) -> DataFrame:
+    """Rows with what they were made by (model, prompt and the like), as a map that is stored beside each."""
+    return rows.withColumn("meta", F.create_map(*(F.lit(x) for kv in sorted(meta.items()) for x in kv)) if meta else F.lit(None).cast("map<string,string>"))
+
+
+def made_by(store: DataFrame, **meta: str) -> DataFrame:
+    """The store's rows; one that was made by anything else raises an error."""
+    same = F.lit(True)
+    for k, v in meta.items():
+        same = same & F.coalesce(F.try_element_at("meta", F.lit(k)) == v, F.lit(False))
+    return store.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("made otherwise: "), F.col("key"))).cast("boolean")))
+
+
+def usable(readings: DataFrame) -> DataFrame:
+    """Cached readings that may be used again: neither cut off nor damaged (without text or with an error); of each key the last."""
+    sound = readings.where("not coalesce(truncated, false) and text is not null and error is null")
+    return latest(sound, "key", "read_at")
+
+
+def page_record(page: Column, gate: Column, reading: Column) -> Column:
+    """A page's record as one JSON text: the page's own fields, its gate and, if it was read by an engine, the reading."""
+    return F.to_json(F.struct(page.alias("page"), gate.alias("gate"), reading.alias("ocr")), {"ignoreNullFields": "true"})

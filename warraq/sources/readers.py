@@ -159,3 +159,19 @@ def metadata(files: DataFrame) -> DataFrame:
     """(file, producer, creator) from bytes or strings: read as UTF-8, trimmed, missing as empty."""
     clean = lambda c: F.coalesce(F.trim(F.decode(F.col(c).cast("binary"), "UTF-8")), F.lit(""))
     return files.select("file", clean("producer").alias("producer"), clean("creator").alias("creator"))
+
+
+def font_sample(fonts: DataFrame, pages: int = 5) -> DataFrame:
+    """(doc_id, fonts): how many fonts the first pages of each document name; fonts: doc_id, page, font."""
+    return fonts.where(F.col("page") <= pages).groupBy("doc_id").agg(F.count_distinct("font").alias("fonts"))
+
+
+def setting(name: str, environment: dict[str, str], dotenv: str = "") -> str | None:
+    """A setting by name: from the environment, else from a .env file's text (NAME=value, quotes off, comments aside); blank counts as missing."""
+    if environment.get(name, "").strip():
+        return environment[name].strip()
+    for line in dotenv.splitlines():
+        key, sign, value = line.strip().partition("=")
+        if sign and not key.startswith("#") and key.removeprefix("export ").strip() == name and (value := value.strip().strip("\"'").strip()):
+            return value
+    return None

@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, text, tokens
-from ..operators import answers, calendars, evaluation, gold, layout, quality, retrieval, stores, structure, tables
+from ..operators import answers, calendars, evaluation, flow, gold, labels, layout, quality, retrieval, stores, structure
 from ..session import spread, table
 from ..streaming import logs
+from . import golden as _golden  # noqa: F401 (registers its queries)
 from . import sql as S
+from .registry import QUERIES, SQL, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 #: Searches ask with every row whose id this divides, against all rows.
 ASKS_EVERY = 50
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL it is compared with, if it has one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _both(name: str, sql: str, *names: str) -> None:
     """A query that is the same SQL in both engines, over the tables named."""
 
@@ -74,14 +59,31 @@ def bm25_topk(spark, d):
     return _search(spark, d)
 
 
-@query()
+_KNOWN = f"""
+    with docs as (select doc_id, {{terms}} as ts from documents),
+    size as (select count(*) as n, avg(len(ts)) as mean from docs),
+    tf as (select doc_id, term, count(*) as tf, any_value(length) as length from (select doc_id, len(ts) as length, unnest(ts) as term from docs) group by 1, 2),
+    df as (select term, count(*) as df from tf group by 1),
+    asked as (select doc_id as q_id, unnest({{title}}) as term from documents where doc_id % {ASKS_EVERY} = 0),
+    wanted as (select q_id, term, count(*) as times from asked group by 1, 2),
+    scored as (select q_id, doc_id as item_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) as score
+        from wanted join tf using (term) join df using (term), size group by 1, 2),
+    ranked as (select q_id, item_id, row_number() over (partition by q_id order by score desc, item_id) as rank from scored)
+    select '{{name}}' as analyzer, count(*) as questions, count(*) filter (rank <= 1) as at_1, count(*) filter (rank <= 5) as at_5, count(*) filter (rank <= 10) as at_10
+    from (select distinct doc_id from documents where doc_id % {ASKS_EVERY} = 0) a left join ranked on q_id = doc_id and item_id = doc_id and rank <= 10
+"""
+_ANALYZERS = {"as written": (False, False, False), "normalized": (True, False, False), "stopwords": (True, True, False), "stemmed": (True, True, True)}
+
+
+@query(" union all ".join("select * from (" + _KNOWN.format(name=k, terms=S.terms("text", *v), title=S.terms("coalesce(title, '')", *v)) + ")" for k, v in _ANALYZERS.items()))
 def bm25_ablation(spark, d):
-    """How many of the full analyzer's ten best stay when a step is switched off."""
-    full = _search(spark, d)
+    """How often each analyzer finds the document whose title is asked, among the first one, five and ten."""
+    asked = table(spark, d, "documents").where(F.col("doc_id") % ASKS_EVERY == 0).select(F.col("doc_id").alias("q_id")).distinct()
     rows = None
-    for name, switches in (("as written", {"normalize": False, "stopwords": False, "stem": False}), ("normalized", {"stopwords": False, "stem": False}), ("stopwords", {"stem": False})):
-        other = _search(spark, d, **switches).select("q_id", "item_id", F.lit(True).alias("kept"))
-        part = full.join(other, ["q_id", "item_id"], "left").groupBy("q_id").agg(F.count_if(F.col("kept")).alias("kept")).select(F.lit(name).alias("analyzer"), "q_id", "kept")
+    for name, (norm, stop, stem) in _ANALYZERS.items():
+        own = _search(spark, d, normalize=norm, stopwords=stop, stem=stem).where("item_id = q_id").select("q_id", "rank")
+        both = asked.join(own, "q_id", "left")
+        part = both.agg(F.count("*").alias("questions"), *(F.count_if(F.col("rank") <= k).alias(f"at_{k}") for k in (1, 5, 10))).select(F.lit(name).alias("analyzer"), "questions", "at_1", "at_5", "at_10")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -221,11 +223,56 @@ def time_percentiles(spark, d):
     return evaluation.nearest_rank(table(spark, d, "exchanges"), "seconds", ["purpose"], {"p50": 0.5, "p95": 0.95})
 
 
-@query()
+@query("select purpose, count(seconds) as n, round(avg(seconds), 9) as mean, true as inside from (select distinct exchange_id, purpose, seconds from exchanges) group by 1")
 def bootstrap_seconds(spark, d):
-    """Mean seconds of each purpose with a seeded bootstrap interval."""
+    """Mean seconds of each purpose, and whether its seeded bootstrap interval holds it."""
     made = evaluation.hashed_bootstrap(table(spark, d, "exchanges").dropDuplicates(["exchange_id"]), "seconds", "purpose", "exchange_id")
-    return made.select("purpose", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+    return made.select("purpose", "n", F.round("mean", 9).alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("inside"))
+
+
+_SCORED = "select qid, case when purpose = 'judge' then 'refuse' else lower(purpose) end as behaviour, max(seconds) as score from exchanges where seconds is not null group by 1, 2"
+
+
+def _scored(spark, d):
+    """Exchanges as questions with a score: the judges' stand for those to be refused, the longest wait for the score."""
+    e = table(spark, d, "exchanges").where("seconds is not null")
+    return e.groupBy("qid", F.when(F.col("purpose") == "judge", "refuse").otherwise(F.lower("purpose")).alias("behaviour")).agg(F.max("seconds").alias("score"))
+
+
+@query(f"select min(score) as lowest, floor((min(score) - 1) * 2) / 2 as threshold from ({_SCORED}) where behaviour <> 'refuse'")
+def refusal_threshold(spark, d):
+    """The score under which questions are refused unasked, from the least that should be answered."""
+    return flow.refusal_threshold(_scored(spark, d))
+
+
+@query(f"select behaviour, count(*) as questions, min(score) as lowest, round(median(score), 9) as median, max(score) as highest from ({_SCORED}) group by 1")
+def score_spread(spark, d):
+    """How scores lie by expected behaviour."""
+    return flow.score_spread(_scored(spark, d)).withColumn("median", F.round("median", 9))
+
+
+@query(f"select threshold::double as threshold, count(*) filter (score < threshold and behaviour <> 'refuse') as wrongly, count(*) filter (score < threshold and behaviour = 'refuse') as rightly, count(*) filter (behaviour <> 'refuse') as to_answer, count(*) filter (behaviour = 'refuse') as to_refuse from ({_SCORED}), (select unnest([1.0, 2.5, 5.0, 10.0]) as threshold) group by 1")
+def threshold_sweep(spark, d):
+    """How many questions each threshold refuses, wrongly and rightly."""
+    return flow.threshold_sweep(_scored(spark, d), [1.0, 2.5, 5.0, 10.0])
+
+
+@query(f"select qid, behaviour, score from ({_SCORED}) where behaviour = 'refuse' order by score, qid limit 5")
+def lowest_scores(spark, d):
+    """The five questions of the least score."""
+    return flow.lowest(_scored(spark, d).where("behaviour = 'refuse'")).select("qid", "behaviour", "score")
+
+
+@query(
+    "with e as (select distinct exchange_id, qid, purpose, seconds from exchanges), a as (select qid, avg(seconds) as a from e where purpose = 'arm C' group by 1), b as (select qid, avg(seconds) as b from e where purpose in ('arm A', 'arm B', 'arm C') group by 1) select count(*) as n, round(avg(a - b), 6) as mean, true as inside from a join b using (qid)"
+)
+def paired_difference(spark, d):
+    """The mean difference of an arm from all arms, question by question, and whether its interval holds it."""
+    e = table(spark, d, "exchanges").dropDuplicates(["exchange_id"])
+    a = e.where("purpose = 'arm C'").groupBy("qid").agg(F.avg("seconds").alias("s"))
+    b = e.where("purpose in ('arm A', 'arm B', 'arm C')").groupBy("qid").agg(F.avg("seconds").alias("s"))
+    m = evaluation.paired_interval(a, b, "qid", "s", 2000)
+    return m.select("n", F.round("mean", 6).alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("inside"))
 
 
 _LANG = "case when regexp_matches(text, '[\\x{600}-\\x{6ff}]') then 'ar' else 'en' end"
@@ -266,14 +313,27 @@ def bag_of_words(spark, d):
     return evaluation.bag_overlap(a, b, ["doc_id", "page"])
 
 
+@query(
+    """with r as (select distinct reading_id, doc_id, page, string_split(result.text, chr(10)) as ls from readings),
+    p as (select doc_id, ls, lead(ls) over (partition by doc_id, page order by reading_id) as other from r)
+    select doc_id, count(*) filter (len(ls) = len(other)) as compared, count(*) filter (len(ls) <> len(other)) as unequal, coalesce(sum(case when len(ls) = len(other) then len(ls) end), 0)::bigint as lines from p where other is not null group by 1"""
+)
+def reading_pairs(spark, d):
+    """How many pages were read twice, with as many lines or not."""
+    p = evaluation.successive(table(spark, d, "readings").dropDuplicates(["reading_id"]), "reading_id", "doc_id", "page")
+    same = F.size("ls") == F.size("other")
+    return p.groupBy("doc_id").agg(F.count_if(same).alias("compared"), F.count_if(~same).alias("unequal"), F.coalesce(F.sum(F.when(same, F.size("ls"))), F.lit(0)).alias("lines"))
+
+
 @query()
 def reading_errors(spark, d):
-    """Character error rates between two readings of the same page, line by line."""
-    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).select("doc_id", "page", "reading_id", F.split("result.text", "\n").alias("ls"))
-    b = r.select("doc_id", "page", F.col("reading_id").alias("other"), F.col("ls").alias("lb"))
-    p = r.join(b, ["doc_id", "page"]).where((F.col("reading_id") < F.col("other")) & (F.size("ls") == F.size("lb")))
-    lines = p.select("doc_id", F.explode(F.arrays_zip("ls", "lb")).alias("x")).select("doc_id", F.col("x.ls").alias("truth"), F.col("x.lb").alias("reading"))
-    return evaluation.error_rates(lines, ["doc_id"]).where("cer is not null").select("doc_id", "pieces", "cer")
+    """Character and word error rates between successive readings of a page: line by line, or whole where they have other numbers of lines."""
+    p = evaluation.successive(table(spark, d, "readings").dropDuplicates(["reading_id"]), "reading_id", "doc_id", "page")
+    whole = lambda c: F.array(F.array_join(c, "\n"))
+    same = F.size("ls") == F.size("other")
+    pairs = F.arrays_zip(F.when(same, F.col("ls")).otherwise(whole(F.col("ls"))).alias("truth"), F.when(same, F.col("other")).otherwise(whole(F.col("other"))).alias("reading"))
+    lines = p.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.truth", "x.reading")
+    return evaluation.error_rates(lines, ["doc_id"]).where("cer is not null")
 
 
 _PAIRED = "select qid, avg(seconds) as s from (select distinct exchange_id, qid, purpose, seconds from exchanges) where purpose = '{}' group by 1"
@@ -386,16 +446,24 @@ def time_questions(spark, d):
     return table(spark, d, "exchanges").dropDuplicates(["exchange_id"]).select("exchange_id", calendars.asks_about_time(F.col("prompt")).alias("about_time"))
 
 
-@query()
+@query(
+    r"""with t as (select distinct exchange_id, translate(translate(regexp_replace(translate(text, '٫', '.'), '[\x{61C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٬', '01234567890123456789,'), '،', ',') as t from exchanges where text is not null)
+    select exchange_id, len(regexp_extract_all(regexp_replace(regexp_replace(t, '(\d),(\d{3})\b', '\1\2', 'g'), '(\d),(\d{1,2})\b', '\1.\2', 'g'), '\d+(?:\.\d+)?')) as numbers from t"""
+)
 def numbers_stated(spark, d):
-    """The numbers in each reply, in digits and in words."""
-    return table(spark, d, "exchanges").where("text is not null").dropDuplicates(["exchange_id"]).select("exchange_id", text.numbers(F.col("text")).cast("string").alias("numbers"))
+    """How many numbers in digits each reply states."""
+    return table(spark, d, "exchanges").where("text is not null").dropDuplicates(["exchange_id"]).select("exchange_id", F.size(text.digit_numbers(F.col("text"))).cast("long").alias("numbers"))
 
 
-@query()
+@query(
+    r"""with t as (select distinct reading_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(result.text, '([ء-غف-ي])ส', '\1سب', 'g'), 'ส([ء-غف-ي])', 'سب\1', 'g'), '([ء-غف-ي])ת', '\1ت', 'g'), 'ת([ء-غف-ي])', 'ت\1', 'g') as t from readings)
+    select reading_id, length(t) as chars, length(t) - length(regexp_replace(t, '[ء-غف-ي]', '', 'g')) as arabic from t"""
+)
 def repaired_readings(spark, d):
-    """Readings with two letters of other scripts put right, as plain text."""
-    return table(spark, d, "readings").dropDuplicates(["reading_id"]).select("reading_id", text.markdown_text(text.fi_ligature(text.repair_letters(F.col("result.text")))).alias("text"))
+    """Characters and Arabic letters of readings, two letters of other scripts put right."""
+    fixed = text.fi_ligature(text.repair_letters(F.col("result.text")))
+    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).select("reading_id", fixed.alias("t"))
+    return r.select("reading_id", F.length("t").cast("long").alias("chars"), text.count_of(F.col("t"), "ء-غف-ي").cast("long").alias("arabic"))
 
 
 # ------------------------------------------------------------------ quality
@@ -466,6 +534,36 @@ def page_methods(spark, d):
     return quality.page_methods(_gated(spark, d)).select("doc_id", "page", "method")
 
 
+@query(_GATE + " select doc_id, page, arabic_tokens, token_validity, verdict from g where verdict <> 'trusted'")
+def pages_rejected(spark, d):
+    """Pages that the gate doesn't pass."""
+    return quality.gate(quality.page_quality(_pages(spark, d), quality.lexicon(table(spark, d, "lexicon")), "doc_id", "page"), quality.GATE).where("verdict <> 'trusted'").select("doc_id", "page", "arabic_tokens", F.round("token_validity", 6).alias("token_validity"), "verdict")
+
+
+@query(
+    f"""with u as (select distinct unit_id, doc_id, page, seq, text from units), p as (select doc_id, page, string_agg(text, chr(10) order by seq, text) as t from u group by 1, 2),
+    n as (select doc_id, page, length(t) as chars, {", ".join(f"{S.count('t', k)} as {k}" for k in ("presentation_forms", "arabic_letters", "bidi_controls", "c0_controls", "latin_letters", "ascii_digits", "arabic_indic_digits"))} from p)
+    select doc_id, page, arabic_letters + latin_letters + ascii_digits + arabic_indic_digits as content_chars, case when presentation_forms + arabic_letters > 0 then round(presentation_forms / (presentation_forms + arabic_letters), 4) else 0.0 end as presform_ratio,
+    round(bidi_controls * 1000 / chars, 2) as bidi_per_1k, round(c0_controls * 1000 / chars, 2) as c0_per_1k from n where chars > 0"""
+)
+def page_measures(spark, d):
+    """Characters with content, presentation forms and controls of each page, as ratios."""
+    q = quality.page_quality(_pages(spark, d).where("length(text) > 0"), quality.lexicon(table(spark, d, "lexicon")), "doc_id", "page")
+    return q.select("doc_id", "page", "content_chars", F.coalesce("presform_ratio", F.lit(0.0)).alias("presform_ratio"), "bidi_per_1k", "c0_per_1k")
+
+
+@query(
+    f"""with r as (select distinct reading_id, doc_id, page, len(regexp_extract_all({S.norm('result.text')}, '[ء-غف-ي]+')) as a from readings where result.text is not null), l as (select doc_id, page, sum(n) as b from (select distinct unit_id, doc_id, page, len(regexp_extract_all({S.norm('text')}, '[ء-غف-ي]+')) as n from units) group by 1, 2)
+    select reading_id, a >= 0 and b >= 10 and a < 0.5 * b as again from r join l using (doc_id, page)"""
+)
+def pages_to_reread(spark, d):
+    """Readings with under half of the words of their page's units."""
+    words = lambda c: F.size(tokens.arabic_tokens(F.col(c)))
+    r = table(spark, d, "readings").where("result.text is not null").dropDuplicates(["reading_id"]).select("reading_id", "doc_id", "page", words("result.text").alias("a"))
+    layer = table(spark, d, "units").dropDuplicates(["unit_id"]).groupBy("doc_id", "page").agg(F.sum(words("text")).alias("b"))
+    return r.join(layer, ["doc_id", "page"]).select("reading_id", quality.needs_rereading(F.col("a"), F.col("b")).alias("again"))
+
+
 @query(
     f"""with l as (select distinct doc_id, page, {S.norm('line')} as line from (select doc_id, page, unnest(lines) as line from units)),
     n as (select doc_id, count(distinct page) as n_pages from (select doc_id, page, unnest(lines) from units) group by 1)
@@ -506,14 +604,6 @@ def unit_sessions(spark, d):
     return structure.sessions(u, F.col("heading").isNotNull(), "doc_id", "page", at="seq").select("unit_id", F.col("unit").cast("long").alias("unit"))
 
 
-@query()
-def merged_drafts(spark, d):
-    """Units of each page put together into drafts."""
-    u = table(spark, d, "units").dropDuplicates(["unit_id"])
-    m = structure.merge(structure.pieces(u.select("doc_id", "page", "seq", "heading", "content_type", "text", "clause_no", "lines")).select("doc_id", "page", (F.col("seq") * 10_000 + F.col("part")).alias("seq"), "heading", "content_type", "text", "clause_no"))
-    return m.select("doc_id", "page", "draft_no", "heading", "content_type", F.size("texts").alias("units"), structure.clause_range(F.col("clause_nos")).alias("clause_no"), F.array_join("texts", "\n").alias("text"))
-
-
 @query(
     f"""with k as (select draft_id, doc_id, page, array_to_string(texts, chr(10)) as text, heading, content_type, list_filter(clause_nos, lambda x: x is not null) as c from drafts where {_NW("array_to_string(texts, chr(10))")} >= 3)
     select doc_id || '_p' || page || '_c' || row_number() over (partition by doc_id, page order by draft_id) as chunk_id, doc_id, title as doc_title, scope, effective, page, heading as section_heading,
@@ -525,6 +615,19 @@ def chunks(spark, d):
     return structure.chunks(drafts, table(spark, d, "corpus_documents"))
 
 
+@query(
+    _GATE + _PATHS + f""", m as (select g.doc_id, g.page, case when path = 'text_layer' and verdict = 'trusted' then 'text_layer' else 'ocr' end as method, q.validity from g join paths using (doc_id) join q on q.doc_id = g.doc_id and q.page = g.page),
+    k as (select draft_id, doc_id, page, manual, heading, content_type from drafts where {_NW("array_to_string(texts, chr(10))")} >= 3)
+    select doc_id || '_p' || page || '_c' || row_number() over (partition by doc_id, page order by draft_id) as chunk_id, method as extraction_method, round(validity, 3) as gate_score, manual as manually_verified
+    from k join corpus_documents using (doc_id) left join m using (doc_id, page)"""
+)
+def chunk_records(spark, d):
+    """How each chunk's page was read, its score and whether it was typed by hand."""
+    drafts = table(spark, d, "drafts").withColumn("draft_no", F.col("draft_id"))
+    read = quality.page_methods(_gated(spark, d)).select("doc_id", "page", "method", "token_validity")
+    return structure.chunks(drafts, table(spark, d, "corpus_documents"), pages=read).select("chunk_id", "extraction_method", "gate_score", "manually_verified")
+
+
 @query(
     f"""with l as (select distinct unit_id, i, {S.norm('line')} as p, line from (select unit_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from units))
     select unit_id, i, regexp_extract(regexp_extract(p, '^(?:[.\\-]\\d{{1,2}}|\\d{{1,2}} ?[.\\-)])'), '\\d{{1,2}}')::int as clause_no from l where regexp_matches(p, '^(?:[.\\-]\\d{{1,2}}|\\d{{1,2}} ?[.\\-)])(?:[^0-9]|$)')"""
@@ -544,33 +647,22 @@ def joined_lines(spark, d):
 
 
 @query()
-def article_labels(spark, d):
-    """Articles' labels among the lines of units."""
-    lines = table(spark, d, "units").dropDuplicates(["unit_id"]).select("unit_id", F.posexplode("lines").alias("i", "line"))
-    # compared as article_label compares: stored lines may have presentation forms, vowel marks or unseen characters
-    lines = lines.where(normalize.for_comparison(F.col("line")).contains(structure.ARTICLE))
-    return lines.withColumn("l", structure.article_labels("line")).where("l.label is not null").select("unit_id", "i", "l.label", "l.number", "l.certain")
-
-
-@query()
-def block_order(spark, d):
-    """Layout blocks of readings in reading order."""
-    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).where("result.blocks is not null")
-    return r.select("reading_id", layout.block_order("result.blocks").cast("string").alias("order"))
+def unit_articles(spark, d):
+    """Articles' labels among the lines of units, and which of them are taken for headings, in order."""
+    lines = table(spark, d, "units").dropDuplicates(["unit_id"]).select("unit_id", "doc_id", "page", "seq", F.posexplode("lines").alias("i", "line"))
+    # compared as labels are: stored lines may have presentation forms, vowel marks or unseen characters
+    lines = lines.where(normalize.for_comparison(F.col("line")).contains(labels.ARTICLE))
+    found = lines.withColumn("l", labels.article_labels("line")).where("l.label is not null").select("unit_id", "i", "doc_id", "page", F.struct("seq", "unit_id", "i").alias("at"), "l.label", "l.number", "l.certain")
+    return labels.counted(found, at="at").select("unit_id", "i", "label", "number", "certain", "accepted")
 
 
 @query()
-def layout_answers(spark, d):
-    """How engines' layout answers could be read, and how many blocks they hold."""
-    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).where("result.response is not null")
-    return r.withColumn("l", layout.parsed_layout("result.response")).select("reading_id", "l.how", F.coalesce(F.size("l.blocks"), F.lit(0)).alias("blocks"))
-
+def merged_drafts(spark, d):
+    """Units of each page put together into drafts."""
+    u = table(spark, d, "units").dropDuplicates(["unit_id"])
+    m = structure.merge(structure.pieces(u.select("doc_id", "page", "seq", "heading", "content_type", "text", "clause_no", "lines")).select("doc_id", "page", (F.col("seq") * 10_000 + F.col("part")).alias("seq"), "heading", "content_type", "text", "clause_no"))
+    return m.select("doc_id", "page", "draft_no", "heading", "content_type", F.size("texts").alias("units"), structure.clause_range(F.col("clause_nos")).alias("clause_no"), F.array_join("texts", "\n").alias("text"))
 
-@query()
-def table_sentences(spark, d):
-    """Rows of HTML tables as sentences."""
-    b = table(spark, d, "readings").dropDuplicates(["reading_id"]).select("reading_id", F.posexplode("result.blocks").alias("i", "b")).where("b.html is not null")
-    return b.select("reading_id", "i", F.posexplode(tables.table_sentences("b.html")).alias("row", "sentence"))
 
 
 # ------------------------------------------------------------------ calendars
@@ -595,7 +687,23 @@ def date_cells(spark, d):
     return own.select("row_id", "c.problem", F.when(F.col("c.last").isNotNull(), calendars.span_days(F.col("c"))).alias("span"))
 
 
-@query()
+_HIJRI = _ENDS.replace("date_gregorian", "date_hijri")
+
+
+@query(
+    f"""with g as ({_ENDS}), h as ({_HIJRI}), r as (select distinct row_id, title_ar, day_en, date_hijri from calendar_rows),
+    e as (select r.*, g.y, g.m, g.d, case when g.d2 is not null then coalesce(g.y2, g.y) end as ly, case when g.d2 is not null then coalesce(g.m2, g.m) end as lm, g.d2 as ld,
+        h.y as hy, h.m as hm, h.d as hd, case when h.d2 is not null then coalesce(h.y2, h.y) end as hly, case when h.d2 is not null then coalesce(h.m2, h.m) end as hlm, h.d2 as hld from r join g using (row_id) join h using (row_id)),
+    p as (select *, case when y is null then 'malformed' when not (m between 1 and 12 and d between 1 and 31) or (ld is not null and not (lm between 1 and 12 and ld between 1 and 31)) then 'out of range' end as gp,
+        case when hy is null then 'malformed' when not (hm between 1 and 12 and hd between 1 and 31) or (hld is not null and not (hlm between 1 and 12 and hld between 1 and 31)) then 'out of range' end as hp,
+        try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) as date) as a, try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', ly, lm, ld) as date) as b from e),
+    s as (select *, case when gp is null then case when ld is null then 0 else abs(date_diff('day', a, b)) end end as gs, case when hp is null then case when hld is null then 0 else abs((hly * 12 + hlm) * 30 + hld - (hy * 12 + hm) * 30 - hd) end end as hs,
+        array_to_string(list_transform(list_sort(list_filter([a, b], lambda x: x is not null)), lambda x: dayname(x)), ' - ') as due from p)
+    select distinct row_id, problem from (select row_id, unnest(list_filter([
+        'gregorian ' || gp, case when date_hijri is not null then 'hijri ' || hp end, case when date_hijri is not null and abs(gs - hs) > 1 then 'spans differ' end,
+        case when gp is not null or day_en is null then null when a is null or (ld is not null and b is null) then 'no such date' when regexp_replace(trim(day_en), '\\s*-\\s*', ' - ', 'g') <> due then 'should be ' || due end,
+        case when trim(coalesce(title_ar, '')) = '' then 'no title' end], lambda x: x is not null)) as problem from s)"""
+)
 def calendar_problems(spark, d):
     """Everything wrong with calendar rows."""
     return calendars.calendar_report(table(spark, d, "calendar_rows").dropDuplicates(["row_id"]))
@@ -619,12 +727,6 @@ def week_lists(spark, d):
     return calendars.weeks(years.select(F.concat(F.lit("y"), "y").alias("name"), F.make_date("y", F.lit(1), F.lit(1)).alias("start"), F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)).alias("end")))
 
 
-@query()
-def hijri_days(spark, d):
-    """Umm al-Qura dates of a year."""
-    return calendars.hijri_dates(spark, "2026-08-01", "2027-07-31")
-
-
 # ------------------------------------------------------------------ answers, stores, logs
 
 
@@ -639,18 +741,64 @@ def run_summary(spark, d):
     return answers.run_summary(table(spark, d, "exchanges").dropDuplicates(["exchange_id"]), "purpose")
 
 
-@query()
+@query(r"select exchange_id, case when regexp_matches(text, '(?i)VERDICT\W*(?:CORRECT|PARTIAL|WRONG|REFUSED)\b') then upper(regexp_extract_all(text, '(?i)VERDICT\W*(CORRECT|PARTIAL|WRONG|REFUSED)\b', 1)[-1]) end as verdict from (select distinct exchange_id, text from exchanges where purpose = 'judge')")
 def judge_verdicts(spark, d):
     """The last verdict in each judge's reply."""
     e = table(spark, d, "exchanges").where("purpose = 'judge'").dropDuplicates(["exchange_id"])
     return e.select("exchange_id", answers.verdict(F.col("text")).alias("verdict"))
 
 
-@query()
-def rewritten_queries(spark, d):
-    """The queries that rewrites give, one a row."""
-    e = table(spark, d, "exchanges").where("purpose = 'rewrite' and text is not null").dropDuplicates(["exchange_id"])
-    return e.select("exchange_id", F.posexplode(tokens.query_lines(F.col("text"))).alias("i", "query"))
+_CITES = "regexp_extract_all(translate(coalesce({0}, ''), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '\\[(\\d+(?:\\s*[,،]\\s*\\d+)*)\\]', 1)"
+_CITED = lambda x: f"list_transform(flatten(list_transform({_CITES.format(x)}, lambda g: regexp_extract_all(g, '\\d+'))), lambda n: n::int)"
+_REASON = lambda t, k: (
+    f"case when length(trim(coalesce({t}, ''))) = 0 then 'declined' when len(list_filter({_CITED(t)}, lambda n: n >= 1)) = 0 and len({_CITED(t)}) = 0 then 'no citation' when len(list_filter({_CITED(t)}, lambda n: n < 1 or n > {k})) > 0 then 'unknown citation' else '' end"
+)
+
+
+@query(
+    f"""with e as (select * from (select distinct exchange_id, qid, purpose, text from exchanges where qid is not null) where purpose in ('arm C', 'arm B')),
+    q as (select distinct qid from exchanges where qid is not null), a as (select qid, arg_max(text, exchange_id) as t1 from (select qid, coalesce(text, '') as text, exchange_id from e where purpose = 'arm C') group by 1), b as (select qid, arg_max(text, exchange_id) as t2 from (select qid, coalesce(text, '') as text, exchange_id from e where purpose = 'arm B') group by 1),
+    r as (select qid, {_REASON('t1', 1)} as r1, {_REASON('t2', 3)} as r2 from q left join a using (qid) left join b using (qid))
+    select qid, case when r1 = '' then 1 else 2 end as attempts, case when r1 = '' or r2 = '' then 'answered' when r2 = 'declined' then 'declined' else 'refused' end as outcome, case when r1 = '' then '' else r2 end as reason from r"""
+)
+def answer_flow(spark, d):
+    """Questions answered by stored replies: one source at first, then three; arm C's replies first, arm B's when asked again."""
+    e = table(spark, d, "exchanges").where("qid is not null").dropDuplicates(["exchange_id"])
+    questions = e.select("qid").distinct().select("qid", F.col("qid").alias("question"), F.lit("en").alias("language"))
+    rankings = questions.select("qid", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).withColumn("item_id", F.col("rank"))
+    last = lambda arm, n: e.where(F.col("purpose") == arm).groupBy("qid").agg(F.max_by(F.coalesce("text", F.lit("")), "exchange_id").alias("text")).withColumn("attempt", F.lit(n))
+    made = flow.answered(questions, rankings, flow.replayed(last("arm C", 1).unionByName(last("arm B", 2))), lambda c: F.lit(False), {"en": "No answer."}, depths=(1, 3))
+    return made.select("qid", "attempts", "outcome", "reason")
+
+
+_LABELS = ("STOP", "MAX_TOKENS", "SAFETY")
+_COUNTED = ", ".join("count(*) filter (finish = '" + x + "') as \"" + x + "\"" for x in _LABELS)
+
+
+@query(f"with e as (select distinct exchange_id, model, purpose, finish from exchanges where finish in {_LABELS}) select model as run, purpose as type, {_COUNTED}, count(*) as n, round(count(*) filter (finish = 'STOP') / count(*), 6) as accuracy from e group by 1, 2")
+def labels_by_type(spark, d):
+    """How the exchanges of each model ended, by purpose."""
+    e = table(spark, d, "exchanges").where(F.col("finish").isin(*_LABELS)).dropDuplicates(["exchange_id"])
+    return answers.type_table(e.select(F.col("model").alias("run"), F.col("purpose").alias("type"), F.col("finish").alias("judge")), list(_LABELS))
+
+
+@query(
+    """with e as (select distinct exchange_id, model, seconds, tokens_in, tokens_out from exchanges), n as (select model, seconds, row_number() over (partition by model order by seconds) as r, count(*) over (partition by model) as n from e where seconds is not null),
+    t as (select model, max(case when r = greatest(1, least(n, round_even(n * 0.5, 0)::bigint)) then seconds end) as p50, max(case when r = greatest(1, least(n, round_even(n * 0.95, 0)::bigint)) then seconds end) as p95 from n group by 1)
+    select model as run, any_value(p50) as p50, any_value(p95) as p95, round(avg(tokens_in), 4) as tokens_in, round(avg(tokens_out), 4) as tokens_out from e join t using (model) group by 1"""
+)
+def times_and_tokens(spark, d):
+    """Times and tokens of each model."""
+    e = table(spark, d, "exchanges").dropDuplicates(["exchange_id"]).withColumnRenamed("model", "run")
+    return answers.cost_table(e)
+
+
+@query("select purpose as run, count(*) as n, round(avg((finish = 'STOP')::int), 6) as accuracy, count(*) filter (finish in ('STOP', 'MAX_TOKENS')) || '/' || count(*) as correct_or_partial, case when count(*) filter (model_version is null) > 0 then '0/' || count(*) filter (model_version is null) else '-' end as wrong_outside from (select distinct exchange_id, purpose, coalesce(finish, 'none') as finish, model_version from exchanges) group by 1")
+def outcomes_by_purpose(spark, d):
+    """How many exchanges of each purpose ended well, or nearly."""
+    e = table(spark, d, "exchanges").dropDuplicates(["exchange_id"])
+    judge = F.when(F.col("finish") == "STOP", "correct").when(F.col("finish") == "MAX_TOKENS", "partial").otherwise("other")
+    return answers.quality_table(e.select(F.col("purpose").alias("run"), judge.alias("judge"), F.when(F.col("model_version").isNull(), "refuse").otherwise("answer").alias("behaviour")))
 
 
 @query("select distinct unit_id, '[' || unit_id || '] | ' || title || ' | p. ' || page || case when heading is not null then ' | ' || heading else '' end || case when clause_no is not null then ' | clause ' || clause_no else '' end || chr(10) || text as block from units join corpus_documents using (doc_id)")
@@ -695,6 +843,13 @@ def exchange_counts(spark, d):
     return gold.composition(table(spark, d, "exchanges"), "purpose", "model")
 
 
+@query("with n as (select source, count(*) as n from (select distinct doc_id, source from documents where source is not null) group by 1), k as (select *, row_number() over (order by source) as i, count(*) over () as k from n) select source, least(n, 240 // k + case when i <= 240 % k then 1 else 0 end)::bigint as drawn from k")
+def stratified_counts(spark, d):
+    """How many documents are drawn from each site."""
+    docs = table(spark, d, "documents").where("source is not null").select("doc_id", "source").dropDuplicates(["doc_id"])
+    return gold.stratified(docs, "source", "doc_id", 240).groupBy("source").agg(F.count("*").alias("drawn"))
+
+
 @query()
 def stratified_sample(spark, d):
     """An equal share of documents from each site, drawn by a seed."""
@@ -820,13 +975,6 @@ def lexicon_disorder(spark, d):
     return quality.unsorted_rows(numbered).select("word", "frequency")
 
 
-@query()
-def unread_text(spark, d):
-    """Paragraphs of readings that no layout block holds."""
-    r = table(spark, d, "readings").dropDuplicates(["reading_id"]).where("result.blocks is not null")
-    return r.select("reading_id", F.explode(tokens.unread_paragraphs(F.col("result.text"), F.transform("result.blocks", lambda b: b["text"]))).alias("paragraph"))
-
-
 @query()
 def sampled_documents(spark, d):
     """A hundred documents drawn by a seed."""

@@ -34,15 +34,18 @@ def norm(x: str) -> str:
     return collapse(f"translate({marks}, {quote(UNIFIED[0])}, {quote(UNIFIED[1])})")
 
 
-def terms(x: str) -> str:
-    """Index terms as a list: compared, lower case, without stopwords, stemmed."""
-    stop = "[" + ", ".join(map(quote, STOPWORDS)) + "]"
-    found = f"list_filter(regexp_extract_all(lower({norm(x)}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT list_contains({stop}, w))"
+def terms(x: str, normalize: bool = True, stopwords: bool = True, stem: bool = True) -> str:
+    """Index terms as a list: compared, lower case, without stopwords, stemmed; each step can be switched off."""
+    found = f"regexp_extract_all(lower({norm(x) if normalize else x}), '[\\p{{L}}\\p{{N}}_]+')"
+    if stopwords:
+        found = f"list_filter({found}, lambda w: NOT list_contains([{', '.join(map(quote, STOPWORDS))}], w))"
+    if not stem:
+        return found
     long_ = "|".join(p for p in PREFIXES if len(p) > 1)
-    stem = f"CASE WHEN regexp_matches(w, '^(?:{long_})..') THEN regexp_replace(w, '^(?:{long_})', '') WHEN regexp_matches(w, '^و...') THEN substr(w, 2) ELSE w END"
+    cut = f"CASE WHEN regexp_matches(w, '^(?:{long_})..') THEN regexp_replace(w, '^(?:{long_})', '') WHEN regexp_matches(w, '^و...') THEN substr(w, 2) ELSE w END"
     for s in SUFFIXES:
-        stem = f"regexp_replace({stem}, '^(.{{2,}}){s}$', '\\1')"
-    return f"list_transform({found}, lambda w: {stem})"
+        cut = f"regexp_replace({cut}, '^(.{{2,}}){s}$', '\\1')"
+    return f"list_transform({found}, lambda w: {cut})"
 
 
 def count(x: str, cls: str) -> str:

@@ -217,11 +217,35 @@ def test_model_of_lines_against_brute_force():
     assert np.allclose(model.expected(items), total)
 
 
-def test_no_word_is_left_out(spark):
-    lexicon = spark.createDataFrame([(w, n) for n, w in enumerate(WORDS)] * 2, "word string, frequency long")
-    assert set(common.vocabulary(lexicon, len(set(WORDS)))) == set(WORDS)
-    with pytest.raises(ValueError, match="more than"):
-        common.vocabulary(lexicon, len(set(WORDS)) - 1)
+def test_lexica_longer_than_what_is_sent(spark, monkeypatch):
+    lexicon = spark.createDataFrame([(w, 100 - n) for n, w in enumerate([*WORDS, "department", "modern", "final"])] * 2 + [(None, 5)], "word string, frequency long")
+    whole, cut = common.vocabulary(lexicon), common.vocabulary(lexicon, 4)
+    assert whole.rest is None and len(whole.words) == len(set(WORDS)) + 3 and cut.words == whole.words[:4] and {r.word for r in cut.rest.collect()} == set(whole.words[4:])
+
+    def lines(p):
+        return ["Records office | papers", f"{WORDS[p]} teacher {WORDS[p + 3]} b0ok", f"{WORDS[p + 5]} departrnent committee re-", "turns finaӀ papers.", f"- {p} -"]
+
+    units = spark.createDataFrame([(p, "d", p, lines(p), " ".join(lines(p)), "ocr") for p in range(1, 7)] + [(9, "d", 9, None, None, "ocr")], "unit_id long, doc_id string, page int, lines array<string>, text string, extraction_method string")
+    readings = spark.createDataFrame([(1, "d", 2, "\n".join(lines(2)))], "reading_id long, doc_id string, page int, text string").select("reading_id", "doc_id", "page", F.struct("text").alias("result"))
+    drafts = spark.createDataFrame([(1, "d", 1, [" ".join(lines(1)), "thc b0ok stu- dent"])], "draft_id long, doc_id string, page int, texts array<string>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    items = scan_repair.unit_items(units).unionByName(scan_repair.reading_items(readings))
+    assert rows(scan_repair.find(units, readings, drafts, cut)) == rows(scan_repair.find(units, readings, drafts, whole)) != rows(scan_repair.find(units, readings, drafts, cut.words))
+    assert rows(scan_repair.paragraphs(items, cut)) == rows(scan_repair.paragraphs(items, whole)) != rows(scan_repair.paragraphs(items, cut.words))
+    labels = scan_repair.labelled(items, whole)
+    put = lambda v: rows(scan_repair.draft_paragraphs(units, readings, drafts, scan_repair.paragraphs(items, v, labels), labels, v))
+    assert put(cut) == put(whole) != put(cut.words)
+    texts = spark.createDataFrame([("unit", "d", 1, "the finaӀ book"), ("unit", "d", 2, "the final book"), ("unit", "d", 3, None)], "kind string, doc_id string, item_id long, text string")
+    assert rows(same_look.canonical(texts, cut)) == rows(same_look.canonical(texts, whole)) != rows(same_look.canonical(texts, cut.words))
+    assert rows(same_look.pairs(texts, cut)) == rows(same_look.pairs(texts, whole)) == ["Row(kind='unit', id_a=1, id_b=2)"]
+    asked = [(1, "arm A", "Where is the book?", "student reads marked papers today at office."), (2, "arm A", "Where is the book?", "papers mar"), (3, "arm A", "Where is the book?", "quod erat demonstrandum fuit."), (4, "arm B", None, "The finaӀ book")]
+    exchanges = spark.createDataFrame(asked, "exchange_id long, purpose string, prompt string, text string")
+    assert rows(reply_defects.find(exchanges, cut)) == rows(reply_defects.find(exchanges, whole)) != rows(reply_defects.find(exchanges, cut.words))
+    pages = spark.createDataFrame([("document", "s", i, i, ["finaӀ note" if i % 2 else "final note", "body " + "x" * (i + 1)]) for i in range(20)], "kind string, source string, page long, item_id long, lines array<string>")
+    assert rows(repeated_lines.find(pages, cut)) == rows(repeated_lines.find(pages, whole)) and repeated_lines.without(pages, cut).agg(F.sum("removed")).first()[0] == 20
+    samples = spark.createDataFrame([(i, "en", 1 + i % 5, "The student reads a book. The final paper returns.") for i in range(10)], "sample_id long, lang string, level int, text string")
+    docs = spark.createDataFrame([(1, "finaӀ", "finaӀ\nthe student reads", "s"), (2, None, "The finaӀ paper.", None)], "doc_id long, title string, text string, source string")
+    assert rows(reading_level.levels(docs, samples, cut)) == rows(reading_level.levels(docs, samples, whole))
 
 
 # ------------------------------------------------------------------ replies

@@ -18,6 +18,7 @@ Null texts have no form (``None``); empty texts have the form ``""``.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -127,6 +128,11 @@ class Automaton:
         self.trie, self.budget = trie, budget
 
     def match(self, token: str) -> str | None:
+        found = self.reached(token)
+        return found[3] if found else None
+
+    def reached(self, token: str) -> tuple[int, int, int, str] | None:
+        """(cost, letters read otherwise, rank, word) of the word reached."""
         states: dict[int, tuple[dict, int, int]] = {id(self.trie.root): (self.trie.root, 0, 0)}
         for ch in moves(token):
             after: dict[int, tuple[dict, int, int]] = {}
@@ -148,7 +154,7 @@ class Automaton:
                 return None
             states = after
         ends = [(cost, read, *node[""]) for node, cost, read in states.values() if "" in node]
-        return min(ends)[3] if ends else None
+        return min(ends, default=None)
 
 
 _PIECES = re.compile(r"(\w[\w\u00ad\u0300-\u036f\u061c\u064b-\u065f\u0670\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]*)")
@@ -161,7 +167,20 @@ class LookForm(dict):
 
     def __init__(self, words: Iterable[str] = (), most: int = 500_000):
         super().__init__()
-        self.automaton, self.most = Automaton(Trie(words)), most
+        self.automata, self.most = [Automaton(Trie(words))], most
+
+    def also(self, rest: list[str] | None) -> LookForm:
+        """The forms of a vocabulary that goes on with rarer words."""
+        if not rest:
+            return self
+        both = LookForm((), self.most)
+        both.automata = [*self.automata, Automaton(Trie(rest))]
+        return both
+
+    def word(self, piece: str) -> str | None:
+        """The vocabulary's word that a piece looks like."""
+        found = [(*r[:2], n, r[3]) for n, a in enumerate(self.automata) if (r := a.reached(piece))]
+        return min(found)[3] if found else None
 
     def __missing__(self, token: str) -> str:
         if len(self) >= self.most:
@@ -172,7 +191,7 @@ class LookForm(dict):
             # words by the automaton, the rest by table; marks may straddle the pieces, so the whole is composed once more
             parts = _PIECES.split(token)
             parts[::2] = map(by_table, parts[::2])
-            parts[1::2] = [self.automaton.match(p) or by_table(p) for p in parts[1::2]]
+            parts[1::2] = [self.word(p) or by_table(p) for p in parts[1::2]]
             form = unicodedata.normalize("NFC", "".join(parts))
         self[token] = form
         return form
@@ -182,6 +201,28 @@ class LookForm(dict):
         return None if text is None else " ".join(filter(None, map(self.__getitem__, text.split())))
 
 
+_SEVERAL = re.compile("[" + "".join(READINGS) + "]")
+
+
+def readings(token: str) -> set[str]:
+    """Every way to read a token that has letters with several readings, by its pieces; empty for any other."""
+    out: set[str] = set()
+    if _SEVERAL.search(token):
+        for piece in _PIECES.split(token)[1::2]:
+            if _SEVERAL.search(piece):
+                out |= {unicodedata.normalize("NFC", "".join(p)) for p in itertools.product(*(READINGS.get(ch, ch) for ch in moves(piece)))}
+    return out
+
+
+def asked_readings(texts: Iterable[str | None]) -> set[str]:
+    """The keys of words that decide how texts look, for ``common.with_rest``."""
+    return {"=" + r.casefold() for t in texts if t and _SEVERAL.search(t) for token in t.split() for r in readings(token)}
+
+
+def answered_readings(word: str) -> list[str]:
+    return ["=" + by_table(word).casefold()]
+
+
 _FIGURES = re.compile(r"\d+(?:[./:\-,٫٬]\d+)*")
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import mixing, packing, reading_level, repeated_lines, reply_defects, same_look, scan_repair, splitting
-from .common import vocabulary, written
+from .common import Lexicon, vocabulary, written
 
 
-def _words(spark: SparkSession, d: str) -> list[str]:
+def _words(spark: SparkSession, d: str) -> Lexicon:
     return vocabulary(table(spark, d, "lexicon"))
 
 

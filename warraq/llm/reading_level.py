@@ -30,8 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, once
-from .look import LookForm, Wording
+from .common import Lexicon, arrow_map, once, sent, with_rest
+from .look import LookForm, Wording, answered_readings, asked_readings
 from .repeated_lines import document_items, hash64, site_sets
 
 SAMPLES = 10_000
@@ -159,17 +159,18 @@ def fit(samples: list[tuple[int, str]], vocabulary: list[str]) -> Model:
 LEVELS = "doc_id long, level int, hard_words long, words long, hard_share double"
 
 
-def levels(documents: DataFrame, samples: DataFrame, vocabulary: list[str]) -> DataFrame:
+def levels(documents: DataFrame, samples: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """(doc_id, level, hard_words, words, hard_share): each document once."""
     graded = samples.where("level between 1 and 5 and text is not null").orderBy("sample_id").limit(SAMPLES).select("level", "text").collect()
-    model = fit([(r.level, r.text) for r in graded], vocabulary)
+    own = sent(vocabulary)
+    model = fit([(r.level, r.text) for r in graded], own)
     site, small = site_sets(document_items(documents), vocabulary)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "text", F.when(F.col("source").isNotNull(), F.xxhash64(F.lit("document"), F.col("source").cast("string"))).alias("gid"))
     docs = docs.join(F.broadcast(site) if small else site, "gid", "left")
 
     def start():
-        looks = once(LookForm, vocabulary)
-        plain, wording = Plain(looks), Wording(looks)
+        looks = once(LookForm, own)
+        usual = Plain(looks), Wording(looks)
         known: dict[tuple[str, ...], int | None] = {}
 
         def level_of(words: list[str]) -> int | None:
@@ -182,7 +183,8 @@ def levels(documents: DataFrame, samples: DataFrame, vocabulary: list[str]) -> D
 
         def work(c: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "level", "hard_words", "words", "hard_share")}
-            for doc, title, text, site in zip(c["doc_id"], c["title"], c["text"], c["site"]):
+            for doc, title, text, site, rest in zip(*(c[k] for k in ("doc_id", "title", "text", "site", "rest_words"))):
+                plain, wording = (Plain(looks.also(rest)), Wording(looks.also(rest))) if rest else usual
                 aside = set(site or ())
                 if title:
                     aside.add(hash64(wording.line(title)))
@@ -198,4 +200,5 @@ def levels(documents: DataFrame, samples: DataFrame, vocabulary: list[str]) -> D
 
         return work
 
-    return arrow_map(docs.select("doc_id", "title", "text", "site"), start, LEVELS).dropDuplicates(["doc_id"])
+    docs = with_rest(docs.select("doc_id", "title", "text", "site"), ["doc_id"], vocabulary, lambda: lambda c: (asked_readings(x) for x in zip(c["title"], c["text"])), answered_readings)
+    return arrow_map(docs, start, LEVELS).dropDuplicates(["doc_id"])

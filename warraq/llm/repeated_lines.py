@@ -31,8 +31,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, once
-from .look import LookForm, Wording
+from .common import Lexicon, arrow_map, once, sent, with_rest
+from .look import LookForm, Wording, answered_readings, asked_readings
 
 #: A wording is repeated if it stands on this share of the source's pages, and on at least so many.
 SHARE, LEAST = 0.1, 5
@@ -48,18 +48,21 @@ def hash64(text: str) -> int:
     return (xxhash.xxh3_64_intdigest(text) ^ (1 << 63)) - (1 << 63)
 
 
-def line_rows(items: DataFrame, words: list[str]) -> DataFrame:
+def line_rows(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """One row per line with a letter; ``items`` has kind, source, page, item_id, lines (array of string)."""
+    own = sent(words)
 
     def start():
-        wording = Wording(once(LookForm, words))
+        look = once(LookForm, own)
+        usual = Wording(look)
 
         def work(c: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("kind", "source", "page", "item_id", "line_no", "wording")}
             add = [out[k].append for k in out]
-            for kind, source, page, item, lines in zip(c["kind"], c["source"], c["page"], c["item_id"], c["lines"]):
+            for kind, source, page, item, lines, rest in zip(*(c[k] for k in ("kind", "source", "page", "item_id", "lines", "rest_words"))):
                 if source is None or lines is None:
                     continue
+                wording = Wording(look.also(rest)) if rest else usual
                 for no, line in enumerate(lines, 1):
                     if line and _LETTER.search(w := wording.line(line)):
                         for put, value in zip(add, (kind, source, page, item, no, hash64(w))):
@@ -68,7 +71,12 @@ def line_rows(items: DataFrame, words: list[str]) -> DataFrame:
 
         return work
 
-    return arrow_map(items.select("kind", "source", "page", "item_id", "lines"), start, ROWS)
+    return arrow_map(with_readings(items.select("kind", "source", "page", "item_id", "lines"), words), start, ROWS)
+
+
+def with_readings(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
+    """Items (kind, item_id, lines) with the rarer words that decide how their lines look."""
+    return with_rest(items, ["kind", "item_id"], words, lambda: lambda c: (asked_readings(x or ()) for x in c["lines"]), answered_readings)
 
 
 def summarize(keys: np.ndarray, words: np.ndarray, counts: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,7 +160,7 @@ def document_items(documents: DataFrame) -> DataFrame:
     )
 
 
-def find(items: DataFrame, words: list[str]) -> DataFrame:
+def find(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(kind, item_id, line_no) of every repeated line of the items."""
     rows = line_rows(items, words).persist(StorageLevel.DISK_ONLY)
     return repeated(rows, items.select("kind", "source", "page"))[0]
@@ -162,7 +170,7 @@ def find(items: DataFrame, words: list[str]) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def site_sets(items: DataFrame, words: list[str]) -> tuple[DataFrame, bool]:
+def site_sets(items: DataFrame, words: Lexicon | list[str]) -> tuple[DataFrame, bool]:
     """(gid, site): the hashes of each source's confirmed wordings, and whether the table is small enough to broadcast.
 
     A wording stands on a tenth of its source's pages, so a set has at most ten times a page's lines.
@@ -172,23 +180,26 @@ def site_sets(items: DataFrame, words: list[str]) -> tuple[DataFrame, bool]:
     return wordings.groupBy("gid").agg(F.collect_set("wording").alias("site")), wordings.count() <= BROADCAST_ROWS
 
 
-def without(items: DataFrame, words: list[str]) -> DataFrame:
+def without(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(kind, item_id, lines, removed): each item once, without its source's repeated lines, and how many went.
 
     The confirmed wordings go to the texts as broadcast sets; texts are shuffled once, to drop copies.
     """
     sets, small = site_sets(items, words)
     own = items.select("kind", "item_id", "lines", F.when(F.col("source").isNotNull(), F.xxhash64("kind", "source")).alias("gid"))
-    own = own.join(F.broadcast(sets) if small else sets, "gid", "left").select("kind", "item_id", "lines", "site")
+    own = with_readings(own.join(F.broadcast(sets) if small else sets, "gid", "left").select("kind", "item_id", "lines", "site"), words)
+    top = sent(words)
 
     def start():
-        wording = Wording(once(LookForm, words))
+        look = once(LookForm, top)
+        usual = Wording(look)
 
-        def kept(lines: list[str | None], site: set[int]) -> list[str | None]:
+        def kept(lines: list[str | None], site: set[int], rest: list[str] | None) -> list[str | None]:
+            wording = Wording(look.also(rest)) if rest else usual
             return [x for x in lines if not (x and _LETTER.search(w := wording.line(x)) and hash64(w) in site)]
 
         def work(c: dict) -> dict:
-            made = [x if x is None or not site else kept(x, set(site)) for x, site in zip(c["lines"], c["site"])]
+            made = [x if x is None or not site else kept(x, set(site), rest) for x, site, rest in zip(c["lines"], c["site"], c["rest_words"])]
             return {"kind": c["kind"], "item_id": c["item_id"], "lines": made, "removed": [0 if a is None else len(a) - len(b) for a, b in zip(c["lines"], made)]}
 
         return work

@@ -25,13 +25,14 @@ All work is per row: no shuffle but that which drops copies of an exchange.
 
 from __future__ import annotations
 
+import copy
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, once
-from .look import LookForm
+from .common import Lexicon, arrow_map, once, sent, with_rest
+from .look import LookForm, answered_readings, asked_readings, by_table
 from .refusals import Refusals, clauses
 
 SHINGLE, ALIKE = 5, 0.8
@@ -95,6 +96,26 @@ def common_subsequence(a: list[str], b: list[str]) -> list[int]:
     return met[::-1]
 
 
+def _word_key(word: str) -> str:
+    return _MARKS.sub("", by_table(word)).casefold()
+
+
+def answers(word: str) -> list[str]:
+    """The keys that a rarer word answers: itself, and its beginnings."""
+    w = _word_key(word)
+    return ["=" + w, *answered_readings(word), *("^" + w[:i] for i in range(1, len(w)))]
+
+
+class Either:
+    """Membership in one of two sets."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+
+    def __contains__(self, x) -> bool:
+        return x in self.a or x in self.b
+
+
 class Judge:
     """The defects of one exchange at a time; built once a task."""
 
@@ -104,6 +125,24 @@ class Judge:
         self.beginnings = {w[:i] for w in self.known for i in range(1, len(w))}
         self.refusals = refusals or Refusals()
 
+    def also(self, rest: list[str] | None) -> Judge:
+        """The judge of a vocabulary that goes on with rarer words."""
+        if not rest:
+            return self
+        both = copy.copy(self)
+        both.look = self.look.also(rest)
+        more = {_word_key(w) for w in rest}
+        both.known = Either(self.known, more)
+        both.beginnings = Either(self.beginnings, {w[:i] for w in more for i in range(1, len(w))})
+        return both
+
+    def asks(self, prompt: str | None, text: str | None) -> set[str]:
+        """The keys of rarer words that bear on an exchange, for ``common.with_rest``."""
+        own = "\n".join(filter(None, map(self.look.text, (text or "").split("\n"))))
+        words = words_of(own) + words_of(question_of("\n".join(map(self.look.text, (prompt or "").split("\n")))))
+        last = words_of(own)[-1:]
+        return {"=" + w for w in words if w not in self.known} | {"^" + w for w in last} | asked_readings([prompt, text])
+
     def language(self, text: str) -> str | None:
         """ar, en, other, or None where nothing tells."""
         words = [w for w in words_of(_CITED.sub(" ", text)) if w.isalpha() or "'" in w or "’" in w]
@@ -211,16 +250,17 @@ class Judge:
         return found
 
 
-def find(exchanges: DataFrame, words: list[str]) -> DataFrame:
+def find(exchanges: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(exchange_id, defect) of every defective exchange of an arm."""
+    own = sent(words)
 
     def start():
-        judge = once(Judge, words)
+        judge = once(Judge, own)
 
         def work(c: dict) -> dict:
             out: dict[str, list] = {"exchange_id": [], "defect": []}
-            for i, prompt, text in zip(c["exchange_id"], c["prompt"], c["text"]):
-                for defect in judge.defects(prompt, text):
+            for i, prompt, text, rest in zip(c["exchange_id"], c["prompt"], c["text"], c["rest_words"]):
+                for defect in judge.also(rest).defects(prompt, text):
                     out["exchange_id"].append(i)
                     out["defect"].append(defect)
             return out
@@ -228,4 +268,9 @@ def find(exchanges: DataFrame, words: list[str]) -> DataFrame:
         return work
 
     arms = exchanges.where(F.lower("purpose").startswith("arm")).select(F.col("exchange_id").cast("long").alias("exchange_id"), "prompt", "text")
-    return arrow_map(arms.dropDuplicates(["exchange_id"]), start, "exchange_id long, defect string")
+
+    def asks():
+        judge = once(Judge, own)
+        return lambda c: (judge.asks(p, t) for p, t in zip(c["prompt"], c["text"]))
+
+    return arrow_map(with_rest(arms.dropDuplicates(["exchange_id"]), ["exchange_id"], words, asks, answers), start, "exchange_id long, defect string")

@@ -19,19 +19,20 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, once
-from .look import LookForm
+from .common import Lexicon, arrow_map, once, sent, with_rest
+from .look import LookForm, answered_readings, asked_readings
 
 
-def forms(items: DataFrame, words: list[str], keep_text: bool = False) -> DataFrame:
+def forms(items: DataFrame, words: Lexicon | list[str], keep_text: bool = False) -> DataFrame:
     """Each item's form: kind, doc_id, item_id and either the form itself or 128-bit hashes of text and form."""
+    own = sent(words)
 
     def start():
-        look = once(LookForm, words)
+        look = once(LookForm, own)
 
         def work(c: dict) -> dict:
             out = {k: c[k] for k in ("kind", "doc_id", "item_id")}
-            made = [look.text(t) for t in c["text"]]
+            made = [look.also(rest).text(t) for t, rest in zip(c["text"], c["rest_words"])]
             if keep_text:
                 return out | {"form": made, "changed": [None if t is None else f != t for t, f in zip(c["text"], made)]}
             digest = lambda s: None if s is None else xxhash.xxh3_128_digest(s)
@@ -40,7 +41,9 @@ def forms(items: DataFrame, words: list[str], keep_text: bool = False) -> DataFr
         return work
 
     schema = "kind string, doc_id string, item_id long, " + ("form string, changed boolean" if keep_text else "form binary, spelt binary")
-    return arrow_map(items.select("kind", "doc_id", "item_id", "text"), start, schema)
+    plain = items.select("kind", "doc_id", "item_id", "text")
+    plain = with_rest(plain, ["kind", "item_id"], words, lambda: lambda c: (asked_readings([t]) for t in c["text"]), answered_readings)
+    return arrow_map(plain.select("kind", "doc_id", "item_id", "text", "rest_words"), start, schema)
 
 
 def unit_texts(units: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def calendar_texts(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit("calendar_row").alias("kind"), F.col("doc_id").cast("string").alias("doc_id"), F.col("row_id").cast("long").alias("item_id"), F.col("title_ar").alias("text"))
 
 
-def pairs(items: DataFrame, words: list[str]) -> DataFrame:
+def pairs(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(kind, id_a, id_b), id_a < id_b: rows of one document that look the same and differ in their characters."""
     made = forms(items.where("doc_id is not null and text is not null and item_id is not null"), words).persist(StorageLevel.MEMORY_AND_DISK)
     key = ["kind", "doc_id", "form"]
@@ -61,7 +64,7 @@ def pairs(items: DataFrame, words: list[str]) -> DataFrame:
     return a.join(b, key).where("id_a < id_b and spelt <> other").select("kind", "id_a", "id_b").distinct()
 
 
-def classes(items: DataFrame, words: list[str]) -> DataFrame:
+def classes(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(kind, doc_id, item_id, class_id, members, spellings): each item of a document that looks like another, with its class.
 
     ``class_id`` is the class's least id.  A row an item, however large a class is: pairs grow with the square of it.
@@ -73,6 +76,6 @@ def classes(items: DataFrame, words: list[str]) -> DataFrame:
     return made.join(of, key).select("kind", "doc_id", "item_id", "class_id", "members", "spellings")
 
 
-def canonical(items: DataFrame, words: list[str]) -> DataFrame:
+def canonical(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(kind, item_id, form, changed): each item once, in the one consistent form."""
     return forms(items.dropDuplicates(["kind", "item_id"]), words, keep_text=True).select("kind", "item_id", "form", "changed")

@@ -32,7 +32,10 @@ running lines or page numbers.  Copies of an item count once.
 
 from __future__ import annotations
 
+import copy
 import re
+from collections import ChainMap
+from collections.abc import Callable, Iterator, MutableMapping
 from itertools import combinations
 
 import numpy as np
@@ -40,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, once, written
-from .look import LookForm, Wording
+from .common import Lexicon, arrow_map, once, sent, with_rest, written
+from .look import LookForm, Wording, answered_readings, asked_readings, by_table
 from .repeated_lines import hash64, repeated
 
 #: A running line stands on this share of the document's pages, and on two at least.
@@ -74,9 +77,9 @@ class Words:
 
     def __init__(self, words: list[str]):
         self.look = LookForm(words)
-        self.known = {self.plain(self.look[w]) for w in words}
-        self.one: dict[str, str] = {}
-        self.two: dict[str, str] = {}
+        self.known: MutableMapping[str, str] = {}  # plain -> as spelt
+        self.one: MutableMapping[str, str] = {}
+        self.two: MutableMapping[str, str] = {}
         for w in map(self.plain, map(self.look.__getitem__, words)):
             for i in range(len(w)):
                 self.one.setdefault(w[:i] + "\0" + w[i + 1 :], w)
@@ -84,9 +87,47 @@ class Words:
                 for i, j in combinations(range(len(w)), 2):
                     self.two.setdefault(w[:i] + "\0" + w[i + 1 : j] + "\0" + w[j + 1 :], w)
         self.judged: dict[str, int] = {}
-        self.spelt: dict[str, str] = {}
         for w in words:
-            self.spelt.setdefault(self.plain(self.look[w]), w)
+            self.known.setdefault(self.plain(self.look[w]), w)
+
+    def also(self, rest: list[str] | None) -> Words:
+        """What is known of words with a vocabulary that goes on with rarer ones."""
+        if not rest:
+            return self
+        more, both = Words(rest), copy.copy(self)
+        both.look = self.look.also(rest)
+        both.known, both.one, both.two = ChainMap(self.known, more.known), ChainMap(self.one, more.one), ChainMap(self.two, more.two)
+        both.judged = {}
+        return both
+
+    def asks(self, lines: list[list[str]]) -> set[str]:
+        """The keys of rarer words that bear on lines of tokens, for ``common.with_rest``."""
+        wanted: set[str] = set()
+        filled = [[t for t in ts if self.look[t]] for ts in lines]
+        filled = [ts for ts in filled if ts]
+        for i, ts in enumerate(filled):
+            for token in ts:
+                wanted |= self._strings(token)
+            for after in filled[i + 1 : i + 1 + REACH]:
+                wanted |= self._joined(ts[-1], after[0])
+        return {k for w in wanted for k in deletions(w)} | asked_readings([t for ts in filled for t in ts])
+
+    def _strings(self, token: str) -> set[str]:
+        """What is looked up to judge a token."""
+        form = self.look[token]
+        word, bare = self.plain(self.trimmed(form)), self.plain(form)
+        if word in self.known or not word:
+            return set()
+        at = bare.find(word)
+        near = {bare[max(0, at - 1) : at + len(word)], bare[at : at + len(word) + 1]} if at >= 0 else set()
+        return {word, *(p for p in re.split(r"[-–/'’|]", word) if p), *near}
+
+    def _joined(self, raw: str, after: str) -> set[str]:
+        """What is looked up to judge whether a word goes on."""
+        seen = _UNSEEN_END.sub("", raw)
+        mark = _BREAK_MARK.search(seen)
+        head, tail = self.plain(self.trimmed(self.look[seen[: mark.start()] if mark else seen])), self.plain(self.trimmed(self.look[after]))
+        return {x for x in (head, tail, head + tail) if x}
 
     @staticmethod
     def plain(word: str) -> str:
@@ -157,7 +198,7 @@ class Words:
             return form
         core = self.trimmed(form)
         near = self.nearest(self.plain(core))
-        return form.replace(core, self.spelt.get(near, near)) if near else form
+        return form.replace(core, self.known.get(near, near)) if near else form
 
     def broken(self, raw: str, after: str) -> tuple[bool, bool, bool]:
         """Whether a line's last token (as stored) goes on in the next line's first; and which of both is misread."""
@@ -185,6 +226,38 @@ class Words:
         return not apart and (head not in self.known or tail not in self.known), False, False
 
 
+def deletions(word: str) -> list[str]:
+    """The keys that a plain word asks for: itself, what it may be a misreading of, and itself without one or two characters."""
+    n = len(word)
+    keys = ["=" + word]
+    for a, b in TWO_FOR_ONE:
+        for x, y in ((a, b), (b, a)):
+            at = word.find(x)
+            while at >= 0:
+                keys.append("=" + word[:at] + y + word[at + len(x) :])
+                at = word.find(x, at + 1)
+    keys += ["1" + word[:i] + "\0" + word[i + 1 :] for i in range(n)]
+    if n >= 6:
+        keys += ["2" + word[:i] + "\0" + word[i + 1 : j] + "\0" + word[j + 1 :] for i, j in combinations(range(n), 2)]
+    return keys
+
+
+def answers(word: str) -> list[str]:
+    """The keys that a rarer word answers."""
+    return [*deletions(Words.plain(by_table(word))), *answered_readings(word)]
+
+
+def with_words(items: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
+    """Items (kind, item_id, lines) with the rarer words that bear on their lines."""
+    own = sent(vocabulary)
+
+    def asks():
+        words = once(Words, own)
+        return lambda c: (words.asks([x.split() for x in lines or () if x]) for lines in c["lines"])
+
+    return with_rest(items, ["kind", "item_id"], vocabulary, asks, answers)
+
+
 LINES = "kind string, item_id long, source string, page long, line_no int, wording long, number int, code int, bits int"
 # Bits of a line: what it is found to have, then a bit a line further for where its last word goes on.
 RUNNING, PAGED, MISREAD, STARTS, BROKEN = 1, 2, 4, 8, 16
@@ -245,17 +318,20 @@ def read_lines(words: Words, wording: Wording, lines: list[str | None]) -> list[
     return out
 
 
-def line_rows(items: DataFrame, vocabulary: list[str]) -> DataFrame:
+def line_rows(items: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """A compact row per line of items (kind, item_id, source, page, lines)."""
     names = [c.split()[0] for c in LINES.split(", ")]
+    own = sent(vocabulary)
 
     def start():
-        words = once(Words, vocabulary)
-        wording = Wording(words.look)
+        top = once(Words, own)
+        usual = Wording(top.look)
 
         def work(c: dict) -> dict:
             out: list[list] = [[] for _ in names]
-            for kind, item, source, page, lines in zip(c["kind"], c["item_id"], c["source"], c["page"], c["lines"]):
+            for kind, item, source, page, lines, rest in zip(*(c[k] for k in ("kind", "item_id", "source", "page", "lines", "rest_words"))):
+                words = top.also(rest)
+                wording = Wording(words.look) if rest else usual
                 for row in read_lines(words, wording, lines or []):
                     for put, value in zip(out, (kind, item, source, page, *row)):
                         put.append(value)
@@ -263,7 +339,7 @@ def line_rows(items: DataFrame, vocabulary: list[str]) -> DataFrame:
 
         return work
 
-    return arrow_map(items.select("kind", "item_id", "source", "page", "lines"), start, LINES)
+    return arrow_map(with_words(items.select("kind", "item_id", "source", "page", "lines"), vocabulary), start, LINES)
 
 
 # ---------------------------------------------------------------- the labels
@@ -433,7 +509,7 @@ def fitted(codes: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return counts
 
 
-def labelled(items: DataFrame, vocabulary: list[str]) -> DataFrame:
+def labelled(items: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """(kind, item_id, source, page, lines, decided): the filled lines of each item, and what is decided of each."""
     rows = written(line_rows(items, vocabulary))  # read many times: its own plan would be part of each reader's
     pages = items.select("source", "page").where("page is not null and source is not null")
@@ -604,24 +680,43 @@ class Element:
         return " ".join(filter(None, out))
 
 
-def _read_elements(alone: DataFrame, noise: DataFrame, vocabulary: list[str], name: str, kind: str, of) -> DataFrame:
+def _read_elements(alone: DataFrame, noise: DataFrame, vocabulary: Lexicon | list[str], name: str, kind: str, of) -> DataFrame:
     """(item_id, line_no, name): ``of`` each element that no unit accounts for."""
 
+    own = sent(vocabulary)
+
+    def elements_of(words: Words, c: dict) -> Iterator[Element]:
+        usual = Wording(words.look)
+        for t, p, w, o, rest in zip(c["text"], c["page"], c["wordings"], c["offset"], c.get("rest_words") or [None] * len(c["text"])):
+            known = words.also(rest)
+            yield Element(known, Wording(known.look) if rest else usual, t, p, w or [], o)
+
+    def asks():
+        words = once(Words, own)
+
+        def ask(c: dict):
+            for e in elements_of(words, c):
+                kept = [e.tokens[i] for i in e.kept]
+                # every kept token beside the next, as if each stood on a line of its own
+                yield words.asks([[t] for t in kept]) | words.asks([e.tokens])
+
+        return ask
+
     def start():
-        words = once(Words, vocabulary)
-        wording = Wording(words.look)
+        words = once(Words, own)
 
         def work(c: dict) -> dict:
-            made = [of(Element(words, wording, t, p, w or [], o)) for t, p, w, o in zip(c["text"], c["page"], c["wordings"], c["offset"])]
+            made = list(map(of, elements_of(words, c)))
             return {"item_id": c["item_id"], "line_no": c["line_no"], name: made}
 
         return work
 
     both = alone.join(noise, "source", "left").select("item_id", "line_no", "page", "text", "wordings", "offset")
+    both = with_rest(both, ["item_id", "line_no"], vocabulary, asks, answers)
     return arrow_map(both, start, f"item_id long, line_no int, {name} {kind}")
 
 
-def element_defects(alone: DataFrame, noise: DataFrame, vocabulary: list[str]) -> DataFrame:
+def element_defects(alone: DataFrame, noise: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """(item_id, line_no, defect) of draft elements that no unit accounts for, each checked as one line."""
     made = _read_elements(alone, noise, vocabulary, "defects", "array<string>", Element.defects)
     return made.select("item_id", "line_no", F.explode("defects").alias("defect"))
@@ -645,7 +740,7 @@ def elements(units: DataFrame, readings: DataFrame, drafts: DataFrame) -> tuple[
     return parts, matched, keyed.join(of.select(key).distinct(), key, "left_anti").drop(*held)
 
 
-def find(units: DataFrame, readings: DataFrame, drafts: DataFrame, vocabulary: list[str]) -> DataFrame:
+def find(units: DataFrame, readings: DataFrame, drafts: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """(kind, item_id, line_no, defect) over readings, scanned units and the drafts made of them."""
     items = unit_items(units).unionByName(reading_items(readings))
     labels = written(labelled(items, vocabulary))
@@ -657,7 +752,7 @@ def find(units: DataFrame, readings: DataFrame, drafts: DataFrame, vocabulary: l
     return lines.unionByName(of_drafts.select(F.lit("draft").alias("kind"), "item_id", "line_no", "defect")).distinct()
 
 
-def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None = None) -> DataFrame:
+def paragraphs(items: DataFrame, vocabulary: Lexicon | list[str], labels: DataFrame | None = None) -> DataFrame:
     """(kind, item_id, paragraphs, text): running lines and page numbers dropped, broken words joined, misread words put right.
 
     A misread word becomes the vocabulary word nearest to it, in the letter case that the vocabulary has.
@@ -665,12 +760,13 @@ def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None
     """
     labels = labelled(items, vocabulary) if labels is None else labels
     labels = labels.select("kind", "item_id", F.col("lines.line_no").alias("nos"), F.col("lines.bits").alias("bits"), "decided")
-    both = items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"]).join(labels, ["kind", "item_id"], "left")
+    both = with_words(items.select("kind", "item_id", "lines").dropDuplicates(["kind", "item_id"]), vocabulary).join(labels, ["kind", "item_id"], "left")
+    own = sent(vocabulary)
 
     def start():
-        right = once(Words, vocabulary).righted
+        top = once(Words, own)
 
-        def join(kept: list[tuple[str, int, int]]) -> list[str]:
+        def join(right: Callable[[str], str], kept: list[tuple[str, int, int]]) -> list[str]:
             out: list[str] = []
             open_, glue = False, False
             for text, bits, decided in kept:
@@ -690,8 +786,8 @@ def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None
 
         def work(c: dict) -> dict:
             made = []
-            for lines, *labels in zip(c["lines"], c["nos"], c["bits"], c["decided"]):
-                made.append(join([(lines[no - 1] or "", b, d) for no, b, d in zip(*(x or [] for x in labels)) if not d & (HEAD | COUNTED)]))
+            for lines, rest, *labels in zip(*(c[k] for k in ("lines", "rest_words", "nos", "bits", "decided"))):
+                made.append(join(top.also(rest).righted, [(lines[no - 1] or "", b, d) for no, b, d in zip(*(x or [] for x in labels)) if not d & (HEAD | COUNTED)]))
             return {"kind": c["kind"], "item_id": c["item_id"], "paragraphs": made, "text": ["\n\n".join(m) for m in made]}
 
         return work
@@ -699,13 +795,13 @@ def paragraphs(items: DataFrame, vocabulary: list[str], labels: DataFrame | None
     return arrow_map(both, start, "kind string, item_id long, paragraphs array<string>, text string")
 
 
-def repaired_elements(alone: DataFrame, noise: DataFrame, vocabulary: list[str]) -> DataFrame:
+def repaired_elements(alone: DataFrame, noise: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """(item_id, line_no, paragraphs) of draft elements that no unit accounts for, each put right as one paragraph."""
     made = _read_elements(alone, noise, vocabulary, "text", "string", Element.put_right)
     return made.select("item_id", "line_no", F.filter(F.array("text"), lambda t: t != "").alias("paragraphs"))
 
 
-def draft_paragraphs(units: DataFrame, readings: DataFrame, drafts: DataFrame, made: DataFrame, labels: DataFrame, vocabulary: list[str]) -> DataFrame:
+def draft_paragraphs(units: DataFrame, readings: DataFrame, drafts: DataFrame, made: DataFrame, labels: DataFrame, vocabulary: Lexicon | list[str]) -> DataFrame:
     """(kind, item_id, paragraphs, text) of the drafts of scanned documents; ``made`` has the paragraphs of scanned units, ``labels`` their lines'.
 
     An element is the paragraphs of the unit it was made of, or is put right for itself.  A draft without text has none.

@@ -94,3 +94,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     batch = {tuple(r) for r in logs.by_hour(logged, "at", "kind").collect()}
     assert {tuple(r) for r in spark.table("hours").collect()} == batch
+
+
+def test_limits_follow_what_was_allowed(spark):
+    import datetime as dt
+    import random
+
+    rng, rows = random.Random(6), []
+    for u in ("a", "b", None):
+        t = 0
+        for i in range(60):
+            t += rng.choice([0, 1, 5, 20, 70])
+            rows.append((len(rows), u, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "event_id long, user string, ts timestamp").repartition(4)
+    want, let = {}, {}
+    for e, u, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        own = let.setdefault(u, [])
+        want[e] = sum((t - x).total_seconds() < 60 for x in own) < 3
+        if want[e]:
+            own.append(t)
+    assert {r.event_id: r.allowed for r in logs.limited(df, "user", "ts", 3).collect()} == want
+    assert logs.limited(df.limit(0), "user", "ts", 3).count() == 0
+
+
+def test_requests_are_served_once(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    rows = [("r1", "2026-01-01T00:00:00Z", "call 0501234567890"), ("r1", "2026-01-01T00:00:01Z", "call 0501234567890"), ("r2", "2026-01-01T00:00:02Z", " "), ("r3", "2026-01-01T00:00:03Z", "who?")]
+    spark.createDataFrame(rows, "request_id string, at string, question string").write.json(src)
+    stream = spark.readStream.schema("request_id string, at timestamp, question string").json(src)
+    told = []
+    listener = logs.Progress(lambda batch, n: told.append(n))
+    spark.streams.addListener(listener)
+    answer = lambda df: df.withColumn("answer", F.concat(F.lit("re: "), "question"))
+    logs.served(stream, answer, out, cp).awaitTermination(120)
+    spark.streams.removeListener(listener)
+    got = {r.request_id: r.answer for r in spark.read.parquet(out).collect()}
+    assert got == {"r1": "re: call [redacted]", "r3": "re: who?"} and spark.read.parquet(out).count() == 2
+    logs.served(stream, answer, out, cp).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 2

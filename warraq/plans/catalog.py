@@ -88,6 +88,22 @@ def bm25_ablation(spark, d):
     return rows
 
 
+def _ranked_sql(name: str, steps: tuple[bool, bool, bool]) -> str:
+    own = _KNOWN.format(name="", terms=S.terms("text", *steps), title=S.terms("coalesce(title, '')", *steps))
+    return f"{name} as (select * from ({own[: own.rindex('select ' + chr(39))].rstrip()} select q_id, item_id, rank from ranked where rank <= 100))"
+
+
+@query(
+    f"""with {_ranked_sql("a", _ANALYZERS["stemmed"])}, {_ranked_sql("b", _ANALYZERS["as written"])}, merged as (select *, 0 as ranking from a union all select *, 1 from b),
+    fused as (select q_id, item_id, round(sum(1.0::double / (60 + rank)), 9) as score, min((ranking, rank)) as first from merged group by 1, 2)
+    select q_id, item_id, rank, score from (select q_id, item_id, score, row_number() over (partition by q_id order by score desc, first) as rank from fused) where rank <= 20"""
+)
+def lexical_fusion(spark, d):
+    """BM25 under the full analyzer and of the words as written, fused."""
+    full, plain = _search(spark, d, k=100), _search(spark, d, k=100, normalize=False, stopwords=False, stem=False)
+    return retrieval.fuse([full, plain], 20)
+
+
 @query(
     f"""with toks as (select doc_id, {S.terms('text')} as ts from documents)
     select term, count(distinct doc_id) as df, round(ln(1 + ((select count(*) from documents) - count(distinct doc_id) + 0.5) / (count(distinct doc_id) + 0.5)), 6) as idf
@@ -178,6 +194,26 @@ def recall_by_label(spark, d):
     return evaluation.summary(per, "label")
 
 
+_CONFIGS = f"""{_RANKINGS}, c as (select 'full' as config, q_id, item_id, rank from a union all select 'short', q_id, item_id, rank from b union all select 'fused', q_id, item_id, rank from ranked),
+    per as (select config, q_id, max(case when b.label = q.label and rank <= 1 then 1.0 else 0.0 end) as r1, max(case when b.label = q.label and rank <= 5 then 1.0 else 0.0 end) as r5, max(case when b.label = q.label and rank <= 10 then 1.0 / rank else 0.0 end) as rr
+        from c join embeddings q on q.vec_id = q_id join embeddings b on b.vec_id = item_id where q_id <> item_id group by 1, 2)
+    select config, count(*) as questions, round(avg(r1), 6) as recall_1, round(avg(r5), 6) as recall_5, round(avg(rr), 6) as mrr_10 from per group by 1"""
+
+
+@query(_CONFIGS)
+def hybrid_evaluation(spark, d):
+    """Recall and reciprocal rank of two rankings and of their fusion, where another vector of the same label is relevant."""
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    a, b = _two(spark, d)
+    made = None
+    for name, r in (("full", a), ("short", b), ("fused", retrieval.fuse([a, b]))):
+        own = r.where("q_id <> item_id").join(e.select(F.col("vec_id").alias("q_id"), "label"), "q_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("other")), "item_id")
+        best = own.groupBy(F.col("q_id").alias("qid")).agg(F.min(F.when(F.col("label") == F.col("other"), F.col("rank"))).alias("rank")).withColumn("held", F.col("rank").isNotNull()).withColumn("quote_no", F.lit(1))
+        part = evaluation.summary(evaluation.per_question(best)).select(F.lit(name).alias("config"), "questions", "recall_1", "recall_5", "mrr_10")
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
 _EW = lambda x: f"' ' || array_to_string(regexp_extract_all({S.norm(x)}, '\\p{{Nd}}+|[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), ' ') || ' '"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, tokens
 from ..operators import answers, calendars, evaluation, flow, gold, labels, layout, pages, quality, structure, tables
 from ..sources import engines, readers
+from ..streaming import logs
 from .registry import golden
 
 # ------------------------------------------------------------------ labels, lines, units
@@ -490,3 +491,14 @@ def rewritten_search(spark):
     queries = flow.rewritten(questions, lambda q: ["y"] if q == "x" else [])
     found = spark.createDataFrame([("x", 1, 1), ("x", 2, 2), ("y", 2, 1), ("z", 3, 1)], "query string, item_id long, rank int")
     return flow.searched(queries, lambda qs: qs.join(found, "query").select("q_id", "item_id", "rank"), 5)
+
+
+# ------------------------------------------------------------------ requests
+
+
+@golden("event_id, allowed", [(1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True)])
+def limited_events(spark):
+    """At most two events a minute of each user: what isn't allowed doesn't count."""
+    rows = [(1, "u", 0), (2, "u", 10), (3, "u", 20), (4, "u", 60), (5, "u", 65), (6, "u", 70), (7, "v", 20)]
+    df = spark.createDataFrame(rows, "event_id long, user string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    return logs.limited(df, "user", "ts", 2).select("event_id", "allowed")

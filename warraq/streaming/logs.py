@@ -5,9 +5,14 @@ Late data: a watermark of ten minutes, ours to choose; state is dropped beyond i
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.text import redact
 
@@ -63,3 +68,61 @@ def rolling(events: DataFrame, key: str, at: str, value: str, seconds: int = 60)
 def replayed(requests: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered from the store, still to ask) of requests by key."""
     return requests.join(store, "key"), requests.join(store.select("key"), "key", "left_anti")
+
+
+def limited(events: DataFrame, key: str, at: str, most: int, seconds: int = 60, event: str = "event_id") -> DataFrame:
+    """Adds ``allowed``: whether a key's event comes when under ``most`` of its events were allowed in the seconds before.
+
+    What is allowed depends on what was, but not across a pause of ``seconds`` or more, so a key's events are read in
+    stretches between pauses, each by one task; ties in time go by the event's id.  A null key is a key.
+    """
+    from pyspark.sql import Window
+
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    order = Window.partitionBy(key).orderBy("_us", event)
+    own = events.withColumn("_us", us)
+    pause = F.coalesce(F.col("_us") - F.lag("_us").over(order) >= seconds * 1_000_000, F.lit(True))
+    own = own.withColumn("_pause", pause).withColumn("_stretch", F.sum(F.col("_pause").cast("int")).over(order))
+    kind = dict(events.dtypes)[event]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        let: deque[int] = deque()
+        rows = []
+        for e, t in sorted(zip(pdf[event], pdf["_us"]), key=lambda x: (x[1], x[0])):
+            while let and t - let[0] >= seconds * 1_000_000:
+                let.popleft()
+            rows.append((e, len(let) < most))
+            if rows[-1][1]:
+                let.append(t)
+        return pd.DataFrame(rows, columns=[event, "allowed"])
+
+    return events.join(own.select(key, "_stretch", event, "_us").groupBy(key, "_stretch").applyInPandas(run, f"{event} {kind}, allowed boolean"), event)
+
+
+def served(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "request_id", at: str = "at") -> StreamingQuery:
+    """Requests of a stream accepted, kept once, answered batch by batch and logged; what is there now is served, then the query ends.
+
+    ``answer`` takes a batch of requests and gives the rows to log.  A batch that is tried again after a failure writes
+    over what it wrote, so every request is logged once.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        answer(df).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return once(accepted(requests), key, at).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``tell(batch, rows)`` after each batch of any stream of the session."""
+
+    def __init__(self, tell: Callable[[int, int], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...

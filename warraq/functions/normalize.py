@@ -148,7 +148,8 @@ def _composed(s: pd.Series) -> pd.Series:
 def nfc(c: Column) -> Column:
     """Canonical composition, by an Arrow UDF: Spark has no such function."""
     # text in ASCII is composed already
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.pandas_udf(_composed, "string")(c)).otherwise(c)
+    other = c.rlike(r"[^\x00-\x7f]")
+    return F.when(other, F.pandas_udf(_composed, "string")(F.when(other, c))).otherwise(c)
 
 
 def raw_form(c: Column) -> Column:

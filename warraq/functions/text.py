@@ -220,4 +220,6 @@ def _markdown(texts: pd.Series) -> pd.Series:
 
 def markdown_text(c: Column) -> Column:
     """``markdown_plain`` over a column; a text without markup stays in the JVM."""
-    return F.when(c.rlike(r"[\\<*_$&]|(?m)^[ \t]*(?:#{1,6}|[-+])[ \t]"), F.pandas_udf(_markdown, "string")(c)).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    # a function in Python is given every row: texts without markup go there as nulls
+    marked = c.rlike(r"[\\<*_$&]|(?m)^[ \t]*(?:#{1,6}|[-+])[ \t]")
+    return F.when(marked, F.pandas_udf(_markdown, "string")(F.when(marked, c))).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))

@@ -87,13 +87,13 @@ def classified(lines: DataFrame, boilerplate: DataFrame, contents: DataFrame, ma
     open_ = F.col("told").isNull() & ~numbers & F.col("entry").isNull()
     # only lines that hold the article's word go through Python; a heading of the layout counts as certain
     asks = (open_ | (F.col("told") == "heading")) & F.coalesce(for_comparison(F.col("text")).contains(labels.ARTICLE), F.lit(False))
-    own = own.withColumn("l", F.when(asks, labels.article_labels("text")))
+    own = own.withColumn("l", F.when(asks, labels.article_labels(F.when(asks, F.col("text")))))
     found = own.where("l.label is not null").select("doc_id", "page", "seq", F.col("l.number").alias("number"), (F.col("l.certain") | (F.col("told") == "heading")).alias("certain"))
     found = found.withColumn("certain", F.coalesce("certain", F.lit(False)))
     taken = labels.counted(found).where("accepted").select("doc_id", "page", "seq", F.lit(True).alias("accepted"))
     own = own.join(taken, ["doc_id", "page", "seq"], "left")
-    p = F.when(open_ & F.col("accepted").isNull() & F.coalesce(F.col("probe").rlike("|".join(sorted(labels.PARTS))), F.lit(False)), labels.numbered_parts("text"))
-    own = own.withColumn("p", p)
+    may = open_ & F.col("accepted").isNull() & F.coalesce(F.col("probe").rlike("|".join(sorted(labels.PARTS))), F.lit(False))
+    own = own.withColumn("p", F.when(may, labels.numbered_parts(F.when(may, F.col("text")))))
     label = open_ & F.col("accepted").isNotNull()
     part = open_ & F.col("p.part").isNotNull()
     kind = F.when(F.col("told").isNotNull(), F.col("told")).when(numbers, "stop").when(F.col("entry").isNotNull() | label | part, "heading").otherwise("unit")

@@ -28,24 +28,25 @@ STRAY = 1
 SLOTS = {
     "self": "i we me my us i'm i'd i've i'll we're we've assistant model system",
     "not": (
-        "not no never nothing none neither nor without cannot can't won't don't doesn't didn't isn't aren't wasn't couldn't wouldn't shouldn't haven't hasn't unable nowhere "
+        "impossible not no never nothing none neither nor without cannot can't won't don't doesn't didn't isn't aren't wasn't couldn't wouldn't shouldn't haven't hasn't unable nowhere "
         "لا لم لن ليس ليست لست لسنا ما دون بدون غير عدم بلا"
     ),
     "decline": (
         "decline declining refuse refrain abstain unwilling unable prefer rather avoid afraid hesitate skip pass must "
         "اعتذر نعتذر امتنع نمتنع اتحفظ ارفض افضل نفضل يتعذر تعذر يصعب يستحيل تجنب اتجنب الا"
     ),
+    "refuse": "decline declined declining refuse refrain abstain pass اعتذر نعتذر امتنع نمتنع ارفض اتحفظ",
     "can": "can could will would able possible allowed position liberty استطيع نستطيع يمكنني يمكننا يمكن بامكاني بامكاننا بوسعي بوسعنا بمقدوري اقدر نقدر قادر قادرا اتمكن نتمكن اود اريد وسعي امكاني مقدوري",
     "tell": (
         "answer answers answered answering respond response reply replying help helping assist assisting assistance tell say share sharing provide providing provided give giving given offer offering "
-        "discuss discussing comment commenting disclose confirm confirmed determine determined advise advising address addressing speak explain settle supply supplied resolve state "
+        "discuss discussing comment commenting disclose confirm confirmed determine determined advise advising address addressing speak explain settle supply supplied resolve state unanswered conclude establish infer guess clarify clarified elaborate judge verify recommend suggest "
         "الاجابه اجابه اجيب نجيب يجاب الرد ارد نرد رد جواب الجواب جوابا مساعده المساعده مساعدتك اساعد اساعدك تقديم اقدم نقدم اعطاء اعطي اعطيك الحديث التحدث اتحدث الكلام مشاركه اشارك التعليق اعلق افاده "
-        "افيدك الافصاح تزويد تزويدك ازودك اخبار اخبارك اخبرك توضيح اوضح تحديد احدد تاكيد اؤكد البت ابت الخوض اخوض ابداء ابدي"
+        "افيدك الافصاح تزويد تزويدك ازودك اخبار اخبارك اخبرك توضيح اوضح تحديد احدد تاكيد اؤكد البت ابت الخوض اخوض ابداء ابدي اجزم الجزم اقطع القطع احسم اقول القول اتوصل نتوصل التوصل اوافيك"
     ),
     "know": "know have had find found see seen locate hold possess aware sure certain familiar access got read اعرف نعرف اعلم نعلم اجد نجد املك نملك لدي لدينا عندي عندنا اعثر نعثر عثرت وجدت متاكد متاكدا ادري ندري علم لي يتبين يظهر اطلع",
     "exist": "there is are was be been being available exists exist appears appear تتوفر يتوفر توفرت متوفر متوفره تتوافر يتوافر توجد يوجد وجود متاح متاحه هناك هنالك يرد ترد ورد وردت",
     "info": (
-        "answer answers information info detail details data knowledge idea clue facts fact evidence material anything enough response reply source basis mention "
+        "answer answers information info detail details data knowledge idea clue facts fact evidence material anything enough response reply source basis mention advice opinion help guidance "
         "معلومات معلومه المعلومات المعلومه جواب جوابا الجواب اجابه الاجابه بيانات تفاصيل فكره علم شيء شيئا رد ذكر اشاره يكفي كافيه كاف يجيب"
     ),
     "source": (
@@ -53,15 +54,15 @@ SLOTS = {
         "مقطع مقاطع المقاطع النص نص نصوص النصوص وثيقه وثائق الوثائق مصدر مصادر المصادر السياق مستند مستندات المستندات فقرات الفقرات مراجع المراجع محتوي المحتوي"
     ),
     "tells": (
-        "contain contains containing mention mentions mentioned say says cover covers covered address addresses addressed include includes included discuss discusses specify specifies specified give gives "
+        "talk talks talked contain contains containing mention mentions mentioned say says cover covers covered address addresses addressed include includes included discuss discusses specify specifies specified give gives "
         "answer answers answered touch deal deals speak provide provides indicate indicates state states stated explain explains describe describes refer refers treat treats tell tells hold holds "
-        "تذكر يذكر ذكر تحتوي يحتوي تتضمن يتضمن تتطرق يتطرق تتناول يتناول تجيب يجيب تشير يشير تغطي يغطي تنص ينص تبين يبين تورد يورد يرد ترد يرد تشمل يشمل تقدم يقدم تعطي تحدد يحدد تتحدث يتحدث توضح يوضح"
+        "تذكر يذكر ذكر تحتوي يحتوي تتضمن يتضمن تتطرق يتطرق تتناول يتناول تجيب يجيب تشير يشير تغطي يغطي تنص ينص تبين يبين تورد يورد يرد ترد يرد تشمل يشمل تقدم يقدم تعطي تحدد يحدد تتحدث يتحدث توضح يوضح تسعف تسعفني يسعف يسعفني تفيد يفيد"
     ),
-    "silent": "silent silence mute lack lacks lacking omit omits ساكته ساكت صامته صامت تسكت يسكت تخلو يخلو خاليه خال",
+    "silent": "silent silence mute lack lacks lacking omit omits missing absent open unclear ساكته ساكت صامته صامت تسكت يسكت تخلو يخلو خاليه خال",
     "topic": "this that it question questions request topic matter subject issue point query هذا هذه ذلك السؤال سؤال سؤالك الطلب طلب طلبك الموضوع موضوع الامر امر المساله الشان شان الاستفسار استفسارك",
-    "outside": "outside beyond exceeds exceed out unrelated خارج يتجاوز تتجاوز يتعدي يفوق",
+    "outside": "outside beyond exceeds exceed out unrelated خارج يتجاوز يتخطي تتجاوز يتعدي يفوق",
     "scope": "scope knowledge remit area expertise range know competence reach purview ability abilities capabilities can نطاق اختصاص اختصاصي معرفتي معرفه اعرفه اعرف صلاحيتي صلاحياتي مجال مجالي حدود قدرتي علمي معلوماتي",
-    "place": "place role position permitted allowed authorised authorized qualified appropriate right entitled duty up مخول مخولا مصرح مصرحا مؤهل مؤهلا حقي دوري شاني صلاحيتي مسموح مخولين",
+    "place": "place role position permitted allowed authorised authorized qualified appropriate right entitled duty up مخول مخولا مصرح مصرحا مؤهل مؤهلا حقي صلاحيه صلاحيات دوري شاني صلاحيتي مسموح مخولين",
     "only": "only solely just merely فقط سوي انما وحدها فحسب",
     "sorry": "sorry apologies apologise apologize apology unfortunately regrettably regret afraid forgive pardon عذرا اعتذر نعتذر اسف اسفه نأسف ناسف للاسف الاسف معذره المعذره عفوا المعذرة يؤسفني",
     "thanks": "thank thanks grateful appreciate شكرا اشكرك نشكرك نقدر اقدر ممتن",
@@ -77,10 +78,10 @@ SLOTS = {
 }
 # What a refusal is made of, slot by slot.
 REFUSALS = [
-    "self not tell", "self decline tell", "self not can tell", "decline tell", "self not know", "self not know info", "self know not info", "not know info", "not can tell", "self not info",
+    "self not tell", "self decline tell", "self not can tell", "decline tell", "self refuse", "self not know", "self not know info", "self know not info", "not know info", "not can tell", "self not info",
     "source not tells", "not tells source", "source silent", "source exist silent", "not source tells", "source exist not tells", "source tells not",
-    "not info exist", "not exist info", "exist not info", "info not tell", "info not exist", "topic not tell", "not can tell topic", "not info tell", "not info source",
-    "topic outside scope", "topic outside know", "topic exist outside", "outside scope", "topic not place tell", "self not place tell", "not place tell", "not topic place", "inot know", "inot place", "inot can", "not info self", "not know self", "topic not scope",
+    "not info exist", "not exist info", "exist not info", "info not tell", "info not exist", "topic not tell", "not can tell topic", "not info tell", "not info source", "not know source", "not know topic", "not source tells", "not tell source", "not topic source", "self not topic", "info exist silent", "info silent source", "source silent topic",
+    "topic outside scope", "topic outside know", "topic outside tell", "outside self tell", "outside self know", "topic exist outside", "outside scope", "topic not place tell", "self not place tell", "not place tell", "not self place", "self not place", "inot know", "inot place", "inot can", "not info self", "not know self", "topic not scope",
 ]
 # A first person is part of the Arabic verb: these slots may open a refusal alone if the word is one of them.
 # Arabic words of the first person.

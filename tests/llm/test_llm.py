@@ -327,7 +327,7 @@ def test_copies_by_common_subsequence():
 
 
 def test_question_layouts():
-    for prompt in ("Passages:\n[1] a b.\n\nQuestion: Who?", "### Question\nWho?\n### Passages\n[1] x\n### Answer in the language of the question", "Who?\n\nUse only the passages below.\n1) a", '<passages>\n<p n="1">a</p>\n</passages>\n<question>Who?</question>', "Who?"):
+    for prompt in ("Passages:\n[1] a b.\n\nQuestion: Who?", "### Question\nWho?\n### Passages\n[1] x\n### Answer in the language of the question", "Who?\n\nUse only the passages below.\n1) a", '<passages>\n<p n="1">a</p>\n</passages>\n<question>Who?</question>', "Who?", "Q: Who?\nA:", "You answer from texts.\n\nUser: Who?\n\nAssistant:", "These are texts.\n\n[1] a b\n[2] c d\n\nWho?", "Use them.\n\n[1] a.\n\nWho?"):
         assert reply_defects.question_of(prompt) == "Who?"
 
 

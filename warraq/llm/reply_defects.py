@@ -64,7 +64,7 @@ def words_of(text: str) -> list[str]:
 
 def question_of(prompt: str) -> str:
     """The question in a prompt of any layout: marked, or what remains without passages, labels and instructions."""
-    for mark in (r"<question>(.*?)(?:</question>|$)", r"^#+ *(?:question|السؤال) *:?\s*\n(.*?)(?=^#+ |\Z)", r"^(?:question|السؤال) *: *(.*?)(?=\n\s*\n|^(?:passages|المقاطع|answer|الجواب)|\Z)"):
+    for mark in (r"<(?:question|query)>(.*?)(?:</(?:question|query)>|$)", r"^#+ *(?:question|query|السؤال|سؤال) *:?\s*\n(.*?)(?=^#+ |\Z)", r"^(?:question|query|q|user|السؤال|سؤال) *: *(.*?)(?=\n\s*\n|^(?:passages|context|المقاطع|answer|a|assistant|الجواب|جواب) *:|\Z)"):
         if m := re.search(mark, prompt, re.S | re.M | re.I):
             if m.group(1).strip():
                 return m.group(1).strip()
@@ -73,7 +73,7 @@ def question_of(prompt: str) -> str:
         lines = [x for x in part.split("\n") if not re.match(r"\s*(?:\[\d+\]|\d+[.)]|<p\b|</?\w+>|#+ |(?:passages|المقاطع|context)\s*:|use only|استخدم المقاطع|answer only|أجب من المقاطع)", x, re.I)]
         if any(x.strip() for x in lines):
             kept.append("\n".join(lines).strip())
-    return kept[0] if kept else ""
+    return next((k for k in kept if "?" in k or "؟" in k), kept[0] if kept else "")
 
 
 def common_subsequence(a: list[str], b: list[str]) -> list[int]:

@@ -177,3 +177,26 @@ def type_table(judged: DataFrame, labels: list[str], by: str = "run", kind: str
     counts = judged.groupBy(by, kind).pivot("judge", labels).count().fillna(0, labels)
     n = sum((F.col(x) for x in labels), F.lit(0))
     return counts.withColumn("n", n).withColumn("accuracy", F.round(F.col(labels[0]) / F.col("n"), 6))
+
+
+def declines(answer: Column, cited_numbers: Column, decline: list[str], gap: list[str]) -> Column:
+    """Whether an answer declines: blank, one of the phrases that decline, or naming a gap while citing nothing."""
+    return names_phrase(answer, decline) | (text.says(answer, gap) & (F.coalesce(F.size(cited_numbers), F.lit(0)) == 0))
+
+
+def prompt(question: Column, blocks: Column, note: Column | None = None) -> Column:
+    """What a model is asked: numbered sources, a note if there is any, and the question; without sources the question alone."""
+    asked = F.concat(F.lit("Question: "), question)
+    listed = F.concat(F.lit("<sources>\n"), F.array_join(blocks, "\n"), F.lit("\n</sources>\n\n"))
+    noted = F.coalesce(F.concat(note, F.lit("\n\n")), F.lit("")) if note is not None else F.lit("")
+    return F.when(F.coalesce(F.size(blocks), F.lit(0)) == 0, asked).otherwise(F.concat(listed, noted, asked))
+
+
+def ledger(exchanges: DataFrame) -> DataFrame:
+    """What asking cost in tokens and time: a line an exchange that was really asked, with the request's key.
+
+    exchanges: at, model, model_version, purpose, prompt, system, tokens_in, tokens_out, tokens_thinking, seconds, finish, cached.
+    """
+    key = F.substring(F.sha2(F.to_json(F.struct("model", "prompt", "system", "max_tokens", "temperature")), 256), 1, 16)
+    asked = exchanges.where("not coalesce(cached, false)")
+    return asked.select("at", "model", F.col("model_version").alias("version"), "purpose", key.alias("request"), "tokens_in", "tokens_out", "tokens_thinking", "seconds", "finish")

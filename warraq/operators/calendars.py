@@ -230,3 +230,30 @@ def calendar_report(rows: DataFrame) -> DataFrame:
         )
     )
     return own.select("row_id", F.explode(problems).alias("problem")).distinct()
+
+
+def against_published(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(row_id, problem) of printed Gregorian dates against a published calendar's events.
+
+    rows: row_id, date_gregorian; spans: first, last of each event.  A printed day must lie in some event, and a printed range must
+    be one event's first and last day, in either order.  Malformed dates and such as don't exist are left to ``calendar_report``.
+    """
+    own = rows.select("row_id", date_cell(F.col("date_gregorian")).alias("c")).where("c.problem is null")
+    ends = F.array_sort(F.array_compact(F.array(gregorian(F.col("c.first")), gregorian(F.col("c.last")))))
+    own = own.select("row_id", ends.alias("ends"), F.col("c.last").isNotNull().alias("range"))
+    # an event of a few days gives each of them; calendars are small, and the join is by the day
+    days = spans.select(F.explode(F.sequence("first", "last")).alias("day")).distinct()
+    absent = own.select("row_id", F.explode("ends").alias("day")).join(days, "day", "left_anti").select("row_id", F.concat(F.lit("not published: "), F.col("day").cast("string")).alias("problem"))
+    pairs = spans.select(F.col("first").alias("_a"), F.col("last").alias("_b")).distinct()
+    ranged = own.where("range and size(ends) = 2").select("row_id", F.element_at("ends", 1).alias("_a"), F.element_at("ends", 2).alias("_b"))
+    unmatched = ranged.join(pairs, ["_a", "_b"], "left_anti").select("row_id", F.lit("not one event's first and last day").alias("problem"))
+    return absent.unionByName(unmatched).distinct()
+
+
+def placed_days(days: DataFrame, spans: DataFrame) -> DataFrame:
+    """(day, name, week) of days (day) in semesters (name, start, end): the one that a day falls in and its week; nulls outside.
+
+    Semesters are a handful a year and don't overlap: their days are laid out, so the join is by the day.
+    """
+    laid = spans.select("name", "start", "end", F.explode(F.sequence("start", F.date_sub("end", 1))).alias("day"))
+    return days.join(laid, "day", "left").select("day", "name", week(F.col("day"), F.col("start"), F.col("end")).alias("week"))

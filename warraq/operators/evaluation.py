@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import for_comparison
+
 CUTS = (1, 5, 10, 20)
 SEED, DRAWS = 1448, 10_000
 
@@ -288,8 +291,13 @@ def successive(readings: DataFrame, at: str, *page: str) -> DataFrame:
     return own.withColumn("other", F.lead("ls").over(Window.partitionBy(*page).orderBy(at))).where(F.col("ls").isNotNull() & F.col("other").isNotNull()).select(*page, "ls", "other")
 
 
-def error_rates(pairs: DataFrame, by: list[str]) -> DataFrame:
+#: Forms in which texts are compared: as they are, or with their spelling unified.
+FORMS: dict[str, Callable[[Column], Column]] = {"raw": lambda c: c, "normalized": for_comparison}
+
+
+def error_rates(pairs: DataFrame, by: list[str], form: str = "raw") -> DataFrame:
     """Character and word error rates, weighted by length: pairs (by..., truth, reading); null where the truth is empty."""
+    pairs = pairs.withColumn("truth", FORMS[form](F.col("truth"))).withColumn("reading", FORMS[form](F.col("reading")))
     words = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
     e = pairs.select(
         *by,

@@ -150,3 +150,9 @@ def agreement(predicted: DataFrame, decided: DataFrame, key: str) -> DataFrame:
     """(key, predicted, decided, agree) of two routings."""
     return predicted.select(key, F.col("path").alias("predicted")).join(decided.select(key, F.col("path").alias("decided")), key).withColumn("agree", F.col("predicted") == F.col("decided"))
 
+
+
+def inspected(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, by, letters, words): Arabic letters and words of pages as several parsers read them (doc_id, page, by, text)."""
+    own = normalize.for_comparison(F.col("text"))
+    return pages.select("doc_id", "page", "by", F.regexp_count(own, F.lit("[ء-غف-ي]")).cast("int").alias("letters"), F.size(tokens.arabic_tokens(F.col("text"))).alias("words"))

@@ -829,6 +829,13 @@ def times_and_tokens(spark, d):
     return answers.cost_table(e)
 
 
+@query("select model, purpose, count(*) as asked, sum(tokens_in)::bigint as tokens_in, sum(tokens_thinking)::bigint as tokens_thinking from (select distinct exchange_id, model, purpose, tokens_in, tokens_thinking from exchanges where not coalesce(cached, false)) group by 1, 2")
+def ledger_sums(spark, d):
+    """What was really asked of each model, for which purpose, in tokens."""
+    lines = answers.ledger(table(spark, d, "exchanges").dropDuplicates(["exchange_id"]))
+    return lines.groupBy("model", "purpose").agg(F.count("*").alias("asked"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_thinking").alias("tokens_thinking"))
+
+
 @query("select purpose as run, count(*) as n, round(avg((finish = 'STOP')::int), 6) as accuracy, count(*) filter (finish in ('STOP', 'MAX_TOKENS')) || '/' || count(*) as correct_or_partial, case when count(*) filter (model_version is null) > 0 then '0/' || count(*) filter (model_version is null) else '-' end as wrong_outside from (select distinct exchange_id, purpose, coalesce(finish, 'none') as finish, model_version from exchanges) group by 1")
 def outcomes_by_purpose(spark, d):
     """How many exchanges of each purpose ended well, or nearly."""

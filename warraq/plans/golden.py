@@ -247,9 +247,63 @@ def card_bands(spark):
     return calendars.bands(a, "page").select("pos", "band", "place")
 
 
+@golden("row_id, problem", [(2, "not published: 2026-09-30"), (3, "not one event's first and last day"), (5, "not one event's first and last day"), (5, "not published: 2026-12-01")])
+def unpublished_dates(spark):
+    """Printed dates that a published calendar hasn't got, and ranges that are no event's."""
+    rows = [(1, "2026/09/26-23 م"), (2, "2026/09/30"), (3, "2026/09/25-23"), (4, "odd"), (5, "2026/12/01-2026/09/24"), (6, "2026/09/24")]
+    rows[4] = (5, "2026/12/01-09/24")
+    ics = "BEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20260923\r\nDTEND;VALUE=DATE:20260927\r\nEND:VEVENT\r\n"
+    spans = readers.ics_spans(spark.createDataFrame([("f", ics)], "file string, ics string"))
+    return calendars.against_published(spark.createDataFrame(rows, "row_id int, date_gregorian string"), spans)
+
+
+@golden("day, name, week", [("2026-10-04", "First", 7), ("2026-10-13", "First", 8), ("2027-01-16", "First", 21), ("2027-06-01", None, None)])
+def days_in_semesters(spark):
+    """The semester and week of days."""
+    spans = spark.createDataFrame([("First", "2026-08-23", "2027-01-17"), ("Second", "2027-01-17", "2027-06-01")], "name string, start string, end string").select("name", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+    days = spark.createDataFrame([(x,) for x in ("2026-10-04", "2026-10-13", "2027-01-16", "2027-06-01")], "day string").select(F.to_date("day").alias("day"))
+    return calendars.placed_days(days, spans).withColumn("day", F.col("day").cast("string"))
+
+
 # ------------------------------------------------------------------ measures
 
 
+@golden("form, cer", [("normalized", 0.0), ("raw", 0.2)])
+def error_forms(spark):
+    """Error rates of a reading as it is and with its spelling unified."""
+    df = spark.createDataFrame([("x", "أحمدة", "احمدة")], "engine string, truth string, reading string")
+    out = None
+    for form in evaluation.FORMS:
+        part = evaluation.error_rates(df, ["engine"], form).select(F.lit(form).alias("form"), "cer")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@golden("i, declines, gap", [(0, True, False), (1, True, True), (2, False, True), (3, False, False), (4, True, False)])
+def declining_answers(spark):
+    """Answers that decline: blank, in the fixed words, or naming a gap with nothing cited."""
+    rows = [(0, " "), (1, "The sources do not give the fee."), (2, "It takes 3 days [1]. The sources do not give the fee."), (3, "Yes [2]."), (4, "No answer in the sources.")]
+    a = F.col("t")
+    return spark.createDataFrame(rows, "i int, t string").select("i", answers.declines(a, text.citations(a), ["No answer in the sources"], ["The sources do not give"]).alias("declines"), text.says(a, ["The sources do not give"]).alias("gap"))
+
+
+@golden("i, prompt", [(0, "<sources>\n[1] T\nbody\n</sources>\n\nNote.\n\nQuestion: who?"), (1, "Question: what?")])
+def model_prompts(spark):
+    """What models are asked."""
+    df = spark.createDataFrame([(0, "who?", ["[1] T\nbody"], "Note."), (1, "what?", [], None)], "i int, q string, b array<string>, n string")
+    return df.select("i", answers.prompt(F.col("q"), F.col("b"), F.col("n")).alias("prompt"))
+
+
+@golden("page, by, letters, words", [(1, "a", 10, 2), (1, "b", 0, 0)])
+def inspected_pages(spark):
+    """Arabic letters and words of a page by two parsers."""
+    df = spark.createDataFrame([("d", 1, "a", "يقدم الطالب 12"), ("d", 1, "b", "page 12")], "doc_id string, page int, by string, text string")
+    return quality.inspected(df).select("page", "by", "letters", "words")
+
+
+# ------------------------------------------------------------------ measures of runs
+
+
 @golden("pattern, text, first, last, edits", [("adc", "xxabcxx", 2, 5, 1), ("abd", "xxabcxx", 2, 4, 1), ("ab", "xxabxxab", 2, 4, 0), ("abc", "xx", 0, 0, 3), ("", "xx", 0, 0, 0)])
 def located_parts(spark):
     """Where a text holds something nearest to a pattern."""

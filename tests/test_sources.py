@@ -132,3 +132,20 @@ def test_requests_are_served_once(spark, tmp_path):
     assert got == {"r1": "re: call [redacted]", "r3": "re: who?"} and spark.read.parquet(out).count() == 2
     logs.served(stream, answer, out, cp).awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_rolling_over_stretches(spark):
+    import datetime as dt
+    import random
+
+    rng, t, rows = random.Random(8), 0, []
+    for i in range(300):
+        t += rng.choice([0, 30, 500, 1800])
+        rows.append((i, rng.choice("ab"), dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), float(i)))
+    df = spark.createDataFrame([*rows, (999, "a", None, 1.0)], "event_id long, user string, ts timestamp, v double").repartition(4)
+    for seconds in (60, 3600, 7000):
+        got = {r.event_id: (r.recent, r.recent_total) for r in logs.rolling(df, "user", "ts", "v", seconds).collect()}
+        for i, u, at, _ in rows:
+            near = [v for _, x, y, v in rows if x == u and 0 <= (at - y).total_seconds() <= seconds]
+            assert got[i] == (len(near), round(sum(near), 4))
+        assert got[999] == (1, 1.0)

@@ -40,6 +40,22 @@ def test_merge_and_chunks(spark):
     assert [(r.chunk_id, r.clause_no) for r in got] == [("d_p1_c1", "1–2"), ("d_p1_c2", None)]
 
 
+def test_fill_forward_over_stretches(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(structure, "STRETCH", 3)
+    rng, rows, want, now = random.Random(7), [], {}, {}
+    for d in "ab":
+        for p in range(1, 30):
+            for q in range(rng.randrange(3)):
+                v = rng.choice([None, None, None, f"{d}{p}{q}"])
+                rows.append((d, p, q, v))
+                now[d] = v or now.get(d)
+                want[d, p, q] = now[d]
+    df = spark.createDataFrame(rows, "doc_id string, page int, seq int, heading string").repartition(5)
+    assert {(r.doc_id, r.page, r.seq): r.filled for r in structure.fill_forward(df, "heading").collect()} == want
+
+
 def test_fill_forward_over_pages(spark):
     rows = [("d", 1, 1, None), ("d", 1, 2, "A"), ("d", 2, 1, None), ("d", 3, 1, None), ("d", 3, 2, "B"), ("e", 1, 1, None)]
     df = spark.createDataFrame(rows, "doc_id string, page int, seq int, heading string")

@@ -57,12 +57,19 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def rolling(events: DataFrame, key: str, at: str, value: str, seconds: int = 60) -> DataFrame:
     """Each event with the number and sum of its key's events in the last seconds, itself included.
 
-    Batch and exact: a range window per key and hour would cut at the hour, so the window is per key; keys are spread by hash.
+    Batch and exact.  A key's time is cut into stretches of an hour (or of the seconds, if they are more), each read with the
+    one before it, so a key with most of the events is spread; events without a time or key are as a range window has them.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("recent", F.count("*").over(w)).withColumn("recent_total", F.round(F.sum(value).over(w), 4))
+    length = max(seconds, 3600) * 1_000_000
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    own = events.withColumn("_us", us).withColumn("_own", F.floor(F.col("_us") / length))
+    # an event belongs to its stretch, and is looked back on from the next
+    each = own.withColumn("_stretch", F.explode_outer(F.when(F.col("_own").isNotNull(), F.array(F.col("_own"), F.col("_own") + 1))))
+    w = Window.partitionBy(key, "_stretch").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    counted = each.withColumn("recent", F.count("*").over(w)).withColumn("recent_total", F.round(F.sum(value).over(w), 4))
+    return counted.where(F.col("_stretch").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_stretch")
 
 
 def replayed(requests: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:

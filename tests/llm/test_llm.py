@@ -217,6 +217,17 @@ def test_model_of_lines_against_brute_force():
     assert np.allclose(model.expected(items), total)
 
 
+def test_written_tables_can_be_cleared(spark):
+    import glob
+
+    made = common.written(spark.range(5).withColumn("x", F.array(F.lit(1))))
+    assert made.count() == 5 and common.written(spark.range(0)).count() == 0
+    folder = made.inputFiles()[0].split("://")[-1].rsplit("/", 2)[0]
+    assert glob.glob(folder.replace("file:", "") + "/*")
+    common.clear_written(spark)
+    assert not glob.glob(folder.replace("file:", "") + "/*")
+
+
 def test_lexica_longer_than_what_is_sent(spark, monkeypatch):
     lexicon = spark.createDataFrame([(w, 100 - n) for n, w in enumerate([*WORDS, "department", "modern", "final"])] * 2 + [(None, 5)], "word string, frequency long")
     whole, cut = common.vocabulary(lexicon), common.vocabulary(lexicon, 4)

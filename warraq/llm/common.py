@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a lexicon that are sent to the workers; what the rest of a longer one says of a text goes there with the text.
@@ -97,6 +97,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Take away the tables that this session wrote; frames that read them are of no use afterwards."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @functools.cache
 def _own_folder() -> str:
     folder = tempfile.mkdtemp(prefix="warraq-")

@@ -121,9 +121,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Of each listed source: whether it takes part, and whether it has its share and no document was used too often."""
-    got = p7_shares(spark, d).join(mixing.listed(table(spark, d, "mix_targets")).select("source", "max_repeats"), "source")
-    fits = (F.col("most_uses") <= F.col("max_repeats")) & ((F.col("tokens") == 0) | (F.abs(F.col("of_aim") - F.col("target_share")) < 0.005))
+    """Of each listed source: whether it takes part, and whether it has its share and no document was used too often.
+
+    A share is had if it is within half a point, or within one document, as none is cut.
+    """
+    chosen, targets = p7_selection(spark, d), table(spark, d, "mix_targets")
+    largest = chosen.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    got = mixing.shares(chosen, targets).join(mixing.listed(targets).select("source", "max_repeats"), "source").join(largest, "source", "left")
+    one = F.col("largest") * F.col("of_aim") / F.col("tokens")
+    fits = (F.col("most_uses") <= F.col("max_repeats")) & ((F.col("tokens") == 0) | (F.abs(F.col("of_aim") - F.col("target_share")) < F.greatest(F.lit(0.005), one)))
     return got.select("source", (F.col("tokens") > 0).alias("used"), F.coalesce(fits, F.lit(True)).alias("kept"))
 
 

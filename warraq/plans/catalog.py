@@ -570,6 +570,17 @@ def page_methods(spark, d):
     return quality.page_methods(_gated(spark, d)).select("doc_id", "page", "method")
 
 
+@query(
+    _GATE + _PATHS + """, r as (select doc_id, lower(trim(regexp_replace(regexp_replace(producer, '[®™©]', '', 'g'), '\\s+', ' ', 'g'))) as p from corpus_documents)
+    select doc_id, case when regexp_matches(p, '\\bmicrosoft\\b.*\\b(?:word|powerpoint)\\b') and not regexp_matches(p, '\\bpdfium\\b|\\badobe\\b.*\\b(?:pdf library|illustrator)\\b') then 'ocr' else 'text_layer' end as predicted, path as decided, predicted = decided as agree
+    from r join paths using (doc_id)"""
+)
+def routes_agreeing(spark, d):
+    """Whether the gate reads documents as what wrote them lets expect."""
+    predicted = table(spark, d, "corpus_documents").select("doc_id", quality.route(F.col("producer"), F.lit(None).cast("string"))["path"].alias("path"))
+    return quality.agreement(predicted, quality.document_paths(_gated(spark, d)), "doc_id")
+
+
 @query(_GATE + " select doc_id, page, arabic_tokens, token_validity, verdict from g where verdict <> 'trusted'")
 def pages_rejected(spark, d):
     """Pages that the gate doesn't pass."""

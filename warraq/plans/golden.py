@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, tokens
-from ..operators import answers, calendars, evaluation, flow, gold, labels, layout, pages, quality, structure, tables
-from ..sources import engines, readers
+from ..operators import answers, calendars, evaluation, flow, gold, labels, layout, pages, quality, stores, structure, tables
+from ..sources import engines, readers, sinks
 from ..streaming import logs
 from .registry import golden
 
@@ -556,3 +556,111 @@ def limited_events(spark):
     rows = [(1, "u", 0), (2, "u", 10), (3, "u", 20), (4, "u", 60), (5, "u", 65), (6, "u", 70), (7, "v", 20)]
     df = spark.createDataFrame(rows, "event_id long, user string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
     return logs.limited(df, "user", "ts", 2).select("event_id", "allowed")
+
+
+@golden("request_id, question", [("r1", "call [redacted]"), ("r3", "who?")])
+def accepted_requests(spark):
+    """Requests of 1 to 500 characters, without personal data."""
+    df = spark.createDataFrame([("r1", " call 0501234567890 "), ("r2", " "), ("r3", "who?"), ("r4", "x" * 501), ("r5", None)], "request_id string, question string")
+    return logs.accepted(df)
+
+
+@golden("key, found", [("a", True), ("b", False)])
+def replayed_requests(spark):
+    """Requests that a store answers, and those still to ask."""
+    held, open_ = logs.replayed(spark.createDataFrame([("a",), ("b",)], "key string"), spark.createDataFrame([("a", "x"), ("c", "y")], "key string, answer string"))
+    return held.select("key", F.lit(True).alias("found")).unionByName(open_.select("key", F.lit(False).alias("found")))
+
+
+@golden("event", [("event: step\ndata: {\"name\":\"retrieve\",\"n\":5}\n\n",)])
+def step_events(spark):
+    """Steps as server-sent events."""
+    return spark.createDataFrame([("retrieve", 5)], "name string, n int").select(sinks.server_event(F.lit("step"), F.struct("name", "n")).alias("event"))
+
+
+# ------------------------------------------------------------------ stores and files
+
+
+@golden("key, score", [("k1", 0.5), ("k2", 1.5)])
+def stored_scores(spark):
+    """Scores looked up in a store that has them all, pruned of what nothing refers to."""
+    store = spark.createDataFrame([("k1", 0.5), ("k2", 1.5), ("old", 9.0)], "key string, score double")
+    wanted = spark.createDataFrame([("k1",), ("k2",)], "key string")
+    kept = stores.made_by(stores.described(stores.pruned(store, wanted), model="m1"), model="m1")
+    return stores.lookup(wanted, kept, "score").select("key", "score")
+
+
+@golden("key, text", [("k", "new")])
+def usable_readings(spark):
+    """Cached readings that may be used again."""
+    rows = [("k", "old", False, None, 1), ("k", "new", False, None, 2), ("k", "cut", True, None, 3), ("d", None, False, None, 1), ("e", "x", False, "damaged", 1)]
+    return stores.usable(spark.createDataFrame(rows, "key string, text string, truncated boolean, error string, read_at int")).select("key", "text")
+
+
+@golden("record", [('{"page":{"doc_id":"d","page":1},"gate":{"verdict":"trusted","token_validity":0.99}}',)])
+def page_records(spark):
+    """A page's record as one JSON text; without a reading it has none."""
+    df = spark.createDataFrame([("d", 1, "trusted", 0.99)], "doc_id string, page int, verdict string, token_validity double")
+    return df.select(stores.page_record(F.struct("doc_id", "page"), F.struct("verdict", "token_validity"), F.lit(None).cast("struct<engine:string>")).alias("record"))
+
+
+@golden("doc_id, page, text", [("a", 1, "one"), ("a", 2, "two"), ("b", 1, "x"), ("b", 2, " y")])
+def form_feed_pages(spark):
+    """Pages of texts parted by form feeds; a blank last one is none."""
+    return readers.form_feed_pages(spark.createDataFrame([("a", "one\ftwo\f\n"), ("b", "x\f y")], "doc_id string, text string"))
+
+
+@golden("name, doc_id, page, region, kind", [("g_p03.txt", "g", 3, None, "partial"), ("g_p03.csv", "g", 3, None, "table"), ("g_p04.txt", "g", 4, None, "page"), ("g_p04_r2.txt", "g", 4, 2, "region")])
+def truth_files(spark):
+    """Pieces of ground truth by their files' names."""
+    return readers.truth_pieces(spark.createDataFrame([("g_p03.txt",), ("g_p03.csv",), ("g_p04.txt",), ("g_p04_r2.txt",), ("notes.md",)], "name string"))
+
+
+@golden("file, producer, creator", [("a", "Adobe", ""), ("b", "", "Writer")])
+def file_metadata(spark):
+    """Metadata of files, missing as empty."""
+    return readers.metadata(spark.createDataFrame([("a", " Adobe ", None), ("b", None, "Writer")], "file string, producer string, creator string"))
+
+
+@golden("doc_id, page", [("a", 2), ("b", 2)])
+def second_pages(spark):
+    """One page of each document."""
+    return readers.page(spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 1)], "doc_id string, page int"), 2)
+
+
+# ------------------------------------------------------------------ small pieces
+
+
+@golden("i, fi, words", [(0, "five fields", "five fields"), (1, "x", "x")])
+def lost_ligatures(spark):
+    """Ligatures lost in extraction, and the distinct words of texts as compared."""
+    df = spark.createDataFrame([(0, "\x1fve \x1felds"), (1, "x x")], "i int, t string")
+    fixed = text.fi_ligature(F.col("t"))
+    return df.select("i", F.when(F.col("i") == 0, fixed).otherwise("x").alias("fi"), F.array_join(tokens.word_set(fixed), " ").alias("words"))
+
+
+@golden("i, texts", [(0, "a|P|new|b"), (1, "a|new|foot")])
+def inserted_paragraphs(spark):
+    """Added paragraphs put after the largest picture, else before the feet at the end."""
+    df = spark.createDataFrame([(0, ["a", "P", "b"], ["Text", "Picture", "Text"], [0.1, 0.5, 0.1]), (1, ["a", "foot"], ["Text", "Page-footer"], [0.1, 0.1])], "i int, texts array<string>, categories array<string>, areas array<double>")
+    return df.select("i", F.array_join(layout.insert_added(F.col("texts"), F.col("categories"), F.col("areas"), F.array(F.lit("new"))), "|").alias("texts"))
+
+
+@golden("qid, score", [("a", 0.9), ("b", 0.2)])
+def best_scores(spark):
+    """The best score among a question's first sources."""
+    ranking = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 6), ("b", 1, 1)], "qid string, item_id long, rank int")
+    scores = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.9), ("a", 3, 2.0), ("b", 1, 0.2)], "qid string, item_id long, score double")
+    return flow.confidence_of(ranking, scores)
+
+
+@golden("n, rankings", [(0, "BM25+d1"), (1, "BM25+d2"), (2, "BM25+d1+d2")])
+def compared_fusions(spark):
+    """Which rankings are fused when retrievers are compared."""
+    return spark.createDataFrame([(n, "+".join(f)) for n, f in enumerate(flow.fusions(["d1", "d2"]))], "n int, rankings string")
+
+
+@golden("item_id, score", [(1, 1.0), (2, 0.5)])
+def overlap_scores(spark):
+    """Pairs scored by a stand-in: the share of a question's words that a text holds."""
+    return spark.createDataFrame([(1, "late forms", "forms are late"), (2, "late forms", "late")], "item_id long, q string, t string").select("item_id", flow.overlap(F.col("q"), F.col("t")).alias("score"))

@@ -105,7 +105,7 @@ def ics_spans(texts: DataFrame) -> DataFrame:
 def form_feed_pages(texts: DataFrame) -> DataFrame:
     """(doc_id, page, text) of texts (doc_id, text) whose pages are parted by form feeds; a blank last page is dropped."""
     parts = F.split("text", "\f")
-    kept = F.when(F.trim(F.element_at(parts, -1)) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    kept = F.when(F.element_at(parts, -1).rlike(r"(?U)^\s*$"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return texts.select("doc_id", F.posexplode(kept).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page"), "text")
 
 

@@ -13,6 +13,7 @@ null).  Null and wordless texts give no lines.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +89,7 @@ def classified(lines: DataFrame, boilerplate: DataFrame, contents: DataFrame, ma
     # only lines that hold the article's word go through Python; a heading of the layout counts as certain
     asks = (open_ | (F.col("told") == "heading")) & F.coalesce(for_comparison(F.col("text")).contains(labels.ARTICLE), F.lit(False))
     own = own.withColumn("l", F.when(asks, labels.article_labels(F.when(asks, F.col("text")))))
+    own = own.persist(StorageLevel.DISK_ONLY)  # read by the order of labels, and again with it
     found = own.where("l.label is not null").select("doc_id", "page", "seq", F.col("l.number").alias("number"), (F.col("l.certain") | (F.col("told") == "heading")).alias("certain"))
     found = found.withColumn("certain", F.coalesce("certain", F.lit(False)))
     taken = labels.counted(found).where("accepted").select("doc_id", "page", "seq", F.lit(True).alias("accepted"))
@@ -115,6 +117,7 @@ def classified(lines: DataFrame, boilerplate: DataFrame, contents: DataFrame, ma
 def units(classified_lines: DataFrame) -> DataFrame:
     """(doc_id, page, unit_no, heading, content_type, lines, clause_no, manual): the units of pages, each under the heading in force."""
     heading = F.when(F.col("kind") == "heading", T.trimmed_heading(F.col("text")))
+    classified_lines = classified_lines.persist(StorageLevel.DISK_ONLY)
     own = fill_forward(classified_lines.withColumn("_heading", heading), "_heading").withColumnRenamed("filled", "heading")
     page = Window.partitionBy("doc_id", "page").orderBy("seq")
     begins = F.col("kind").isin("unit", "table") & (F.col("starts") | (F.col("kind") == "table") | (F.coalesce(F.lag("kind").over(page), F.lit("stop")) != "unit"))

@@ -73,7 +73,9 @@ def classified(lines: DataFrame, boilerplate: DataFrame, contents: DataFrame, ma
     seq = F.struct("block", "line", F.lit(0).alias("part"))
     own = lines.where(_worded(F.col("text"))).withColumn("seq", seq)
     own = own.withColumn("text", F.when(F.col("told") == "table", F.col("text")).otherwise(collapse_whitespace(F.col("text"))))
-    own = own.withColumn("probe", F.explode_outer(F.array(F.when(F.col("told").isNull(), for_comparison(F.col("text"))))))
+    # worked out once: lines are looked up by it, and tables are never
+    seen = F.explode_outer(F.array(F.when(F.coalesce(F.col("told") != "table", F.lit(True)), for_comparison(F.col("text")))))
+    own = own.withColumn("seen", seen).withColumn("probe", F.when(F.col("told").isNull(), F.col("seen")))
     own = own.join(boilerplate.select("doc_id", F.col("line").alias("probe")).distinct(), ["doc_id", "probe"], "left_anti")
     own = own.join(contents.select("doc_id", F.col("line").alias("probe"), F.lit(True).alias("entry")).distinct(), ["doc_id", "probe"], "left")
     if manual is not None:
@@ -87,7 +89,7 @@ def classified(lines: DataFrame, boilerplate: DataFrame, contents: DataFrame, ma
     numbers = F.col("told").isNull() & F.col("probe").rlike(r"^\d{1,2}( \d{1,2})*$")
     open_ = F.col("told").isNull() & ~numbers & F.col("entry").isNull()
     # only lines that hold the article's word go through Python; a heading of the layout counts as certain
-    asks = (open_ | (F.col("told") == "heading")) & F.coalesce(for_comparison(F.col("text")).contains(labels.ARTICLE), F.lit(False))
+    asks = (open_ | (F.col("told") == "heading")) & F.coalesce(F.col("seen").contains(labels.ARTICLE), F.lit(False))
     own = own.withColumn("l", F.when(asks, labels.article_labels(F.when(asks, F.col("text")))))
     own = own.persist(StorageLevel.DISK_ONLY)  # read by the order of labels, and again with it
     found = own.where("l.label is not null").select("doc_id", "page", "seq", F.col("l.number").alias("number"), (F.col("l.certain") | (F.col("told") == "heading")).alias("certain"))

@@ -64,6 +64,13 @@ def test_classes_of_the_same_look(spark):
     assert {(r.item_id, r.class_id, r.members, r.spellings) for r in got} == {(i, 1, 7, 2) for i in range(1, 8)}
 
 
+def test_pairs_of_a_large_class(spark, monkeypatch):
+    monkeypatch.setattr(same_look, "TOGETHER", 3)
+    rows = [("unit", "d", i, "the book" if i % 2 else "thе book") for i in range(1, 20)] + [("unit", "d", 1, "the book")]
+    got = [tuple(r)[1:] for r in same_look.pairs(spark.createDataFrame(rows, "kind string, doc_id string, item_id long, text string"), WORDS).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(1, 20) for j in range(i + 1, 20) if (i + j) % 2}
+
+
 def test_pairs_of_the_same_look(spark):
     rows = [("unit", "d", 1, "the book"), ("unit", "d", 2, "thе  book"), ("unit", "d", 2, "thе  book"), ("unit", "d", 3, "the book"), ("unit", "e", 4, "ｔhe book"), ("unit", "d", 5, None), ("unit", None, 6, "the book"), ("unit", "d", 7, ""), ("unit", "d", 8, "The book")]
     df = spark.createDataFrame(rows, "kind string, doc_id string, item_id long, text string")

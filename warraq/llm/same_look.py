@@ -6,7 +6,7 @@ table.  Texts of one document with equal forms look the same; of these, the pair
 with different characters are found by an equi-join on (document, hash of the
 form), after all classes with a single spelling have been dropped by a
 map-side-combined aggregate.  A document with a third of all rows is spread by
-the form's hash.
+the form's hash, and a form with very many rows by its parts.
 
 Null texts look like nothing and are in no pair; two empty texts are equal, not a
 pair; a null doc_id is no document.  Copies of a row (same id) count once.
@@ -23,6 +23,10 @@ from .common import Lexicon, arrow_map, once, sent, with_rest
 from .look import LookForm, answered_readings, asked_readings
 
 
+#: Rows of a class that meet the whole class in one task.
+TOGETHER = 1000
+
+
 def forms(items: DataFrame, words: Lexicon | list[str], keep_text: bool = False) -> DataFrame:
     """Each item's form: kind, doc_id, item_id and either the form itself or 128-bit hashes of text and form."""
     own = sent(words)
@@ -58,10 +62,12 @@ def pairs(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     """(kind, id_a, id_b), id_a < id_b: rows of one document that look the same and differ in their characters."""
     made = forms(items.where("doc_id is not null and text is not null and item_id is not null"), words).persist(StorageLevel.MEMORY_AND_DISK)
     key = ["kind", "doc_id", "form"]
-    several = made.groupBy(*key).agg(F.min("spelt").alias("a"), F.max("spelt").alias("b")).where("a < b").select(*key)
-    members = made.join(several, key, "left_semi").distinct()
-    a, b = members.withColumnRenamed("item_id", "id_a"), members.withColumnRenamed("item_id", "id_b").withColumnRenamed("spelt", "other")
-    return a.join(b, key).where("id_a < id_b and spelt <> other").select("kind", "id_a", "id_b").distinct()
+    several = made.groupBy(*key).agg(F.min("spelt").alias("a"), F.max("spelt").alias("b"), F.count("*").alias("n")).where("a < b").select(*key, F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))
+    members = made.distinct().join(several, key)
+    # a large class is parted: each part of its rows meets all of them in a task of its own
+    a = members.withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts").withColumnRenamed("item_id", "id_a")
+    b = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumnRenamed("item_id", "id_b").withColumnRenamed("spelt", "other")
+    return a.join(b, [*key, "part"]).where("id_a < id_b and spelt <> other").select("kind", "id_a", "id_b").distinct()
 
 
 def classes(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:

@@ -63,7 +63,7 @@ def pairs(items: DataFrame, words: Lexicon | list[str]) -> DataFrame:
     made = forms(items.where("doc_id is not null and text is not null and item_id is not null"), words).persist(StorageLevel.MEMORY_AND_DISK)
     key = ["kind", "doc_id", "form"]
     several = made.groupBy(*key).agg(F.min("spelt").alias("a"), F.max("spelt").alias("b"), F.count("*").alias("n")).where("a < b").select(*key, F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))
-    members = made.distinct().join(several, key)
+    members = made.join(several, key).distinct()
     # a large class is parted: each part of its rows meets all of them in a task of its own
     a = members.withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts").withColumnRenamed("item_id", "id_a")
     b = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumnRenamed("item_id", "id_b").withColumnRenamed("spelt", "other")
